@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airloom.plans import named
+from airloom.plans import features, named, offline
 from airloom.sources.tables import Dataset, load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,8 +35,68 @@ def named_queries() -> dict[str, Query]:
     return out
 
 
+YEARS = list(range(1995, 2002))
+
+OFFLINE = {
+    "p01_streaks": (offline.streaks, {}),
+    "p01_streak_trend": (offline.streak_trend, {}),
+    "p02_city_improvement": (offline.city_improvement, {}),
+    "p02_improvement_extremes": (offline.improvement_extremes, {}),
+    "p04_hotspots": (offline.hotspots, {}),
+    "p05_good_flags": (offline.good_flags, {}),
+    "p06_p07_top_cities": (offline.top_cities, {}),
+    "p08_growth": (offline.growth, {}),
+    "p08_projection": (offline.growth_projection, {}),
+    "p09_worst_months": (offline.worst_months, {}),
+    "p09_month_table": (offline.month_table, {}),
+    "p09_most_frequent": (offline.most_frequent_worst_month, {}),
+    "p10_season_ratio": (offline.season_ratio, {"region": "ASIA"}),
+    "p10_season_ratio_default": (offline.season_ratio, {}),
+    "p11_dominant": (offline.dominant, {}),
+    "p12_corr_matrix": (offline.corr_matrix, {}),
+    "p13_divergence": (offline.divergence, {}),
+    "p14_weekday_weekend": (offline.weekday_weekend, {}),
+    "p15_volatility_rate": (offline.volatility_rate, {}),
+    "p16_std_mean": (offline.std_mean, {}),
+    "p17_spells": (offline.spells, {}),
+    "p18_rain": (offline.rain, {}),
+    "p19_recovery_episodes": (offline.recovery_episodes, {}),
+    "p20_city_profile": (offline.city_gas_profile, {}),
+    "p21_onset_city": (offline.onset_by_city, {"above": 160}),
+    "p21_onset_city_default": (offline.onset_by_city, {}),
+    "p21_mean_onset_day": (offline.mean_onset_day, {"above": 160}),
+    "p22_city_percentiles": (offline.city_percentiles, {}),
+    "p23_ozone": (offline.ozone, {}),
+    "p24_no2_ratio": (offline.no2_ratio, {}),
+    "p25_cooccurrence": (offline.cooccurrence, {}),
+    "p26_hazards_relaxed": (offline.hazards, {}),
+    "p26_hazard_counts": (offline.hazard_counts, {}),
+    "p27_recovery_episodes_severe": (offline.recovery_episodes_severe, {}),
+    "p28_early_warning_29": (offline.early_warning_rows, {}),
+    "p29_season_pair": (offline.season_pair, {}),
+    "p30_clusters": (offline.clusters, {}),
+    "f1_city_slice": (features.city_slice, {"city": "INDIA"}),
+    "f2_city_list": (features.city_list, {}),
+    "f3_monthly_features": (features.monthly_features, {}),
+    "f4_yearly_features": (features.yearly_features, {}),
+    "f5_city_features": (features.city_features, {}),
+    "f6_city_profile": (features.city_profile, {}),
+    "v1_streak_table": (offline.streak_table, {"years": YEARS}),
+    "v2_season_delta": (offline.season_delta, {"region": "ASIA"}),
+    "v3_correlation_gap": (offline.correlation_gap, {}),
+    "v4_onset_table": (offline.onset_table, {"years": YEARS, "above": 160}),
+    "v5_cooccurrence_complement": (offline.cooccurrence_complement, {}),
+    "v6_hazard_months": (offline.hazard_months, {}),
+    "v6_hazard_types": (offline.hazard_types, {}),
+}
+
+
+def _from(table: dict) -> dict[str, Query]:
+    return {key: on_dataset(plan, **params) for key, (plan, params) in table.items()}
+
+
 def all_queries() -> dict[str, Query]:
-    return {**named_queries()}
+    return {**named_queries(), **_from(OFFLINE)}
 
 
 __all__ = ["Dataset", "Query", "all_queries", "on_dataset"]

@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracles import named
+    from oracles import named, offline
 
-    return {**named.Q}
+    return {**named.Q, **offline.Q}
