@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airloom.plans import features, named, offline
-from airloom.sources.tables import Dataset, load
+from airloom.plans import dashboard, features, named, offline
+from airloom.sources.tables import Dataset, load, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,7 +75,7 @@ OFFLINE = {
     "p28_early_warning_29": (offline.early_warning_rows, {}),
     "p29_season_pair": (offline.season_pair, {}),
     "p30_clusters": (offline.clusters, {}),
-    "f1_city_slice": (features.city_slice, {"city": "INDIA"}),
+    "f1_city_slice": (features.city_slice, {"city": "NATION_7"}),
     "f2_city_list": (features.city_list, {}),
     "f3_monthly_features": (features.monthly_features, {}),
     "f4_yearly_features": (features.yearly_features, {}),
@@ -91,12 +91,53 @@ OFFLINE = {
 }
 
 
+WHOLE = {"start": "1995-01-01", "end": "2001-12-31"}
+
+DASHBOARD = {
+    "d1_daily_range": (dashboard.daily_range, {"city_id": 7, **WHOLE}),
+    "d2_overview": (dashboard.overview, {}),
+    "d3_historical": (dashboard.historical, {"city_id": 7, "month": 3}),
+    "d4_cities": (dashboard.cities, {}),
+    "d5_named_query": (named.run_named, {"number": 29}),
+    "d6_weekly_rollup": (dashboard.weekly_rollup, {}),
+    "d7_monthly_rollup": (dashboard.monthly_rollup, {}),
+    "d8_period_stats": (dashboard.period_stats, {"year": 2000}),
+    "d8_period_stats_month": (dashboard.period_stats, {"year": 2000, "month": 5}),
+    "d8_period_summary": (dashboard.period_summary, {"year": 2000}),
+    "d9_ranks_and_sorts": (dashboard.ranks, {"year": 2000, "sort": "improving"}),
+    "d9_search": (dashboard.ranks, {"year": 2000, "search": "State_3", "sort": "worst"}),
+    "d10_momentum": (dashboard.momentum_labels, {}),
+    "d11_volatility_label": (dashboard.volatility_labels, {}),
+    "d12_best_worst_month": (dashboard.best_worst_month, {}),
+    "d13_category_share": (dashboard.category_share, {}),
+    "d14_growth_percent": (dashboard.period_growth, {"year": 2000}),
+    "d15_ui_category": (dashboard.overview_category, {}),
+    "d16_city_distribution": (dashboard.city_distribution, {"year": 2000}),
+    "d17_deep_dive": (dashboard.deep_dive, {}),
+    "d17_deep_dive_pm25": (dashboard.deep_dive, {"metric_name": "pm25"}),
+    "d18_best_worst_week": (dashboard.best_worst_week, {}),
+    "d19_half_growth": (dashboard.half_growth, {}),
+    "d20_trend_statement": (dashboard.trend_statement, {}),
+    "d21_compare_cities": (dashboard.compare_cities, {"city_ids": [1, 7, 12], **WHOLE}),
+}
+
+
+def hourly_to_daily(spark: SparkSession, folder: str) -> DataFrame:
+    events = table(spark, folder, "events")
+    return dashboard.hourly_to_daily(dashboard.hourly_records(events, "event_type", "ts", "value"))
+
+
 def _from(table: dict) -> dict[str, Query]:
     return {key: on_dataset(plan, **params) for key, (plan, params) in table.items()}
 
 
 def all_queries() -> dict[str, Query]:
-    return {**named_queries(), **_from(OFFLINE)}
+    return {
+        **named_queries(),
+        **_from(OFFLINE),
+        **_from(DASHBOARD),
+        "d22_hourly_to_daily": hourly_to_daily,
+    }
 
 
 __all__ = ["Dataset", "Query", "all_queries", "on_dataset"]

@@ -42,10 +42,10 @@ def derive_cities(spark: SparkSession, folder: str) -> DataFrame:
 def derive_readings(spark: SparkSession, folder: str) -> DataFrame:
     """One row per (nation, order date).
 
-    Lines are reduced per order before they meet the orders: the lines of one
-    order lie together in the files, so the map side already shrinks them and
-    the one exchange on the order key is shared by the join.  All sums run over
-    integers, so the result does not depend on the order of partitions."""
+    Lines are reduced to one row per order before they meet the orders, and the
+    join reuses the exchange of that reduction; a hot city or day is combined
+    on the map side.  All sums run over integers, so the result does not depend
+    on the order of partitions."""
     cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
     units = F.col("l_quantity").cast("bigint")
     lines = (

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracles import named, offline
+    from oracles import dashboard, named, offline
 
-    return {**named.Q, **offline.Q}
+    twins = {**named.Q, **offline.Q, **dashboard.Q}
+    twins["d5_named_query"] = named.Q["q29_seasonal_drop"]
+    return twins

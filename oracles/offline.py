@@ -203,7 +203,7 @@ Q["v1_streak_table"] = z(f"with {STREAKS} select city, " + ", ".join(
 
 MEANS = ", ".join(f"{rd(f'avg({m})', 6)} as avg_{'aqi' if m == 'aqi_daily' else m}" for m in ORDER)
 STD = f"{rd('stddev_samp(aqi_daily)', 6)} as std_aqi"
-Q["f1_city_slice"] = z("select city, date, co, no2, o3, pm10, pm25, aqi_daily from z where city = 'INDIA'")
+Q["f1_city_slice"] = z("select city, date, co, no2, o3, pm10, pm25, aqi_daily from z where city = 'NATION_7'")
 Q["f2_city_list"] = z("select distinct city from z")
 Q["f3_monthly_features"] = z(f"select city, year, month, {MEANS} from z group by 1, 2, 3")
 Q["f4_yearly_features"] = z(f"select city, year, {MEANS}, {STD} from z group by 1, 2")
