@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airloom.plans import dashboard, features, named, offline
+from airloom.plans import dashboard, features, ingest, named, offline
 from airloom.sources.tables import Dataset, load, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -127,6 +127,33 @@ def hourly_to_daily(spark: SparkSession, folder: str) -> DataFrame:
     return dashboard.hourly_to_daily(dashboard.hourly_records(events, "event_type", "ts", "value"))
 
 
+INGEST = {
+    "i2_monthly_attach": (ingest.monthly_attach, {}),
+    "i5_unit_fix": (ingest.unit_fix, {}),
+    "i5_unit_report": (ingest.unit_report, {}),
+    "i6_interpolate": (ingest.interpolate, {}),
+    "i7_backfill_global": (ingest.backfill_global, {}),
+    "i8_key_join": (ingest.key_join, {}),
+    "i9_zero_fill": (ingest.zero_fill, {}),
+    "i10_null_report": (ingest.null_report, {}),
+    "i11_dataset_metadata": (ingest.metadata, {}),
+    "i12_key_checks": (ingest.key_checks, {}),
+}
+
+# Queries that read further tables or write files on their way.
+DIRECT: dict[str, Query] = {
+    "d22_hourly_to_daily": hourly_to_daily,
+    "i1_calendar_pivot": ingest.calendar_pivot,
+    "i3_gap_fill": ingest.gap_fill,
+    "i3_gap_fill_counts": ingest.gap_fill_counts,
+    "i4_union_sort": ingest.union_sort,
+    "s1_json_documents": ingest.json_documents,
+    "s2_bulk_load": ingest.bulk_load,
+    "s3_keyed_append": ingest.keyed_append,
+    "s4_stored_result": ingest.stored_result,
+}
+
+
 def _from(table: dict) -> dict[str, Query]:
     return {key: on_dataset(plan, **params) for key, (plan, params) in table.items()}
 
@@ -136,7 +163,8 @@ def all_queries() -> dict[str, Query]:
         **named_queries(),
         **_from(OFFLINE),
         **_from(DASHBOARD),
-        "d22_hourly_to_daily": hourly_to_daily,
+        **_from(INGEST),
+        **DIRECT,
     }
 
 

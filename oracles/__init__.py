@@ -4,8 +4,12 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracles import dashboard, named, offline
+    from oracles import dashboard, ingest, named, offline
 
-    twins = {**named.Q, **offline.Q, **dashboard.Q}
+    twins = {**named.Q, **offline.Q, **dashboard.Q, **ingest.Q}
     twins["d5_named_query"] = named.Q["q29_seasonal_drop"]
+    twins["s4_stored_result"] = named.Q["q18_rain_before_after"]
+    twins["s1_json_documents"] = (
+        f"select city_id as id, city_name as name, state, current_aqi, month_aqi, month_pm25 from ({dashboard.Q['d2_overview']})"
+    )
     return twins
