@@ -35,6 +35,20 @@ def _across(keys: Sequence[str]) -> Window:
     return Window.partitionBy(*keys).orderBy(BLOCK)
 
 
+def _inside_back(keys: Sequence[str], order: str) -> Window:
+    """Backwards through a block.  A frame that grows from the start of the window
+    is a running value; one that shrinks towards its end is computed anew per row."""
+    return Window.partitionBy(*keys, BLOCK).orderBy(F.desc(order))
+
+
+def _across_back(keys: Sequence[str]) -> Window:
+    return Window.partitionBy(*keys).orderBy(F.desc(BLOCK))
+
+
+BEFORE = (Window.unboundedPreceding, -1)
+SO_FAR = (Window.unboundedPreceding, 0)
+
+
 def _attach(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Join block summaries to their rows; null keys are a series of their own."""
     on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(summary[k]) for k in (*keys, BLOCK)])
@@ -72,10 +86,10 @@ def next_match(df: DataFrame, keys: Sequence[str], target: Column, out: str, ord
     """Order value (date or position) of the first later row where `target` holds."""
     rows = with_block(df, date)
     hit = F.when(target, F.col(order))
-    later = _across(keys).rowsBetween(1, Window.unboundedFollowing)
+    later = _across_back(keys).rowsBetween(*BEFORE)
     first = rows.groupBy(*keys, BLOCK).agg(F.min(hit).alias("_first"))
     handed = first.select(*keys, BLOCK, F.min("_first").over(later).alias("_handed"))
-    inner = rows.withColumn(out, F.min(hit).over(_inside(keys, order).rowsBetween(1, Window.unboundedFollowing)))
+    inner = rows.withColumn(out, F.min(hit).over(_inside_back(keys, order).rowsBetween(*BEFORE)))
     return _attach(inner, handed, keys).withColumn(out, F.coalesce(out, "_handed")).drop("_handed")
 
 
@@ -83,10 +97,10 @@ def previous_match(df: DataFrame, keys: Sequence[str], target: Column, out: str,
     """Order value of the last earlier row where `target` holds."""
     rows = with_block(df, date)
     hit = F.when(target, F.col(order))
-    earlier = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = _across(keys).rowsBetween(*BEFORE)
     last = rows.groupBy(*keys, BLOCK).agg(F.max(hit).alias("_last"))
     handed = last.select(*keys, BLOCK, F.max("_last").over(earlier).alias("_handed"))
-    inner = rows.withColumn(out, F.max(hit).over(_inside(keys, order).rowsBetween(Window.unboundedPreceding, -1)))
+    inner = rows.withColumn(out, F.max(hit).over(_inside(keys, order).rowsBetween(*BEFORE)))
     return _attach(inner, handed, keys).withColumn(out, F.coalesce(out, "_handed")).drop("_handed")
 
 
@@ -99,20 +113,20 @@ def known_neighbours(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
         *[F.max_by(known[c], F.when(F.col(c).isNotNull(), F.col(pos))).alias(f"_{c}_last") for c in columns],
         *[F.min_by(known[c], F.when(F.col(c).isNotNull(), F.col(pos))).alias(f"_{c}_first") for c in columns],
     )
-    earlier = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
-    later = _across(keys).rowsBetween(1, Window.unboundedFollowing)
+    earlier = _across(keys).rowsBetween(*BEFORE)
+    later = _across_back(keys).rowsBetween(*BEFORE)
     handed = edges.select(
         *keys,
         BLOCK,
         *[F.last(f"_{c}_last", ignorenulls=True).over(earlier).alias(f"_{c}_from") for c in columns],
-        *[F.first(f"_{c}_first", ignorenulls=True).over(later).alias(f"_{c}_to") for c in columns],
+        *[F.last(f"_{c}_first", ignorenulls=True).over(later).alias(f"_{c}_to") for c in columns],
     )
-    back = _inside(keys, pos).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = _inside(keys, pos).rowsBetween(0, Window.unboundedFollowing)
+    back = _inside(keys, pos).rowsBetween(*SO_FAR)
+    ahead = _inside_back(keys, pos).rowsBetween(*SO_FAR)
     inner = rows.select(
         "*",
         *[F.last(known[c], ignorenulls=True).over(back).alias(f"{c}_before") for c in columns],
-        *[F.first(known[c], ignorenulls=True).over(ahead).alias(f"{c}_after") for c in columns],
+        *[F.last(known[c], ignorenulls=True).over(ahead).alias(f"{c}_after") for c in columns],
     )
     out = _attach(inner, handed, keys)
     for c in columns:

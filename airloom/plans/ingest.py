@@ -14,7 +14,7 @@ from airloom.operators import clean
 from airloom.plans import dashboard, named
 from airloom.plans.features import named as by_name
 from airloom.sources import files
-from airloom.sources.scratch import fresh_path
+from airloom.sources.scratch import fresh_path, written
 from airloom.sources.tables import Dataset, load, table
 
 CITY = ["city_id"]
@@ -130,8 +130,10 @@ def interpolate(ds: Dataset) -> DataFrame:
 
 
 def backfill_global(ds: Dataset) -> DataFrame:
-    """Interpolation inside cities, then the neighbours in name order."""
-    filled = clean.backfill_across(clean.interpolate(with_empty_series(ds), ["city"]), "city")
+    """Interpolation inside cities, then the neighbours in name order.  The
+    interpolated table is written once: the second step reads it three times."""
+    patched = written(clean.interpolate(with_empty_series(ds), ["city"]), "interpolated")
+    filled = clean.backfill_across(patched, "city")
     return filled.select("city", "date", *[rounded(m, 6).alias(m) for m in MEASURES])
 
 

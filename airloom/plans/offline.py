@@ -63,6 +63,17 @@ def streak_trend(ds: Dataset, min_aqi: float = 401) -> DataFrame:
     )
 
 
+def streak_projection(ds: Dataset, min_aqi: float = 401, ahead: int = 2) -> DataFrame:
+    """The same line carried on for the next years."""
+    yearly = _yearly_streaks(ds, min_aqi).groupBy("year").agg(F.max("streak").alias("streak"))
+    fit = yearly.agg(
+        F.regr_slope("streak", "year").alias("slope"), F.regr_intercept("streak", "year").alias("start"), F.max("year").alias("last")
+    )
+    year = F.col("last") + F.col("step")
+    steps = fit.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(ahead))))
+    return steps.select(year.alias("year"), rounded(F.col("start") + F.col("slope") * year, 4).alias("projected_streak")).orderBy("year")
+
+
 def spells(ds: Dataset, above: float = 200) -> DataFrame:
     """Mean, number and longest polluted spell for every city, 0 without any."""
     rows = filled(ds)

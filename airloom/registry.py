@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from airloom.models import anomaly, cluster, forecast, health, sequences
+from airloom.operators.search import search
 from airloom.plans import dashboard, features, ingest, named, offline
 from airloom.sources.tables import Dataset, load, table
+from airloom.streaming.live import live_batch, run_live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -140,9 +143,40 @@ INGEST = {
     "i12_key_checks": (ingest.key_checks, {}),
 }
 
+MODELS = {
+    "m1_forecast": (forecast.forecasts, {}),
+    "m1_forecast_summary": (forecast.forecast_summary, {"metric": "pm25"}),
+    "m1_forecast_monthly": (forecast.forecast_monthly, {}),
+    "m2_isolation_forest": (anomaly.anomaly_report, {}),
+    "m2_anomaly_days": (anomaly.anomaly_days, {}),
+    "m3_anomaly_summary": (anomaly.anomaly_summary, {}),
+    "v7_score_shape": (anomaly.score_shape, {}),
+    "m4_kmeans": (cluster.clusters, {}),
+    "m4_elbow": (cluster.elbow, {}),
+    "m5_pca2": (cluster.components, {}),
+    "m6_health_score": (health.health_score, {}),
+    "m7_health_summary": (health.health_summary, {}),
+    "m8_trend_projection": (offline.streak_projection, {}),
+    "m9_minmax_sequences": (sequences.window_summary, {}),
+}
+
+QUESTION = "How does traffic tion increase in winter states?"
+
+
+def synonym_search(spark: SparkSession, folder: str) -> DataFrame:
+    return search(table(spark, folder, "documents"), QUESTION)
+
+
+def live_category_batch(spark: SparkSession, folder: str) -> DataFrame:
+    return live_batch(table(spark, folder, "events"))
+
+
 # Queries that read further tables or write files on their way.
 DIRECT: dict[str, Query] = {
     "d22_hourly_to_daily": hourly_to_daily,
+    "r1_synonym_search": synonym_search,
+    "L1_live_category": run_live,
+    "L1_live_category_batch": live_category_batch,
     "i1_calendar_pivot": ingest.calendar_pivot,
     "i3_gap_fill": ingest.gap_fill,
     "i3_gap_fill_counts": ingest.gap_fill_counts,
@@ -164,6 +198,7 @@ def all_queries() -> dict[str, Query]:
         **_from(OFFLINE),
         **_from(DASHBOARD),
         **_from(INGEST),
+        **_from(MODELS),
         **DIRECT,
     }
 

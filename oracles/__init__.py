@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def all_sql() -> dict[str, str]:
-    from oracles import dashboard, ingest, named, offline
+    from oracles import dashboard, ingest, models, named, offline
 
-    twins = {**named.Q, **offline.Q, **dashboard.Q, **ingest.Q}
+    twins = {**named.Q, **offline.Q, **dashboard.Q, **ingest.Q, **models.Q}
     twins["d5_named_query"] = named.Q["q29_seasonal_drop"]
     twins["s4_stored_result"] = named.Q["q18_rain_before_after"]
     twins["s1_json_documents"] = (
