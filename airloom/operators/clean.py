@@ -19,7 +19,7 @@ def calendar_pivot(landed: DataFrame, load_order: str = "load_seq") -> DataFrame
     """Long (city, sensor, day, value) to one row per city and day, over the union
     of all days.  Of several loads of a value the latest wins, also a null."""
     latest = landed.groupBy("city", "day", "sensor").agg(
-        F.max_by(F.struct("value"), F.col(load_order))["value"].alias("value")
+        F.max_by("value", F.col(load_order)).alias("value")
     )
     wide = latest.groupBy("city", "day").pivot("sensor", list(SENSORS)).agg(F.first("value"))
     return wide.select(

@@ -14,7 +14,6 @@ already has.  Results equal the plain window form (see the tests).
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,9 +49,11 @@ SO_FAR = (Window.unboundedPreceding, 0)
 
 
 def _attach(df: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join block summaries to their rows; null keys are a series of their own."""
-    on = reduce(lambda a, b: a & b, [df[k].eqNullSafe(summary[k]) for k in (*keys, BLOCK)])
-    return df.join(summary, on).select(*[df[c] for c in df.columns], *[summary[c] for c in summary.columns if c not in (*keys, BLOCK)])
+    """Join block summaries to their rows.  Plain equality: above the broadcast
+    size the join keeps the (keys, block) partitioning of the windows.  Keys and
+    order column are never null, they are the key of the table."""
+    extra = [c for c in summary.columns if c not in (*keys, BLOCK)]
+    return df.join(summary, [*keys, BLOCK]).select(*df.columns, *extra)
 
 
 def numbered(df: DataFrame, keys: Sequence[str], date: str = "date", pos: str = "pos", total: str | None = None) -> DataFrame:
@@ -72,14 +73,18 @@ def numbered(df: DataFrame, keys: Sequence[str], date: str = "date", pos: str =
 def previous_row(df: DataFrame, keys: Sequence[str], columns: Sequence[str], date: str = "date", prefix: str = "prev_") -> DataFrame:
     """Values of the row before, by row order (a missing day is no row)."""
     rows = with_block(df, date)
-    carried = F.struct(*columns)
-    last = rows.groupBy(*keys, BLOCK).agg(F.max_by(carried, F.col(date)).alias("_last"))
-    handed = last.select(*keys, BLOCK, F.lag("_last").over(_across(keys)).alias("_handed"))
-    inner = rows.withColumn("_prev", F.lag(carried).over(_inside(keys, date)))
-    out = _attach(inner, handed, keys).withColumn("_prev", F.coalesce("_prev", "_handed"))
+    ends = rows.groupBy(*keys, BLOCK).agg(*[F.max_by(c, F.col(date)).alias(f"_{c}_end") for c in columns])
+    handed = ends.select(*keys, BLOCK, *[F.lag(f"_{c}_end").over(_across(keys)).alias(f"_{c}_handed") for c in columns])
+    window = _inside(keys, date)
+    inner = rows.select(
+        "*",
+        (F.row_number().over(window) == 1).alias("_opens"),
+        *[F.lag(c).over(window).alias(prefix + c) for c in columns],
+    )
+    out = _attach(inner, handed, keys)
     for c in columns:
-        out = out.withColumn(prefix + c, F.col("_prev")[c])
-    return out.drop("_prev", "_handed")
+        out = out.withColumn(prefix + c, F.when(F.col("_opens"), F.col(f"_{c}_handed")).otherwise(F.col(prefix + c)))
+    return out.drop("_opens", *[f"_{c}_handed" for c in columns])
 
 
 def next_match(df: DataFrame, keys: Sequence[str], target: Column, out: str, order: str = "date", date: str = "date") -> DataFrame:
@@ -109,17 +114,25 @@ def known_neighbours(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
     and after, as structs `<c>_before` and `<c>_after` of (pos, value)."""
     rows = with_block(df, date)
     known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(pos).alias("pos"), F.col(c).alias("value"))) for c in columns}
+    # Plain numbers in the aggregation keep it hash-based; structs are built after it.
+    at = {c: F.when(F.col(c).isNotNull(), F.col(pos)) for c in columns}
     edges = rows.groupBy(*keys, BLOCK).agg(
-        *[F.max_by(known[c], F.when(F.col(c).isNotNull(), F.col(pos))).alias(f"_{c}_last") for c in columns],
-        *[F.min_by(known[c], F.when(F.col(c).isNotNull(), F.col(pos))).alias(f"_{c}_first") for c in columns],
+        *[f(at[c]).alias(f"_{c}_{f.__name__}_pos") for c in columns for f in (F.min, F.max)],
+        *[F.max_by(c, at[c]).alias(f"_{c}_max") for c in columns],
+        *[F.min_by(c, at[c]).alias(f"_{c}_min") for c in columns],
     )
+
+    def edge(c: str, end: str) -> Column:
+        found = F.col(f"_{c}_{end}_pos")
+        return F.when(found.isNotNull(), F.struct(found.alias("pos"), F.col(f"_{c}_{end}").alias("value")))
+
     earlier = _across(keys).rowsBetween(*BEFORE)
     later = _across_back(keys).rowsBetween(*BEFORE)
     handed = edges.select(
         *keys,
         BLOCK,
-        *[F.last(f"_{c}_last", ignorenulls=True).over(earlier).alias(f"_{c}_from") for c in columns],
-        *[F.last(f"_{c}_first", ignorenulls=True).over(later).alias(f"_{c}_to") for c in columns],
+        *[F.last(edge(c, "max"), ignorenulls=True).over(earlier).alias(f"_{c}_from") for c in columns],
+        *[F.last(edge(c, "min"), ignorenulls=True).over(later).alias(f"_{c}_to") for c in columns],
     )
     back = _inside(keys, pos).rowsBetween(*SO_FAR)
     ahead = _inside_back(keys, pos).rowsBetween(*SO_FAR)

@@ -51,20 +51,20 @@ def daily_range(ds: Dataset, city_id: int, start: str, end: str) -> DataFrame:
 
 def overview(ds: Dataset) -> DataFrame:
     """Every city with its latest day and the mean of its latest month."""
-    figures = F.struct(*[F.col(m).alias(k) for k, m in SHOWN.items()])
     month = ds.readings.groupBy("city_id", F.trunc("date", "month").alias("month")).agg(
         F.max("date").alias("day"),
-        F.max_by(figures, F.col("date")).alias("now"),
-        F.struct(*[F.avg(m).alias(k) for k, m in SHOWN.items()]).alias("mean"),
+        *[F.max_by(m, "date").alias(f"now_{k}") for k, m in SHOWN.items()],
+        *[F.avg(m).alias(f"mean_{k}") for k, m in SHOWN.items()],
     )
-    latest = month.groupBy("city_id").agg(F.max_by(F.struct("day", "now", "mean"), "month").alias("l"))
+    rest = [c for c in month.columns if c not in ("city_id", "month")]
+    latest = month.groupBy("city_id").agg(*[F.max_by(c, "month").alias(c) for c in rest])
     out = ds.cities.join(latest, "city_id", "left").select(
         "city_id",
         "city_name",
         "state",
-        F.col("l.day").alias("latest_date"),
-        *[metric(F.col(f"l.now.{k}")).alias(f"current_{k}") for k in SHOWN],
-        *[metric(F.col(f"l.mean.{k}")).alias(f"month_{k}") for k in SHOWN],
+        F.col("day").alias("latest_date"),
+        *[metric(f"now_{k}").alias(f"current_{k}") for k in SHOWN],
+        *[metric(f"mean_{k}").alias(f"month_{k}") for k in SHOWN],
     )
     return out.orderBy("city_name")
 
