@@ -77,7 +77,7 @@ def _between(c: str) -> Column:
 def interpolate(df: DataFrame, keys: Sequence[str], columns: Sequence[str] = MEASURES) -> DataFrame:
     """Linear interpolation over row positions inside each series; the ends take
     the nearest value, an all-null series stays null."""
-    near = known_neighbours(numbered(df, keys), keys, columns)
+    near = known_neighbours(numbered(df, keys), keys, columns, columns)
     return near.select(*[_between(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
@@ -91,8 +91,8 @@ def backfill_across(df: DataFrame, name: str, columns: Sequence[str] = MEASURES,
         *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("date"))).alias(f"{c}_head") for c in columns],
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("date"))).alias(f"{c}_tail") for c in columns],
     )
-    ends = [f"{c}_{e}" for c in columns for e in ("head", "tail")]
-    near = known_neighbours(edges.withColumn(BLOCK, F.substring(name, 1, prefix)), [], ends, pos=name)
+    blocks = edges.withColumn(BLOCK, F.substring(name, 1, prefix))
+    near = known_neighbours(blocks, [], [f"{c}_tail" for c in columns], [f"{c}_head" for c in columns], pos=name)
     given = [F.coalesce(f"{c}_head_after.value", f"{c}_tail_before.value").alias(f"_{c}") for c in columns]
     empty = " or ".join(f"{c}_head is null" for c in columns)
     fills = near.filter(empty).select(name, *given)

@@ -82,9 +82,8 @@ def previous_row(df: DataFrame, keys: Sequence[str], columns: Sequence[str], dat
         *[F.lag(c).over(window).alias(prefix + c) for c in columns],
     )
     out = _attach(inner, handed, keys)
-    for c in columns:
-        out = out.withColumn(prefix + c, F.when(F.col("_opens"), F.col(f"_{c}_handed")).otherwise(F.col(prefix + c)))
-    return out.drop("_opens", *[f"_{c}_handed" for c in columns])
+    crossed = {prefix + c: F.when(F.col("_opens"), F.col(f"_{c}_handed")).otherwise(F.col(prefix + c)) for c in columns}
+    return out.withColumns(crossed).drop("_opens", *[f"_{c}_handed" for c in columns])
 
 
 def next_match(df: DataFrame, keys: Sequence[str], target: Column, out: str, order: str = "date", date: str = "date") -> DataFrame:
@@ -109,17 +108,21 @@ def previous_match(df: DataFrame, keys: Sequence[str], target: Column, out: str,
     return _attach(inner, handed, keys).withColumn(out, F.coalesce(out, "_handed")).drop("_handed")
 
 
-def known_neighbours(df: DataFrame, keys: Sequence[str], columns: Sequence[str], pos: str = "pos", date: str = "date") -> DataFrame:
-    """For every column the nearest present value before (at or before the row)
-    and after, as structs `<c>_before` and `<c>_after` of (pos, value)."""
+def known_neighbours(
+    df: DataFrame, keys: Sequence[str], before: Sequence[str], after: Sequence[str], pos: str = "pos", date: str = "date"
+) -> DataFrame:
+    """The nearest present value at or before the row for the columns of `before`,
+    at or after it for those of `after`, as structs `<c>_before` and `<c>_after`
+    of (pos, value)."""
     rows = with_block(df, date)
-    known = {c: F.when(F.col(c).isNotNull(), F.struct(F.col(pos).alias("pos"), F.col(c).alias("value"))) for c in columns}
+    known = {
+        c: F.when(F.col(c).isNotNull(), F.struct(F.col(pos).alias("pos"), F.col(c).alias("value"))) for c in {*before, *after}
+    }
     # Plain numbers in the aggregation keep it hash-based; structs are built after it.
-    at = {c: F.when(F.col(c).isNotNull(), F.col(pos)) for c in columns}
+    at = {c: F.when(F.col(c).isNotNull(), F.col(pos)) for c in known}
     edges = rows.groupBy(*keys, BLOCK).agg(
-        *[f(at[c]).alias(f"_{c}_{f.__name__}_pos") for c in columns for f in (F.min, F.max)],
-        *[F.max_by(c, at[c]).alias(f"_{c}_max") for c in columns],
-        *[F.min_by(c, at[c]).alias(f"_{c}_min") for c in columns],
+        *[x for c in before for x in (F.max(at[c]).alias(f"_{c}_last_pos"), F.max_by(c, at[c]).alias(f"_{c}_last"))],
+        *[x for c in after for x in (F.min(at[c]).alias(f"_{c}_first_pos"), F.min_by(c, at[c]).alias(f"_{c}_first"))],
     )
 
     def edge(c: str, end: str) -> Column:
@@ -131,21 +134,21 @@ def known_neighbours(df: DataFrame, keys: Sequence[str], columns: Sequence[str],
     handed = edges.select(
         *keys,
         BLOCK,
-        *[F.last(edge(c, "max"), ignorenulls=True).over(earlier).alias(f"_{c}_from") for c in columns],
-        *[F.last(edge(c, "min"), ignorenulls=True).over(later).alias(f"_{c}_to") for c in columns],
+        *[F.last(edge(c, "last"), ignorenulls=True).over(earlier).alias(f"_{c}_from") for c in before],
+        *[F.last(edge(c, "first"), ignorenulls=True).over(later).alias(f"_{c}_to") for c in after],
     )
     back = _inside(keys, pos).rowsBetween(*SO_FAR)
     ahead = _inside_back(keys, pos).rowsBetween(*SO_FAR)
     inner = rows.select(
         "*",
-        *[F.last(known[c], ignorenulls=True).over(back).alias(f"{c}_before") for c in columns],
-        *[F.last(known[c], ignorenulls=True).over(ahead).alias(f"{c}_after") for c in columns],
+        *[F.last(known[c], ignorenulls=True).over(back).alias(f"{c}_before") for c in before],
+        *[F.last(known[c], ignorenulls=True).over(ahead).alias(f"{c}_after") for c in after],
+    )
+    return _attach(inner, handed, keys).select(
+        *rows.columns,
+        *[F.coalesce(f"{c}_before", f"_{c}_from").alias(f"{c}_before") for c in before],
+        *[F.coalesce(f"{c}_after", f"_{c}_to").alias(f"{c}_after") for c in after],
     )
-    out = _attach(inner, handed, keys)
-    for c in columns:
-        out = out.withColumn(f"{c}_before", F.coalesce(f"{c}_before", f"_{c}_from"))
-        out = out.withColumn(f"{c}_after", F.coalesce(f"{c}_after", f"_{c}_to"))
-    return out.drop(*[f"_{c}_{e}" for c in columns for e in ("from", "to")])
 
 
 def trailing(
