@@ -145,12 +145,24 @@ def flagged(ds: Dataset, contamination: float = 0.05, trees: int = 200, seed: in
     return joined.withColumn("anomaly", F.col("score") < 0)
 
 
+def _levels(rows: DataFrame, k: float) -> DataFrame:
+    return rows.groupBy("city_id").agg((F.avg("aqi_daily") + k * F.stddev_samp("aqi_daily")).alias("threshold"))
+
+
+def thresholds(ds: Dataset, k: float = 2) -> DataFrame:
+    """Mean + k sample deviations per city and the days above it, to compare with the forest."""
+    rows = filled(ds).select("city_id", "aqi_daily")
+    out = rows.join(_levels(rows, k), "city_id").groupBy("city_id").agg(
+        rounded(F.first("threshold"), 1).alias("sql_threshold"), count_when(F.col("aqi_daily") > F.col("threshold")).alias("days_above")
+    )
+    return named(out, ds).orderBy("city")
+
+
 def anomaly_report(ds: Dataset, contamination: float = 0.05, trees: int = 200, k: float = 2) -> DataFrame:
     """Counts and rate per city; `ml_extra_detections` are anomalies at or under
     mean + k sample deviations."""
     rows = written(flagged(ds, contamination, trees), "flagged")
-    levels = rows.groupBy("city_id").agg((F.avg("aqi_daily") + k * F.stddev_samp("aqi_daily")).alias("threshold"))
-    out = rows.join(levels, "city_id").groupBy("city_id").agg(
+    out = rows.join(_levels(rows, k), "city_id").groupBy("city_id").agg(
         F.count(F.lit(1)).alias("total_points"),
         count_when(F.col("anomaly")).alias("anomalies_detected"),
         rounded(count_when(F.col("anomaly")) * 100.0 / F.count(F.lit(1)), 2).alias("anomaly_rate"),

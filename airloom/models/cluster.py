@@ -43,6 +43,12 @@ def standardised(profile: DataFrame, columns=PROFILE) -> DataFrame:
     return profile.select("city", *scaled)
 
 
+def standardised_profile(ds: Dataset) -> DataFrame:
+    """The scaled profiles the clusters are found on."""
+    z = standardised(written(city_profile(ds), "profile"))
+    return z.select("city", *[rounded(c, 6).alias(c) for c in PROFILE]).orderBy("city")
+
+
 def spread_seeds(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     """k starting points, each drawn by squared distance to those before it."""
     chosen = [points[rng.integers(len(points))]]

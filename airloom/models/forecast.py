@@ -108,3 +108,11 @@ def forecast_monthly(ds: Dataset, metric: str = "aqi_daily", steps: int = 365) -
     )
     return named(out, ds).orderBy("city", "first").select("city", F.date_format("first", "MMM yyyy").alias("month"), "predicted_avg")
 
+
+
+def forecast_calendar(ds: Dataset, metric: str = "aqi_daily", steps: int = 365) -> DataFrame:
+    """First and last forecast day and the number of days per city."""
+    days = forecasts(ds, metric, steps).filter(F.col("date").isNotNull()).groupBy("city_id").agg(
+        F.min("date").alias("first_day"), F.max("date").alias("last_day"), F.count(F.lit(1)).alias("days")
+    )
+    return named(days, ds).orderBy("city")

@@ -147,10 +147,13 @@ MODELS = {
     "m1_forecast": (forecast.forecasts, {}),
     "m1_forecast_summary": (forecast.forecast_summary, {"metric": "pm25"}),
     "m1_forecast_monthly": (forecast.forecast_monthly, {}),
+    "m1_forecast_calendar": (forecast.forecast_calendar, {}),
+    "m2_sql_threshold": (anomaly.thresholds, {}),
     "m2_isolation_forest": (anomaly.anomaly_report, {}),
     "m2_anomaly_days": (anomaly.anomaly_days, {}),
     "m3_anomaly_summary": (anomaly.anomaly_summary, {}),
     "v7_score_shape": (anomaly.score_shape, {}),
+    "m4_standardised": (cluster.standardised_profile, {}),
     "m4_kmeans": (cluster.clusters, {}),
     "m4_elbow": (cluster.elbow, {}),
     "m5_pca2": (cluster.components, {}),

@@ -3,7 +3,8 @@ question search and the latest value per entity."""
 
 from oracles.base import FILLED, rd, sql
 from oracles.dashboard import category
-from oracles.offline import STREAKS
+from oracles.offline import PROFILE, STREAKS
+from oracles.offline import Q as OFFLINE
 
 Q: dict[str, str] = {}
 
@@ -43,6 +44,16 @@ select city, date, cast(len(f) as integer) as length, round(f[1], 6) as first, r
   round(v, 6) as target, case when pos - 30 <= floor((n - 30) * 0.8) then 'train' else 'validation' end as split
 from w where pos > 30""", FILLED)
 
+Q["m1_forecast_calendar"] = sql("""
+select city, max(date) + 1 as first_day, max(date) + 365 as last_day, cast(365 as bigint) as days from z group by 1 having count(*) >= 60""", FILLED)
+Q["m2_sql_threshold"] = sql(f"""
+with t as (select city, avg(aqi_daily) + 2 * stddev_samp(aqi_daily) as thr from z group by 1)
+select city, {rd('max(thr)', 1)} as sql_threshold, count(*) filter (aqi_daily > thr) as days_above from z join t using (city) group by 1""", FILLED)
+Q["m4_standardised"] = (
+    "select city, " + ", ".join(rd(f"({c} - avg({c}) over ()) / stddev_pop({c}) over ()", 6) + f" as {c}" for c in PROFILE)
+    + f" from ({OFFLINE['f6_city_profile']})"
+)
+
 STOP = "what is the which do how are in of for to and on a an why where when who does did has have or with about".split()
 GROUPS = {
     "pollution": ["aqi", "pm25", "pm10", "pollutant", "smog", "air quality", "gas", "particulate"],

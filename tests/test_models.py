@@ -139,3 +139,34 @@ def test_result_store_keeps_and_expires(spark):
     assert store.get("x", {"a": 1}, build).count() == 2 and len(calls) == 2
     assert store.sweep("x", {"a": 1}) == 1
     assert store.get("x", {"a": 1}, build).count() == 2
+
+
+def test_publish_goes_on_after_a_failure(spark, small):
+    from airloom.plans import named
+    from airloom.sources.publish import publish
+
+    folder = fresh_path(spark, "published")
+    plans = {"q29": named.seasonal_drop, "broken": lambda ds: ds.readings.select(F.raise_error(F.lit("no such sensor")))}
+    done = {r.query: r.error for r in publish(spark, small, folder, plans).collect()}
+    assert done["q29"] is None and done["broken"]
+    assert spark.read.json(f"{folder}/q29").count() == named.seasonal_drop(small).count()
+    assert spark.read.json(f"{folder}/broken").columns == ["error", "query"]
+    assert spark.read.json(f"{folder}/metadata").count() == 1
+
+
+def test_changed_input_is_loaded_again(spark, tmp_path):
+    from airloom.sources.tables import load
+
+    source, target = SMALL, str(tmp_path)
+    for name in ("nation", "region", "customer", "orders", "lineitem"):
+        spark.read.parquet(f"{source}/{name}.parquet").write.parquet(f"{target}/{name}.parquet")
+    first = load(spark, target).readings.count()
+    spark.read.parquet(f"{source}/orders.parquet").limit(10).write.mode("overwrite").parquet(f"{target}/orders.parquet")
+    assert load(spark, target).readings.count() <= 10 < first
+
+
+def test_shared_folder_setting_is_read(spark):
+    from airloom.sources.scratch import shared_folder
+
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    assert shared_folder(spark) == (named.rstrip("/") if named else shared_folder(spark))
