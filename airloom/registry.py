@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from airloom.models import anomaly, cluster, forecast, health, sequences
 from airloom.operators.search import search
 from airloom.plans import dashboard, features, ingest, named, offline
-from airloom.sources.tables import Dataset, load, table
+from airloom.sources.tables import load, table
 from airloom.streaming.live import live_batch, run_live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -206,4 +206,4 @@ def all_queries() -> dict[str, Query]:
     }
 
 
-__all__ = ["Dataset", "Query", "all_queries", "on_dataset"]
+__all__ = ["Query", "all_queries", "on_dataset"]
