@@ -24,8 +24,10 @@ from airloom.sources.scratch import fresh_path
 
 #: Bytes of text after which a pack is closed; a longer document has its own.
 PACK_BYTES = 1 << 20
-#: Bytes of keys that one bucket should hold.
-BUCKET_BYTES = 12 << 20
+#: Documents after which a pack is closed, so that a place in it has 16 bits.
+PACK_DOCUMENTS = 1 << 16
+#: Bytes of keys that one bucket should hold; a worker needs about twenty times as much.
+BUCKET_BYTES = 3 << 20
 
 PACKS = "pack long, n_bytes long, ids binary, lengths binary, text binary"
 MESSAGES = "bucket int, pack long, keys binary"
@@ -54,16 +56,16 @@ def text_buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     press = zstandard.ZstdCompressor(level=1)
-    number = (TaskContext.get().partitionId() << 33) if TaskContext.get() else 0
-    ids, sizes, texts, total = [], [], [], 0
+    number = (TaskContext.get().partitionId() << 27) if TaskContext.get() else 0
+    ids, sizes, texts, total, many = [], [], [], 0, 0
 
     def close():
-        nonlocal number, ids, sizes, texts, total
+        nonlocal number, ids, sizes, texts, total, many
         row = pa.RecordBatch.from_arrays(
             [pa.array([number]), pa.array([total]), pa.array([np.concatenate(ids).tobytes()], pa.binary()), pa.array([np.concatenate(sizes).tobytes()], pa.binary()), pa.array([press.compress(np.concatenate(texts).tobytes())], pa.binary())],
             ["pack", "n_bytes", "ids", "lengths", "text"],
         )
-        number, ids, sizes, texts, total = number + 1, [], [], [], 0
+        number, ids, sizes, texts, total, many = number + 1, [], [], [], 0, 0
         return row
 
     for batch in batches:
@@ -73,11 +75,13 @@ def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while at < len(keys):
             room = PACK_BYTES - total
             to = max(int(np.searchsorted(offsets, offsets[at] + room, "right")) - 1, at + (0 if ids else 1))
+            to = min(to, at + PACK_DOCUMENTS - many, len(keys))
             if to > at:
                 ids.append(keys[at:to])
                 sizes.append(np.diff(offsets[at : to + 1]))
                 texts.append(data[offsets[at] : offsets[to]].copy())
                 total += int(offsets[to] - offsets[at])
+                many += to - at
             if to < len(keys):
                 yield close()
             at = to
