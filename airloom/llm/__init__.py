@@ -8,10 +8,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from airloom.llm.bpe import op1_byte_bpe
+from airloom.llm.ngram_join import op3_ngram_join
 from airloom.llm.span_dedup import op9_span_dedup
 from airloom.llm.suffix_dedup import op8_suffix_dedup
 
-_QUERIES = (op8_suffix_dedup, op9_span_dedup)
+_QUERIES = (op1_byte_bpe, op3_ngram_join, op8_suffix_dedup, op9_span_dedup)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
