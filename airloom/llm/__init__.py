@@ -9,11 +9,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from airloom.llm.bpe import op1_byte_bpe
+from airloom.llm.chat import op10_chat_formats
+from airloom.llm.decontaminate import op6_benchmark_hits
+from airloom.llm.fingerprint import op5_fingerprints
+from airloom.llm.html_text import op7_html_text
 from airloom.llm.ngram_join import op3_ngram_join
+from airloom.llm.quality import op4_quality
 from airloom.llm.span_dedup import op9_span_dedup
 from airloom.llm.suffix_dedup import op8_suffix_dedup
-
-_QUERIES = (op1_byte_bpe, op3_ngram_join, op8_suffix_dedup, op9_span_dedup)
+from airloom.llm.toxicity import op2_toxicity
+
+_QUERIES = (
+    op1_byte_bpe,
+    op2_toxicity,
+    op3_ngram_join,
+    op4_quality,
+    op5_fingerprints,
+    op6_benchmark_hits,
+    op7_html_text,
+    op8_suffix_dedup,
+    op9_span_dedup,
+    op10_chat_formats,
+)
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -29,8 +29,8 @@ from airloom.shipping import ship_package
 
 #: Texts of one call into the library; it works through them on one core.
 CHUNK = 256
-#: Parts of texts that a worker remembers, and the longest part that it does.
-KNOWN_PARTS = 400_000
+#: Parts of texts in one generation of what a worker remembers, and the longest such part.
+KNOWN_PARTS = 250_000
 LONG_PART = 40
 #: A place where a text may be cut, and a space before which one must look closer.
 CUT = re.compile(r"(?= \S)")
@@ -93,29 +93,49 @@ def tokenizer(path: str, pattern: str):
     return own, table
 
 
+class _Parts(dict):
+    """Ids of the parts of texts met so far, in two generations: when the young one is
+    full it becomes the old one, and what is still in use moves over again."""
+
+    def __init__(self, own, size: int):
+        super().__init__()
+        self.own, self.size, self.old = own, size, {}
+        self.shared = list(range(size))  # one object for each id
+
+    def learn(self, parts) -> dict[str, tuple[int, ...]]:
+        """Have all these parts; returns the long ones, which are not kept."""
+        if len(self) > KNOWN_PARTS:
+            self.old = dict(self)
+            self.clear()
+        fresh, once, old, shared = [], {}, self.old, self.shared
+        for part in set(parts).difference(self):
+            ids = old.get(part)
+            if ids is None:
+                fresh.append(part)
+            else:
+                self[part] = ids
+        for part, e in zip(fresh, self.own.encode_batch_fast(fresh, add_special_tokens=False)):
+            (self if len(part) <= LONG_PART else once)[part] = tuple([shared[i] for i in e.ids])
+        return once
+
+
 @functools.cache
-def _known(path: str, pattern: str) -> dict[str, list[int]]:
-    return {}
+def _known(path: str, pattern: str) -> _Parts:
+    own, table = tokenizer(path, pattern)
+    return _Parts(own, len(table))
 
 
 def encoded(texts: list[str], path: str, pattern: str) -> list[list[int]]:
     """The ids of each text.
 
     Every match of the pattern begins anew at a space that stands before a character
-    other than white space, so a text is cut there and each different part of a worker's
-    texts is encoded once.  The memory of parts is emptied when it is full."""
-    own, _ = tokenizer(path, pattern)
+    other than white space, so a text is cut there, and a worker encodes each different
+    part of its texts once."""
     known = _known(path, pattern)
     parts = [CUT.split(t) if LOOSE.search(t) else [p if i == 0 else " " + p for i, p in enumerate(t.split(" "))] for t in texts]
-    fresh = list(set(itertools.chain.from_iterable(parts)).difference(known))
-    if len(known) + len(fresh) > KNOWN_PARTS:
-        known.clear()
-        fresh = list(set(itertools.chain.from_iterable(parts)))
-    once = {}
-    for part, e in zip(fresh, own.encode_batch_fast(fresh, add_special_tokens=False)):
-        (known if len(part) <= LONG_PART else once)[part] = e.ids
-    get = once.get if once else {}.get
-    return [list(itertools.chain.from_iterable([known[p] if p in known else get(p) for p in row])) for row in parts]
+    once = known.learn(itertools.chain.from_iterable(parts))
+    flat = itertools.chain.from_iterable
+    return [list(flat([known[p] if p in known else once[p] for p in row])) if once else list(flat(map(known.__getitem__, row))) for row in parts]
 
 
 def decoded(ids: list[int], path: str, pattern: str) -> bytes:
@@ -138,26 +158,26 @@ def token_spans(ids: list[int], path: str, pattern: str) -> list[tuple[int, int]
     return spans
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     for batch in batches:
         for at in range(0, batch.num_rows, CHUNK):
             part = batch.slice(at, CHUNK)
-            yield part.column(0), [x or "" for x in part.column(1).to_pylist()]
+            yield part, [x or "" for x in part.column(1).to_pylist()]
 
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _prepared(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
     spark = docs.sparkSession
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *keep)
 
 
 def bpe_encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and the ids of the whole text."""
 
     def each(batches):
-        for keys, texts in _chunks(batches):
-            yield pa.RecordBatch.from_arrays([keys, pa.array(encoded(texts, path, pattern), pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for part, texts in _chunks(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encoded(texts, path, pattern), pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return _prepared(docs, id_col, text_col).mapInArrow(each, "doc_id long, ids array<int>")
 
@@ -174,21 +194,26 @@ def bpe_decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     return tokens.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).alias("ids")).mapInArrow(each, "doc_id long, bytes binary")
 
 
-def bpe_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Number of tokens, digest of the ids and digest of what they decode to, by document."""
+def bpe_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Number of tokens, digest of the ids and digest of what they decode to, by row, with the columns to keep."""
+    rows = _prepared(docs, id_col, text_col, keep)
+    kept = [f for f in rows.schema.fields if f.name in keep]
+    schema = DIGESTS + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in kept)
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *[f.name for f in kept]]
 
     def each(batches):
         table = tokenizer(path, pattern)[1]
         numbers = [str(i) for i in range(len(table))]
-        for keys, texts in _chunks(batches):
+        for part, texts in _chunks(batches):
             many, ids_hex, raw_hex = [], [], []
             for ids in encoded(texts, path, pattern):
                 many.append(len(ids))
                 ids_hex.append(hashlib.sha256(" ".join([numbers[i] for i in ids]).encode()).hexdigest())
                 raw_hex.append(hashlib.sha256(b"".join([table[i] for i in ids])).hexdigest())
-            yield pa.RecordBatch.from_arrays([keys, pa.array(many, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(raw_hex, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            columns = [part.column(0), pa.array(many, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(raw_hex, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [part.column(2 + i) for i in range(len(kept))], names)
 
-    return _prepared(docs, id_col, text_col).mapInArrow(each, DIGESTS)
+    return rows.mapInArrow(each, schema)
 
 
 def vocabulary() -> tuple[str, str]:

@@ -249,5 +249,14 @@ def ngram_join(docs: DataFrame, words: int = 5, share: Fraction = Fraction(75, 1
     )
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with the smallest id of their group, with all their columns.
+
+    Rows without an id stay; rows with equal ids stay or go together."""
+    linked = ngram_join(docs, id_col=id_col, text_col=text_col)
+    later = linked.groupBy("doc_id").agg(F.min("component_id").alias("least")).where("least < doc_id").select(F.col("doc_id").alias("_later"))
+    return docs.join(later, docs[id_col] == F.col("_later"), "left_anti")
+
+
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
     return ngram_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
