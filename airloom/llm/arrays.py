@@ -35,7 +35,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64, kept and grown on demand."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         out = np.empty(size, U64)
         out[0] = 1
         done = 1

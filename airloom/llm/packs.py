@@ -1,4 +1,4 @@
-"""Packs: whole documents put together to rows of about one megabyte of text.
+"""Packs: whole documents put together to rows of about half a megabyte of text.
 
 A pack is the unit in which the text operators hand keys to Spark.  Packs are
 written once to the shared folder, bucketed by their number, so a pack has the same
@@ -23,11 +23,11 @@ from airloom.shipping import ship_package
 from airloom.sources.scratch import fresh_path
 
 #: Bytes of text after which a pack is closed; a longer document has its own.
-PACK_BYTES = 1 << 20
+PACK_BYTES = 1 << 19
 #: Documents after which a pack is closed, so that a place in it has 16 bits.
 PACK_DOCUMENTS = 1 << 16
 #: Bytes of keys that one bucket should hold; a worker needs about twenty times as much.
-BUCKET_BYTES = 3 << 20
+BUCKET_BYTES = 2 << 20
 
 PACKS = "pack long, n_bytes long, ids binary, lengths binary, text binary"
 MESSAGES = "bucket int, pack long, keys binary"
@@ -93,7 +93,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """The packs of all documents with an id, written to the shared folder."""
     spark = docs.sparkSession
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
     chosen = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     size = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
