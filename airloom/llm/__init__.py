@@ -18,6 +18,7 @@ from airloom.llm.quality import op4_quality
 from airloom.llm.span_dedup import op9_span_dedup
 from airloom.llm.suffix_dedup import op8_suffix_dedup
 from airloom.llm.toxicity import op2_toxicity
+from airloom.llm.twins import SQL
 
 _QUERIES = (
     op1_byte_bpe,
@@ -38,4 +39,4 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def llm_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

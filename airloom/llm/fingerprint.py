@@ -136,7 +136,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     spark = docs.sparkSession
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    cuts = rows.agg(F.percentile_approx(F.col("doc_id").cast("double"), [k / parts for k in range(1, parts)], 10 * parts)).first()[0] or []
+    cuts = rows.agg(F.percentile_approx(F.col("doc_id").cast("double"), [k / parts for k in range(1, parts)], 10 * parts)).first()[0] or [0.0]
     splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
     rows = Bucketizer(splits=splits, inputCol="place", outputCol="range").transform(rows.withColumn("place", F.col("doc_id").cast("double")))
     rows = rows.select(F.col("range").cast("int").alias("block"), "doc_id", "text")

@@ -10,11 +10,12 @@ seventeen byte windows.
 Round 1 sends, of each stretch, the key, a hash of its whole content and its document.
 Spark deals them by key.  A key met once is done: none of its windows can repeat.  If
 all stretches under a key are equal, the first document owns them and the others are
-covered.  Only where different stretches share a key are windows compared one by one
-in round 2, and there only the first copy of each different stretch is sent.
+covered.  Only where different stretches share a key are windows compared one by one:
+round 2 deals these windows by the hash of their content.
 
-Combined keys: a stretch that a pack holds several times is sent once a pack, with its
-smallest document, so no key has more entries than there are packs."""
+No key is hot: a pack sends one entry a key in round 1 (several different stretches are
+one mark) and one entry a window in round 2, with the smallest document that has it, so
+a key has no more entries than there are packs."""
 
 from __future__ import annotations
 
@@ -30,6 +31,8 @@ from airloom.llm.packs import ANSWERS, MESSAGES, Pack, answered, bucket_count, b
 from airloom.sources.scratch import written
 
 COVERED, COMPARE = 1, 2
+#: Sent instead of a content hash by a pack that has several stretches under a key.
+SEVERAL = U64(0xFFFFFFFFFFFF)
 _LOW32 = U64(0xFFFFFFFF)
 _HIGH32 = U64(0xFFFFFFFF00000000)
 
@@ -99,8 +102,19 @@ def _slices(key: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
     return [(int(of[a]), int(a), int(b)) for a, b in zip(cuts[:-1], cuts[1:])]
 
 
+def _key_groups(s: Stretches) -> tuple[np.ndarray, np.ndarray]:
+    """Over the first ones of equal stretches: where a new key begins, and the key's number."""
+    key = s.key[s.first] >> U64(32)
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
+
+
 def _first_messages(s: Stretches, pack: Pack, buckets: int) -> Iterator[pa.RecordBatch]:
-    key, content, ids = s.key[s.first], s.content[s.first], pack.ids[s.doc[s.first]]
+    """One entry a key: its only stretch in this pack, or the mark that it has several."""
+    starts, number = _key_groups(s)
+    key, content, ids = s.key[s.first][starts], s.content[s.first][starts].copy(), pack.ids[s.doc[s.first]][starts]
+    content[np.bincount(number, minlength=len(starts)) > 1] = SEVERAL
     rows = []
     for bucket, a, b in _slices(key, buckets):
         raw = np.int64(b - a).tobytes() + _ids_out(ids[a:b]) + (key[a:b] & _LOW32).astype(np.uint32).tobytes() + _six(content[a:b])
@@ -146,82 +160,82 @@ def _first_answers(table: pa.Table) -> pa.Table:
     order = np.argsort((key << U64(32)) | (content & _LOW32))
     fresh = _groups(order, key, content)
     by_key = np.cumsum(_groups(order, key)) - 1
-    different = np.bincount(by_key, weights=fresh)[by_key] > 1
+    several = content[order] == SEVERAL
+    different = (np.bincount(by_key, weights=fresh)[by_key] > 1) & ~several
     starts = np.flatnonzero(fresh)
     least = np.minimum.reduceat(doc[order], starts)[np.cumsum(fresh) - 1]
-    later = doc[order] > least
+    later = (doc[order] > least) & ~several
     codes = np.zeros(len(order), np.uint8)
     codes[order] = np.where(later, COVERED, np.where(different, COMPARE, 0))
     return _answer(rows[0]["bucket"], [r["pack"] for r in rows], codes, sizes)
 
 
 def _codes(s: Stretches, answers: dict[int, list[bytes]], buckets: int) -> np.ndarray:
-    """The answer to each sent stretch of a pack, in its order."""
-    out = np.zeros(int(s.first.sum()), np.uint8)
+    """What is to be done with each first stretch of a pack, in its order."""
+    starts, number = _key_groups(s)
+    out = np.zeros(len(starts), np.uint8)
     if answers:
-        for bucket, a, b in _slices(s.key[s.first], buckets):
+        for bucket, a, b in _slices(s.key[s.first][starts], buckets):
             for got in answers.get(bucket, ()):
                 out[a:b] = np.frombuffer(got, np.uint8)
-    return out
+    out[np.bincount(number, minlength=len(starts)) > 1] = COMPARE
+    return out[number]
 
 
-def _compared(s: Stretches, codes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The stretches to compare, by index, with the start and hash of all their windows."""
+@dataclass
+class Windows:
+    """All windows of the stretches to compare, ordered by hash, document id and place;
+    `first` marks the first of equal ones."""
+
+    hash: np.ndarray
+    key: np.ndarray
+    doc: np.ndarray
+    begin: np.ndarray
+    first: np.ndarray
+
+
+def _compared(s: Stretches, codes: np.ndarray, ids: np.ndarray, length: int) -> Windows:
     mine = np.flatnonzero(s.first)[codes == COMPARE]
-    # sort by key, then by document and place, as equal windows of one document count in order
-    mine = mine[np.lexsort((s.low[mine], s.doc[mine], s.key[mine]))]
+    mine = mine[np.lexsort((s.low[mine], s.doc[mine], ids[s.doc[mine]]))]
     count = s.count[mine]
-    begin = np.repeat(s.low[mine] - np.concatenate([[0], np.cumsum(count)[:-1]]) if len(mine) else s.low[mine], count) + np.arange(int(count.sum()))
+    begin = np.repeat(s.low[mine] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
     hashes = s.rolling.of(begin, begin + length) if len(begin) else np.zeros(0, U64)
-    return mine, count, begin, hashes
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    first = np.ones(len(order), bool)
+    first[1:] = hashes[1:] != hashes[:-1]
+    return Windows(hashes, np.repeat(s.key[mine], count)[order], np.repeat(s.doc[mine], count)[order], begin[order], first)
 
 
-def _second_messages(s: Stretches, codes: np.ndarray, pack: Pack, buckets: int, length: int) -> Iterator[pa.RecordBatch]:
-    mine, count, _, hashes = _compared(s, codes, length)
-    if not len(mine):
-        return
-    ends = np.concatenate([[0], np.cumsum(count)])
+def _second_messages(w: Windows, pack: Pack, buckets: int) -> Iterator[pa.RecordBatch]:
+    key, hashes, ids = w.key[w.first], w.hash[w.first], pack.ids[w.doc[w.first]]
     rows = []
-    for bucket, a, b in _slices(s.key[mine], buckets):
-        ids = pack.ids[s.doc[mine[a:b]]]
-        raw = np.int64(b - a).tobytes() + _ids_out(ids) + (s.key[mine[a:b]] & _LOW32).astype(np.uint32).tobytes() + count[a:b].astype(np.uint16).tobytes() + _six(hashes[ends[a] : ends[b]])
+    for bucket, a, b in _slices(hashes, buckets):
+        raw = np.int64(b - a).tobytes() + _ids_out(ids[a:b]) + hashes[a:b].tobytes() + (key[a:b] & _LOW32).astype(np.uint32).tobytes()
         rows.append((bucket, pack.number, raw))
-    yield sent(rows)
-
-
-def _second_answers(within: bool):
-    def answers(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        keys, hashes, ids, sizes = [], [], [], []
-        for r in rows:
-            raw = r["keys"]
-            n = int(np.frombuffer(raw, np.int64, 1)[0])
-            got, used = _ids_in(raw[8:], n)
-            at = 8 + used
-            key = np.frombuffer(raw, np.uint32, n, at).astype(U64)
-            count = np.frombuffer(raw, np.uint16, n, at + 4 * n).astype(np.int64)
-            total = int(count.sum())
-            keys.append(np.repeat(key, count))
-            ids.append(np.repeat(got, count))
-            hashes.append(_six_in(raw, total, at + 6 * n))
-            sizes.append(total)
-        key, window, doc = np.concatenate(keys), np.concatenate(hashes), np.concatenate(ids)
-        order = np.argsort((key << U64(32)) | (window & _LOW32), kind="stable")
-        fresh = _groups(order, key, window)
-        group = np.cumsum(fresh) - 1
-        sorted_doc = doc[order]
-        later = sorted_doc > np.minimum.reduceat(sorted_doc, np.flatnonzero(fresh))[group]
-        if within:  # the same document again, in the same pack: entries keep the order of their places
-            pack = np.repeat(np.arange(len(rows)), sizes)[order]
-            turn = np.lexsort((np.arange(len(order)), sorted_doc, pack, group))
-            again = np.zeros(len(order), bool)
-            again[turn[1:]] = (group[turn[1:]] == group[turn[:-1]]) & (sorted_doc[turn[1:]] == sorted_doc[turn[:-1]]) & (pack[turn[1:]] == pack[turn[:-1]])
-            later |= again
-        codes = np.zeros(len(order), np.uint8)
-        codes[order] = later
-        return _answer(rows[0]["bucket"], [r["pack"] for r in rows], codes, sizes)
-
-    return answers
+    if rows:
+        yield sent(rows)
+
+
+def _second_answers(table: pa.Table) -> pa.Table:
+    rows = table.to_pylist()
+    keys, hashes, ids, sizes = [], [], [], []
+    for r in rows:
+        raw = r["keys"]
+        n = int(np.frombuffer(raw, np.int64, 1)[0])
+        got, used = _ids_in(raw[8:], n)
+        at = 8 + used
+        ids.append(got)
+        hashes.append(np.frombuffer(raw, U64, n, at))
+        keys.append(np.frombuffer(raw, np.uint32, n, at + 8 * n))
+        sizes.append(n)
+    key, window, doc = np.concatenate(keys), np.concatenate(hashes), np.concatenate(ids)
+    order = np.argsort(window)
+    fresh = _groups(order, window, key)
+    least = np.minimum.reduceat(doc[order], np.flatnonzero(fresh))[np.cumsum(fresh) - 1]
+    codes = np.zeros(len(order), np.uint8)
+    codes[order] = doc[order] > least
+    return _answer(rows[0]["bucket"], [r["pack"] for r in rows], codes, sizes)
 
 
 def _covered_windows(s: Stretches, codes: np.ndarray, second: dict[int, list[bytes]], pack: Pack, buckets: int, length: int, within: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -233,17 +247,19 @@ def _covered_windows(s: Stretches, codes: np.ndarray, second: dict[int, list[byt
     repeat = (codes[owner] == COVERED) | (pack.ids[s.doc] > pack.ids[s.doc[head]])
     if within:
         repeat |= (s.doc == s.doc[head]) & (s.low > s.low[head])
-    low, high = [s.low[repeat]], [(s.low + s.count - 1 + length)[repeat]]
-    mine, count, begin, _ = _compared(s, codes, length)
-    if len(mine) and second:
-        ends = np.concatenate([[0], np.cumsum(count)])
-        hit = np.zeros(len(begin), bool)
-        for bucket, a, b in _slices(s.key[mine], buckets):
-            for got in second.get(bucket, ()):
-                hit[ends[a] : ends[b]] = np.frombuffer(got, np.uint8) > 0
-        low.append(begin[hit])
-        high.append(begin[hit] + length)
-    return np.concatenate(low), np.concatenate(high)
+    w = _compared(s, codes, pack.ids, length)
+    if not len(w.hash):
+        return s.low[repeat], (s.low + s.count - 1 + length)[repeat]
+    owner = np.cumsum(w.first) - 1
+    head = np.flatnonzero(w.first)[owner]
+    earlier = np.zeros(int(w.first.sum()), bool)
+    for bucket, a, b in _slices(w.hash[w.first], buckets):
+        for got in second.get(bucket, ()):
+            earlier[a:b] = np.frombuffer(got, np.uint8) > 0
+    hit = earlier[owner] | (pack.ids[w.doc] > pack.ids[w.doc[head]])
+    if within:
+        hit |= (w.doc == w.doc[head]) & (w.begin > w.begin[head])
+    return np.concatenate([s.low[repeat], w.begin[hit]]), np.concatenate([(s.low + s.count - 1 + length)[repeat], w.begin[hit] + length])
 
 
 def repeated_windows(packs: DataFrame, units: Callable[[Pack], tuple[np.ndarray, np.ndarray]], length: int, seed: int, within: bool, result: Callable, schema: str, bytes_per_text_byte: float) -> DataFrame:
@@ -266,11 +282,10 @@ def repeated_windows(packs: DataFrame, units: Callable[[Pack], tuple[np.ndarray,
     ranks = written(ranks, "ranks")
 
     def second(pack, answers):
-        if any(COMPARE in got for many in answers.values() for got in many):
-            s = found(pack)[1]
-            yield from _second_messages(s, _codes(s, answers, buckets), pack, buckets, length)
+        s = found(pack)[1]
+        yield from _second_messages(_compared(s, _codes(s, answers, buckets), pack.ids, length), pack, buckets)
 
-    windows = answered(packs, ranks, second, MESSAGES).groupBy("bucket").applyInArrow(_second_answers(within), ANSWERS)
+    windows = answered(packs, ranks, second, MESSAGES).groupBy("bucket").applyInArrow(_second_answers, ANSWERS)
     # both rounds' answers travel together; those of round 2 have bucket numbers below zero
     both = ranks.union(windows.selectExpr("pack", "-1 - bucket as bucket", "answer"))
 
