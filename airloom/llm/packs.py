@@ -128,7 +128,7 @@ def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[Pack]:
 def bucket_count(packs: DataFrame, bytes_per_text_byte: float) -> int:
     """Buckets so that each holds about BUCKET_BYTES: it grows with the input."""
     total = packs.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(8, int(total * bytes_per_text_byte / BUCKET_BYTES) + 1)
+    return max(64, int(total * bytes_per_text_byte / BUCKET_BYTES) + 1)
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:

@@ -3,13 +3,14 @@
 Two bigram models are learned from labelled texts, one of toxic and one of ordinary
 ones.  Each discounts its bigrams and backs off to the continuation counts of its
 class, and these to counts that both classes share: how often each word stands in all
-documents, whatever their label.  A rare expression therefore gets the same probability
-from both models, and only words that a class has made its own tell them apart.  The
+documents, whatever their label.  The share of probability that goes to the backoff is
+also the same for both.  A rare expression therefore gets the same probability from both
+models, and only words that a class has made its own tell them apart.  The
 score compares the two log-likelihoods, divided by the number of words, and a logistic
 curve fitted on labelled texts that the counts have not seen puts it between 0 and 1.
 
-Bounds.  The class counts come from a sample of the labelled rows of at most
-SAMPLE_WORDS words of text (whole texts, chosen by a hash of the id); so the tables
+Bounds.  The class counts come from a sample of the labelled rows of about SAMPLE_WORDS
+words of text, half of each class (whole texts, chosen by a hash of the id); so the tables
 that every worker gets have a proven bound, which is checked before they are sent.
 The shared counts cover every word of every document."""
 
@@ -87,19 +88,16 @@ class Model:
     def shared(self, counts: np.ndarray, total: float) -> None:
         """Take over the counts of all documents, and work out the logarithms that scoring needs."""
         base = (counts + 1.0) / (total + len(counts) + 1.0)
-        rest = 1.0 / (total + len(counts) + 1.0)
-        kinds_total = np.maximum(self.kinds.sum(axis=1, keepdims=True), 1)
-        spread = DISCOUNT * (self.kinds > 0).sum(axis=1, keepdims=True) / kinds_total
-        spread = np.where(self.kinds.sum(axis=1, keepdims=True) > 0, spread, 1.0)
+        every = np.maximum(self.kinds.sum(axis=1, keepdims=True), 1)
+        # both classes give the same share to what they back off to: an expression that
+        # neither has made its own then says nothing
+        spread = DISCOUNT * (self.kinds > 0).sum() / max(self.kinds.sum(), 1)
+        left = DISCOUNT * self.next_kinds.sum(axis=0) / np.maximum(self.next_total.sum(axis=0), 1)
         # continuation counts of the class over the shared counts
-        lower = np.maximum(self.kinds - DISCOUNT, 0) / kinds_total + spread * base
-        left = np.where(self.next_total > 0, DISCOUNT * self.next_kinds / np.maximum(self.next_total, 1), 1.0)
-        total_next = np.maximum(self.next_total, 1)[:, self.of_before]
-        pair = np.maximum(self.counts - DISCOUNT, 0) / total_next + left[:, self.of_before] * lower[:, self.of_word]
-        log_left, log_lower = np.log(left), np.log(lower)
-        self.backoff = (log_left[1] - log_left[0]).astype(np.float32)
-        self.single = (log_lower[1] - log_lower[0]).astype(np.float32)
-        self.unknown = float(np.log(spread[1, 0] * rest) - np.log(spread[0, 0] * rest))
+        lower = np.maximum(self.kinds - DISCOUNT, 0) / every + spread * base
+        history = np.maximum(self.next_total, 1)[:, self.of_before]
+        pair = np.maximum(self.counts - DISCOUNT, 0) / history + left[self.of_before] * lower[:, self.of_word]
+        self.single = (np.log(lower[1]) - np.log(lower[0])).astype(np.float32)
         self.pair = (np.log(pair[1]) - np.log(pair[0])).astype(np.float32)
         # what scoring does not read need not be sent
         self.counts = self.of_word = self.of_before = self.next_total = self.next_kinds = self.kinds = None
@@ -108,10 +106,9 @@ class Model:
         """By text: the toxic log-likelihood less the ordinary one, over the number of words; and that number."""
         before = _pairs(words, cuts)
         at, known = _spot(self.words, words)
-        history, met = _spot(self.words, before)
-        each = np.where(known, self.single[at], self.unknown) + np.where(met, self.backoff[history], 0)
+        each = np.where(known, self.single[at], 0) if len(self.words) else np.zeros(len(words))
         pair, have = _spot(self.bigrams, mixed(before * U64(0x9E3779B97F4A7C15) + words))
-        each = np.where(have, self.pair[pair], each)
+        each = np.where(have, self.pair[pair], each) if len(self.bigrams) else each
         n = np.diff(cuts)
         sums = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
         return (sums[cuts[1:]] - sums[cuts[:-1]]) / np.maximum(n, 1), n
@@ -176,9 +173,13 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.where(~held_out())
     rows = texts.join(marks, "doc_id").where(F.length("text") > 0)
-    size = rows.agg(F.sum(F.length("text")), F.count("*")).first()
-    share = min(1.0, sample_words * 6 / max(1, size[0] or 0))
-    pick = (F.pmod(F.xxhash64("doc_id", F.lit("pick")), F.lit(1 << 30)) / (1 << 30)) < share
+    # about as many words of each class, so that the rare words of neither weigh more
+    letters = {r["toxic"]: r["letters"] for r in rows.groupBy("toxic").agg(F.sum(F.length("text")).alias("letters")).collect()}
+    room = sample_words * 6 / 2
+    if len(letters) > 1:
+        room = min(room, *letters.values())
+    share = F.create_map(*[F.lit(x) for k, v in letters.items() for x in (k, min(1.0, room / v))]) if letters else F.create_map(F.lit(0), F.lit(1.0))
+    pick = (F.pmod(F.xxhash64("doc_id", F.lit("pick")), F.lit(1 << 30)) / (1 << 30)) < share[F.col("toxic")]
     curve = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(4)) == 0
     sample = rows.where(pick)
 

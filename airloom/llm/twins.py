@@ -14,8 +14,8 @@ s as (
     select doc_id, unnest(case when len(ws) >= 5 then list_transform(range(1, len(ws) - 3), lambda i: list_aggregate(ws[i:i + 4], 'string_agg', ' '))
       when len(ws) > 0 then [list_aggregate(ws, 'string_agg', ' ')] else [] end) as g from w)),
 n as (select doc_id, count(*) as size, md5(string_agg(g, '|' order by g)) as own from s group by 1),
-pairs as (select a.doc_id as a, b.doc_id as b, count(*) as both from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
-e as (select a, b, x.own as mine, y.own as other from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * both >= 75 * (x.size + y.size - both)),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as inter from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by 1, 2),
+e as (select a, b, x.own as mine, y.own as other from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * inter >= 75 * (x.size + y.size - inter)),
 r as (select doc_id as a, doc_id as b from documents union select r.a, e.b from r join e on r.b = e.a),
 c as (select a, min(b) as component from r group by 1),
 l as (select a, count(distinct other) filter (other <> mine) as links from e group by 1)
