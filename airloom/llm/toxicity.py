@@ -1,13 +1,17 @@
 """Toxicity by class-conditional Kneser-Ney models (operator 2).
 
 Two bigram models are learned from labelled texts, one of toxic and one of ordinary
-ones.  Each discounts its bigrams and backs off to the continuation counts of its
-class, and these to counts that both classes share: how often each word stands in all
-documents, whatever their label.  The share of probability that goes to the backoff is
-also the same for both.  A rare expression therefore gets the same probability from both
-models, and only words that a class has made its own tell them apart.  The
-score compares the two log-likelihoods, divided by the number of words, and a logistic
-curve fitted on labelled texts that the counts have not seen puts it between 0 and 1.
+ones, over the stems of words (their first STEM bytes, lower case).  Counts are those of
+Kneser and Ney: a bigram counts the different stems before it, a stem the different
+stems before it, so copies of a text add nothing.  What the two classes share is moved
+to both alike: a class keeps an excess only where it is larger than chance explains (a
+discount of some standard deviations; held-back rows choose from CHANCES).  Bigrams back off to the stems of the class,
+and these to how often each stem stands in all documents, whatever their label; the
+share of probability that goes to the backoff is the same for both classes.  A rare
+expression therefore gets the same probability from both models, and only words that a
+class has made its own tell them apart.  The score compares the two log-likelihoods,
+divided by the number of words, and a logistic curve fitted on labelled texts that the
+counts have not seen puts it between 0 and 1.
 
 Bounds.  The class counts come from a sample of the labelled rows of about SAMPLE_WORDS
 words of text, half of each class (whole texts, chosen by a hash of the id); so the tables
@@ -29,7 +33,11 @@ from airloom.shipping import ship_package
 
 #: Words of labelled text that the class counts are taken from, about.
 SAMPLE_WORDS = 3_000_000
-#: The discount of the models, and the share of the uniform distribution at the end.
+#: Bytes of a word that its stem keeps.
+STEM = 4
+#: The excess of a class that chance may explain, in standard deviations; the curve's rows choose.
+CHANCES = (0.5, 1.0, 2.0, 3.0, 4.0)
+#: The discount of the models.
 DISCOUNT = 0.75
 #: Anything but ASCII letters and bytes of other scripts parts words here.
 PARTS = np.ones(256, bool)
@@ -38,11 +46,11 @@ _EDGE = U64(0)
 
 
 def _words(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of a text column, and the offsets of its rows."""
+    """Hashes of the stems of a text column, and the offsets of its rows."""
     data, offsets = text_buffers(array)
     data = LOWER[data]
     starts, ends, cuts = word_bounds(data, offsets, PARTS)
-    return Rolling(BYTE_VALUES[data]).of(starts, ends), cuts
+    return Rolling(BYTE_VALUES[data]).of(starts, np.minimum(ends, starts + STEM)), cuts
 
 
 def _pairs(words: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -61,74 +69,83 @@ def _spot(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-def _sums(keys: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and their counts in each class."""
-    table, where = np.unique(keys, return_inverse=True)
-    return table, np.stack([np.bincount(where[~toxic], minlength=len(table)), np.bincount(where[toxic], minlength=len(table))])
+def _key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mixed(before * U64(0x9E3779B97F4A7C15) + word)
 
 
-class Model:
-    """Both class models over the words and bigrams of the sample.
+def _moved(counts: np.ndarray, chance: float) -> np.ndarray:
+    """Counts of both classes (rows) on one scale, each excess less what chance explains."""
+    sums = np.maximum(counts.sum(axis=1), 1)
+    counts = counts * (sums.mean() / sums)[:, None]
+    level = counts.mean(axis=0)
+    excess = counts[1] - level
+    excess = np.sign(excess) * np.maximum(np.abs(excess) - chance * np.sqrt(level / 2), 0)
+    return np.stack([level - excess, level + excess])
+
 
-    For each known word: how often all documents have it; for each class its
-    continuations (distinct words before it), and how it continues as a history."""
+class Counts:
+    """What the models are made of.  Rows of the arrays are the ordinary and the toxic class."""
 
-    def __init__(self, bigrams: np.ndarray, before: np.ndarray, word: np.ndarray, counts: np.ndarray):
-        self.bigrams = bigrams
-        self.counts = counts.astype(np.float64)
+    def __init__(self, bigrams: np.ndarray, before: np.ndarray, word: np.ndarray, kinds: np.ndarray):
+        """Bigrams by ascending key, with the number of different stems before each in each class."""
+        self.bigrams, self.kinds = bigrams, kinds.astype(np.float64)
         self.words = np.unique(np.concatenate([word, before]))
         self.of_word, self.of_before = np.searchsorted(self.words, word), np.searchsorted(self.words, before)
+
+    def model(self, counts: np.ndarray, total: float, chance: float) -> Model:
+        """Both class models over the counts of all documents."""
         n = len(self.words)
-        seen = self.counts > 0
-        self.next_total = np.stack([np.bincount(self.of_before, weights=c, minlength=n) for c in self.counts])
-        self.next_kinds = np.stack([np.bincount(self.of_before, weights=s, minlength=n) for s in seen])
-        self.kinds = np.stack([np.bincount(self.of_word, weights=s, minlength=n) for s in seen])
-        self.slope, self.level = 1.0, 0.0
-
-    def shared(self, counts: np.ndarray, total: float) -> None:
-        """Take over the counts of all documents, and work out the logarithms that scoring needs."""
-        base = (counts + 1.0) / (total + len(counts) + 1.0)
-        every = np.maximum(self.kinds.sum(axis=1, keepdims=True), 1)
-        # both classes give the same share to what they back off to: an expression that
-        # neither has made its own then says nothing
-        spread = DISCOUNT * (self.kinds > 0).sum() / max(self.kinds.sum(), 1)
-        left = DISCOUNT * self.next_kinds.sum(axis=0) / np.maximum(self.next_total.sum(axis=0), 1)
-        # continuation counts of the class over the shared counts
-        lower = np.maximum(self.kinds - DISCOUNT, 0) / every + spread * base
-        history = np.maximum(self.next_total, 1)[:, self.of_before]
-        pair = np.maximum(self.counts - DISCOUNT, 0) / history + left[self.of_before] * lower[:, self.of_word]
-        self.single = (np.log(lower[1]) - np.log(lower[0])).astype(np.float32)
-        self.pair = (np.log(pair[1]) - np.log(pair[0])).astype(np.float32)
-        # what scoring does not read need not be sent
-        self.counts = self.of_word = self.of_before = self.next_total = self.next_kinds = self.kinds = None
+        base = (counts + 1.0) / (total + n + 1.0)
+        own = _moved(np.stack([np.bincount(self.of_word, weights=k > 0, minlength=n) for k in self.kinds]), chance)
+        every = np.maximum(own.sum(axis=1, keepdims=True), 1e-9)
+        spread = np.minimum(own, DISCOUNT).sum() / max(own.sum(), 1e-9)
+        lower = np.maximum(own - DISCOUNT, 0) / every + max(spread, 1e-3) * base
+        pairs = _moved(self.kinds, chance)
+        history = np.stack([np.bincount(self.of_before, weights=k, minlength=n) for k in pairs])
+        left = np.bincount(self.of_before, weights=np.minimum(pairs, DISCOUNT).sum(axis=0), minlength=n) / np.maximum(history.sum(axis=0), 1e-9)
+        pair = np.maximum(pairs - DISCOUNT, 0) / np.maximum(history, 1e-9)[:, self.of_before] + np.maximum(left, 1e-3)[self.of_before] * lower[:, self.of_word]
+        # a bigram that no class has made its own backs off to its word, and need not be sent
+        own_say = np.abs(pairs[1] - pairs[0]) > 1e-9
+        return Model(self.words, np.log(lower[1]) - np.log(lower[0]), self.bigrams[own_say], (np.log(pair[1]) - np.log(pair[0]))[own_say])
+
+
+class Model:
+    """Logarithms of the toxic over the ordinary probability, of stems and of bigrams with a say."""
+
+    def __init__(self, words: np.ndarray, single: np.ndarray, bigrams: np.ndarray, pair: np.ndarray):
+        self.words, self.single = words, single.astype(np.float32)
+        self.bigrams, self.pair = bigrams, pair.astype(np.float32)
+        self.slope, self.level, self.empty = 1.0, 0.0, 0.0
 
     def gain(self, words: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """By text: the toxic log-likelihood less the ordinary one, over the number of words; and that number."""
         before = _pairs(words, cuts)
         at, known = _spot(self.words, words)
         each = np.where(known, self.single[at], 0) if len(self.words) else np.zeros(len(words))
-        pair, have = _spot(self.bigrams, mixed(before * U64(0x9E3779B97F4A7C15) + words))
-        each = np.where(have, self.pair[pair], each) if len(self.bigrams) else each
+        if len(self.bigrams):
+            pair, have = _spot(self.bigrams, _key(before, words))
+            each = np.where(have, self.pair[pair], each)
         n = np.diff(cuts)
         sums = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
-        return (sums[cuts[1:]] - sums[cuts[:-1]]) / np.maximum(n, 1), n
+        return np.where(n > 0, (sums[cuts[1:]] - sums[cuts[:-1]]) / np.maximum(n, 1), self.empty), n
 
     def score(self, gain: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * gain + self.level, -50, 50)))
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bigram counts of each batch of labelled texts."""
+    """The different trigrams of each class in each batch of labelled texts."""
     for batch in batches:
         words, cuts = _words(batch.column(0))
         if not len(words):
             continue
         before = _pairs(words, cuts)
         toxic = np.repeat(batch.column(1).to_numpy(zero_copy_only=False) == 1, np.diff(cuts))
-        keys = mixed(before * U64(0x9E3779B97F4A7C15) + words)
-        table, first = np.unique(keys, return_index=True)
-        _, counts = _sums(keys, toxic)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (table.view(np.int64), before[first].view(np.int64), words[first].view(np.int64), counts[0].astype(np.int64), counts[1].astype(np.int64))], ["key", "before", "word", "ordinary", "toxic"])
+        pair = _key(before, words)
+        trigram = _key(_pairs(before, cuts), pair) ^ toxic.astype(U64)
+        _, first = np.unique(trigram, return_index=True)
+        columns = [x[first].view(np.int64) for x in (trigram, pair, before, words)]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(toxic[first].astype(np.int32))], ["trigram", "key", "before", "word", "toxic"])
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -183,18 +200,20 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     curve = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(4)) == 0
     sample = rows.where(pick)
 
-    counted = sample.where(~curve).select("text", "toxic").mapInArrow(_counted, "key long, before long, word long, ordinary long, toxic long")
-    table = counted.groupBy("key").agg(F.first("before").alias("before"), F.first("word").alias("word"), F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    counted = sample.where(~curve).select("text", "toxic").mapInArrow(_counted, "trigram long, key long, before long, word long, toxic int")
+    once = counted.groupBy("trigram", "toxic").agg(*[F.first(c).alias(c) for c in ("key", "before", "word")])
+    kinds = [F.sum((F.col("toxic") == k).cast("long")).alias(name) for k, name in ((0, "ordinary"), (1, "toxic_kinds"))]
+    table = once.groupBy("key").agg(F.first("before").alias("before"), F.first("word").alias("word"), *kinds)
     bigrams = table.limit(2 * sample_words).toArrow()
     if bigrams.num_rows >= 2 * sample_words:
         raise ValueError("the sample of labelled texts has more bigrams than its bound allows")
     col = lambda name: bigrams.column(name).to_numpy().view(U64)
     order = np.argsort(col("key"))
-    counts = np.stack([bigrams.column("ordinary").to_numpy(), bigrams.column("toxic").to_numpy()])[:, order]
-    model = Model(col("key")[order], col("before")[order], col("word")[order], counts)
+    counts = np.stack([bigrams.column("ordinary").to_numpy(), bigrams.column("toxic_kinds").to_numpy()])[:, order]
+    made = Counts(col("key")[order], col("before")[order], col("word")[order], counts)
 
     # how often all documents have each known word: partial sums by task, added up by word
-    known = spark.sparkContext.broadcast(model.words)
+    known = spark.sparkContext.broadcast(made.words)
 
     def everywhere(batches):
         sums, total = np.zeros(len(known.value), np.int64), 0
@@ -211,27 +230,37 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     shared = texts.select("text").mapInArrow(everywhere, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     at, n = shared.column("at").to_numpy(), shared.column("n").to_numpy()
-    counts = np.zeros(len(model.words))
+    counts = np.zeros(len(made.words))
     counts[at[at >= 0]] = n[at >= 0]
-    model.shared(counts, float(n[at < 0].sum()))
+    total = float(n[at < 0].sum())
 
-    gains = sample.where(curve).select("doc_id", "text", "toxic")
-    sent = spark.sparkContext.broadcast(model)
+    # the curve's rows also say how much of an excess chance explains
+    tried = [made.model(counts, total, chance) for chance in CHANCES]
+    sent = spark.sparkContext.broadcast(tried)
 
     def gained(batches):
         for batch in batches:
-            gain, _ = sent.value.gain(*_words(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(gain), batch.column(2)], ["gain", "toxic"])
-
-    seen = gains.mapInArrow(gained, "gain double, toxic int").toArrow()
-    model.slope, model.level = _fitted_curve(seen.column("gain").to_numpy(), seen.column("toxic").to_numpy() == 1)
-    return model
+            words, cuts = _words(batch.column(0))
+            columns = [pa.array(m.gain(words, cuts)[0]) for m in sent.value]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], [*[f"g{i}" for i in range(len(columns))], "toxic"])
+
+    schema = ", ".join(f"g{i} double" for i in range(len(tried))) + ", toxic int"
+    seen = sample.where(curve).select("text", "toxic").mapInArrow(gained, schema).toArrow()
+    toxic = seen.column("toxic").to_numpy() == 1
+    losses = []
+    for i, model in enumerate(tried):
+        gains = seen.column(f"g{i}").to_numpy()
+        model.slope, model.level = _fitted_curve(gains, toxic)
+        model.empty = float(np.median(gains[~toxic])) if not toxic.all() else 0.0
+        p = np.clip(model.score(gains), 1e-6, 1 - 1e-6)
+        losses.append(-np.mean(np.log(np.where(toxic, p, 1 - p))) if len(p) else 0.0)
+    return tried[int(np.argmin(losses))]
 
 
 def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, gain (difference of the log-likelihoods a word) and score of every row.
 
-    Defined results: a null or empty text has gain 0, and the score of that; rows without
+    Defined results: a text without words is scored like the middle ordinary one; rows without
     an id stay; repeated rows each have their score; other columns are ignored."""
     texts = _texts(docs, id_col, text_col)
     sent = docs.sparkSession.sparkContext.broadcast(model)

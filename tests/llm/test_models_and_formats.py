@@ -86,20 +86,20 @@ def test_models_without_labels_or_documents(spark):
     assert quality(empty, quality_module.fitted(empty, none)).collect() == []
 
 
-def test_kneser_ney_sums_to_one():
-    """Both class models spread all probability over the known words and the rest."""
-    rng = np.random.default_rng(2)
-    ids = toxicity_module.mixed(np.arange(1, 9, dtype=np.uint64))
-    before, word = np.repeat(ids, 8), np.tile(ids, 8)
-    keys = toxicity_module.mixed(before * np.uint64(0x9E3779B97F4A7C15) + word)
+def test_shared_counts_silence_what_no_class_owns():
+    """Equal counts, and an excess that chance explains, have no say; a class's own words have."""
+    ids = toxicity_module.mixed(np.arange(1, 12, dtype=np.uint64))
+    before, word = np.repeat(ids[:10], 11), np.tile(ids, 10)
+    keys = toxicity_module._key(before, word)
     order = np.argsort(keys)
-    counts = rng.integers(0, 4, (2, 64))
-    counts[:, counts.sum(axis=0) == 0] = 1
-    model = toxicity_module.Model(keys[order], before[order], word[order], counts[:, order])
-    kinds = model.kinds.copy()
-    model.shared(np.full(8, 5.0), 50.0)
-    assert np.isfinite(model.pair).all() and np.isfinite(model.single).all()
-    assert kinds.sum() == (counts > 0).sum()
+    kinds = np.ones((2, 110))
+    kinds[1, word == ids[9]] = 0  # ordinary texts alone have this word
+    kinds[0, word == ids[10]] = 0  # toxic ones alone this
+    kinds[0, (word == ids[3]) & (before == ids[2])] = 2  # by chance
+    model = toxicity_module.Counts(keys[order], before[order], word[order], kinds[:, order]).model(np.full(11, 5.0), 60.0, 1.0)
+    said = dict(zip(model.words.tolist(), model.single.tolist()))
+    assert said[int(ids[10])] > 1 and said[int(ids[9])] < -1
+    assert all(abs(said[int(i)]) < 0.05 for i in ids[:9])
 
 
 PAGE = """<html><head><title>T</title></head><body><header class="masthead"><h2>Site</h2></header>
