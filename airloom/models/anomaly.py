@@ -22,12 +22,13 @@ from airloom.model import MEASURES
 from airloom.operators.quantile import percentiles
 from airloom.plans.features import filled, named
 from airloom.sources.scratch import written
-from airloom.sources.tables import Dataset
+from airloom.sources.tables import Dataset, kept
 
 SAMPLE = 256
 BUCKET = 16384
 CHUNK = 25
 MIN_ROWS = 30
+TOO_FEW = "insufficient data"
 FEATURES = ("aqi_daily", "pm25", "pm10", "co", "no2", "o3")
 TREE = "city_id int, tree int, feature array<int>, cut array<double>, path array<double>"
 EULER = 0.5772156649015329
@@ -137,8 +138,14 @@ def scores(ds: Dataset, trees: int = 200, seed: int = 42) -> DataFrame:
 
 
 def flagged(ds: Dataset, contamination: float = 0.05, trees: int = 200, seed: int = 42) -> DataFrame:
-    """Every row with its score relative to the cut and whether it is anomalous."""
-    scored = written(scores(ds, trees, seed), "scores")
+    """Every row with its score relative to the cut and whether it is anomalous.
+
+    Forest and flags are made once per state of the input and parameters."""
+    return kept(ds, "flagged", (contamination, trees, seed), lambda: flags(ds, written(scores(ds, trees, seed), "scores"), contamination))
+
+
+def flags(ds: Dataset, scored: DataFrame, contamination: float) -> DataFrame:
+    """Given scores (city_id, date, score) less the cut of their city, with the readings."""
     cut = percentiles(scored, ["city_id"], "score", {"cut": contamination})
     rows = scored.join(cut, "city_id").withColumn("score", F.col("score") - F.col("cut")).drop("cut")
     joined = rows.join(filled(ds), ["city_id", "date"])
@@ -161,36 +168,42 @@ def thresholds(ds: Dataset, k: float = 2) -> DataFrame:
 def anomaly_report(ds: Dataset, contamination: float = 0.05, trees: int = 200, k: float = 2) -> DataFrame:
     """Counts and rate per city; `ml_extra_detections` are anomalies at or under
     mean + k sample deviations."""
-    rows = written(flagged(ds, contamination, trees), "flagged")
-    out = rows.join(_levels(rows, k), "city_id").groupBy("city_id").agg(
-        F.count(F.lit(1)).alias("total_points"),
+    return report(ds, flagged(ds, contamination, trees), k)
+
+
+def report(ds: Dataset, rows: DataFrame, k: float = 2) -> DataFrame:
+    """The counts of flagged rows; a city that has none of them is listed with the reason."""
+    found = rows.join(_levels(rows, k), "city_id").groupBy("city_id").agg(
         count_when(F.col("anomaly")).alias("anomalies_detected"),
         rounded(count_when(F.col("anomaly")) * 100.0 / F.count(F.lit(1)), 2).alias("anomaly_rate"),
         rounded(F.first("threshold"), 1).alias("sql_threshold"),
         count_when(F.col("anomaly") & (F.col("aqi_daily") <= F.col("threshold"))).alias("ml_extra_detections"),
+        F.lit("ok").alias("status"),
     )
+    sizes = ds.readings.groupBy("city_id").agg(F.count(F.lit(1)).alias("total_points"))
+    out = sizes.join(found, "city_id", "left").withColumn("status", F.coalesce("status", F.lit(TOO_FEW)))
     return named(out, ds).orderBy("city")
 
 
-def anomaly_days(ds: Dataset, contamination: float = 0.05, trees: int = 200, first: int = 50) -> DataFrame:
-    """The first anomalous days of each city."""
+def anomaly_days(ds: Dataset, contamination: float = 0.05, trees: int = 200, first: int | None = None) -> DataFrame:
+    """All anomalous days of each city, or the first ones by date."""
     hits = flagged(ds, contamination, trees).filter("anomaly")
     by_date = F.row_number().over(Window.partitionBy("city_id").orderBy("date"))
-    kept = hits.withColumn("_k", by_date).filter(F.col("_k") <= first)
-    out = kept.select(
+    chosen = hits if first is None else hits.withColumn("_k", by_date).filter(F.col("_k") <= first)
+    out = chosen.select(
         "city_id", "date", rounded("aqi_daily", 1).alias("aqi"), rounded("pm25", 1).alias("pm25"), rounded("pm10", 1).alias("pm10"), rounded("score", 4).alias("score")
     )
     return named(out, ds).orderBy("city", "date")
 
 
 def anomaly_summary(ds: Dataset, contamination: float = 0.05, trees: int = 200) -> DataFrame:
-    report = anomaly_report(ds, contamination, trees)
-    return report.select("city", "anomaly_rate", "anomalies_detected").orderBy(F.desc("anomaly_rate"), "city")
+    rows = anomaly_report(ds, contamination, trees)
+    return rows.select("city", "anomaly_rate", "anomalies_detected", "status").orderBy(F.desc("anomaly_rate"), "city")
 
 
 def score_shape(ds: Dataset, contamination: float = 0.05, trees: int = 200) -> DataFrame:
     """Median score of the anomalies per city and the most anomalous day."""
-    hits = written(flagged(ds, contamination, trees).filter("anomaly"), "anomalies")
+    hits = flagged(ds, contamination, trees).filter("anomaly")
     medians = percentiles(hits, ["city_id"], "score", {"median_score": 0.5})
     worst = hits.groupBy("city_id").agg(F.min_by(F.struct("date", "aqi_daily", "score"), F.struct("score", "date")).alias("w"))
     out = medians.join(worst, "city_id").select(

@@ -17,10 +17,8 @@ from pyspark.sql import functions as F
 
 from airloom.functions.numeric import rounded
 from airloom.plans.features import PROFILE, city_profile
-from airloom.sources.scratch import written
-from airloom.sources.tables import Dataset
+from airloom.sources.tables import Dataset, kept
 
-SEEDS_FROM = 4096
 # Cluster names from cleanest to worst; further clusters keep the last.
 SEVERITY = (
     "Clean & Stable",
@@ -45,18 +43,48 @@ def standardised(profile: DataFrame, columns=PROFILE) -> DataFrame:
 
 def standardised_profile(ds: Dataset) -> DataFrame:
     """The scaled profiles the clusters are found on."""
-    z = standardised(written(city_profile(ds), "profile"))
+    z = _prepared(ds)[1]
     return z.select("city", *[rounded(c, 6).alias(c) for c in PROFILE]).orderBy("city")
 
 
-def spread_seeds(points: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k starting points, each drawn by squared distance to those before it."""
-    chosen = [points[rng.integers(len(points))]]
-    while len(chosen) < k:
-        gap = np.min([((points - c) ** 2).sum(axis=1) for c in chosen], axis=0)
-        p = gap / gap.sum() if gap.sum() > 0 else None
-        chosen.append(points[rng.choice(len(points), p=p)])
-    return np.array(chosen)
+def _uniform(rows: np.ndarray, *salt: int) -> np.ndarray:
+    """A number in (0, 1) for each row hash, different for each salt."""
+    x = rows.astype(np.uint64)
+    for k in salt:
+        x = (x ^ np.uint64(k + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
+
+
+def spread_seeds(z: DataFrame, columns, models: list[tuple[int, int]], seed: int) -> dict[int, np.ndarray]:
+    """Starting points of all models, each drawn from all rows by squared distance to those before it.
+
+    Every step is one pass: a row's key is an exponential draw over its weight, and the
+    row of the least key is taken, which each task can find for its own rows."""
+    names = [f"x{i}" for i in range(len(columns))]
+    chosen: dict[int, list[np.ndarray]] = {i: [] for i in range(len(models))}
+    rows = z.select(*columns, F.xxhash64("city").alias("_row"))
+    for step in range(max((k for k, _ in models), default=0)):
+        now = {i: np.array(chosen[i]) for i, (k, _) in enumerate(models) if k > step}
+
+        def draw(batches: Iterator[pd.DataFrame], step=step, now=now) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                x, row = batch[list(columns)].to_numpy(dtype=float), batch["_row"].to_numpy().view(np.uint64)
+                out = []
+                for i, c in now.items():
+                    weight = ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2).min(axis=1) if step else np.ones(len(x))
+                    k, r = models[i]
+                    key = -np.log(_uniform(row, seed, k, r, step)) / np.maximum(weight, 1e-300)
+                    at = int(key.argmin())
+                    out.append((i, float(key[at]), int(row[at].astype(np.int64)), *x[at].tolist()))
+                yield pd.DataFrame(out, columns=["model", "key", "row", *names])
+
+        drawn = rows.mapInPandas(draw, "model int, key double, row long, " + ", ".join(f"{n} double" for n in names))
+        best = drawn.groupBy("model").agg(F.min_by(F.struct(*names), F.struct("key", "row")).alias("x")).collect()
+        for b in best:  # one row per model
+            chosen[b["model"]].append(np.array(list(b["x"])))
+    return {i: np.array(c) for i, c in chosen.items()}
 
 
 def _iterate(z: DataFrame, columns, centres: dict[int, np.ndarray]) -> pd.DataFrame:
@@ -82,27 +110,23 @@ def _iterate(z: DataFrame, columns, centres: dict[int, np.ndarray]) -> pd.DataFr
     return sums.toPandas()
 
 
-def fit_all(z: DataFrame, columns, ks: range, restarts: int = 10, seed: int = 42, rounds: int = 50) -> dict[int, tuple[float, np.ndarray]]:
-    """Best (inertia, centres) for every k."""
-    # Starting points come from a hash sample of fixed size, not from all rows.
-    drawn = z.orderBy(F.xxhash64("city"), "city").limit(SEEDS_FROM).toPandas()[list(columns)].to_numpy(dtype=float)
+def fit_all(z: DataFrame, columns, ks: range, restarts: int = 10, seed: int = 42) -> dict[int, tuple[float, np.ndarray]]:
+    """Best (inertia, centres) for every k; every model moves until its centres stand still."""
     models = [(k, r) for k in ks for r in range(restarts)]
-    centres = {i: spread_seeds(drawn, k, np.random.default_rng([seed, k, r])) for i, (k, r) in enumerate(models)}
+    centres = spread_seeds(z, columns, models, seed)
     inertia: dict[int, float] = {}
     moving = dict(centres)
-    for _ in range(rounds):
+    while moving:
         sums = _iterate(z, columns, moving)
         for model, part in sums.groupby("model"):
             inertia[model] = float(part["sse"].sum())
             new = centres[model].copy()
             new[part["cluster"]] = part[[c for c in part.columns if c.startswith("s") and c != "sse"]].to_numpy() / part[["n"]].to_numpy()
-            if np.allclose(new, centres[model], atol=1e-9):
+            if np.allclose(new, centres[model], rtol=0, atol=1e-9):
                 moving.pop(model)
-            centres[model] = new
-            if model in moving:
+            else:
                 moving[model] = new
-        if not moving:
-            break
+            centres[model] = new
     best: dict[int, tuple[float, np.ndarray]] = {}
     for i, (k, _) in enumerate(models):
         if k not in best or inertia[i] < best[k][0]:
@@ -117,8 +141,22 @@ def knee(inertias: list[float], max_k: int) -> int:
 
 
 def _prepared(ds: Dataset) -> tuple[DataFrame, DataFrame]:
-    profile = written(city_profile(ds), "profile")
-    return profile, written(standardised(profile), "standardised")
+    """Profiles and scaled profiles, written once per state of the input."""
+    profile = kept(ds, "profile", (), lambda: city_profile(ds))
+    return profile, kept(ds, "standardised", (), lambda: standardised(profile))
+
+
+_fits: dict[tuple, dict[int, tuple[float, np.ndarray]]] = {}
+
+
+def _fitted(ds: Dataset, z: DataFrame, ks: range) -> dict[int, tuple[float, np.ndarray]]:
+    """fit_all, once per state of the input: at most ten times ten centres."""
+    key = (ds.readings.sparkSession.sparkContext.applicationId, ds.state, ks.start, ks.stop)
+    if not ds.state:
+        return fit_all(z, PROFILE, ks)
+    if key not in _fits:
+        _fits[key] = fit_all(z, PROFILE, ks)
+    return _fits[key]
 
 
 def _ks(profile: DataFrame, max_k: int) -> range:
@@ -128,7 +166,7 @@ def _ks(profile: DataFrame, max_k: int) -> range:
 def elbow(ds: Dataset, max_k: int = 10) -> DataFrame:
     """Inertia per number of clusters."""
     profile, z = _prepared(ds)
-    fits = fit_all(z, PROFILE, _ks(profile, max_k))
+    fits = _fitted(ds, z, _ks(profile, max_k))
     rows = [(k, round(fits[k][0], 6)) for k in sorted(fits)]
     return ds.readings.sparkSession.createDataFrame(rows, "k int, inertia double")
 
@@ -137,7 +175,7 @@ def clusters(ds: Dataset, k: int | None = None, max_k: int = 10) -> DataFrame:
     """Cities with their cluster, numbered and named from the lowest mean index."""
     profile, z = _prepared(ds)
     ks = _ks(profile, max_k)
-    fits = fit_all(z, PROFILE, ks if k is None else range(k, k + 1))
+    fits = _fitted(ds, z, ks if k is None else range(k, k + 1))
     if k is None:
         k = knee([fits[i][0] for i in ks], ks[-1])
     centres = fits[k][1]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from airloom.functions.numeric import rounded
 from airloom.plans.features import filled, named
-from airloom.sources.tables import Dataset
+from airloom.sources.tables import Dataset, kept
 
 MIN_ROWS = 60
 FITTED = "Holt-Winters"
@@ -59,6 +59,9 @@ def holt_winters(y: np.ndarray, steps: int, season: int = 365) -> np.ndarray:
     return out + cycle[(len(y) + ahead - 1) % season, best] if season else out
 
 
+REPEATED = "Last season repeated"
+
+
 def repeat_last(y: np.ndarray, steps: int) -> np.ndarray:
     return y[-steps:] if len(y) >= steps else np.full(steps, y.mean())
 
@@ -67,7 +70,13 @@ SCHEMA = "city_id int, date date, forecast double, model string"
 
 
 def forecasts(ds: Dataset, metric: str = "aqi_daily", steps: int = 365, cap: float = 600.0, band: float = 0.15) -> DataFrame:
-    """Daily forecast with its band; a short series gives one row with the reason."""
+    """Daily forecast with its band; a short series gives one row with the reason.
+
+    Fitted once per state of the input and parameters."""
+    return kept(ds, "forecasts", (metric, steps, cap, band), lambda: _forecasts(ds, metric, steps, cap, band))
+
+
+def _forecasts(ds: Dataset, metric: str, steps: int, cap: float, band: float) -> DataFrame:
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("date")
@@ -78,10 +87,11 @@ def forecasts(ds: Dataset, metric: str = "aqi_daily", steps: int = 365, cap: flo
             out = holt_winters(y, steps)
             if not np.isfinite(out).all():
                 raise FloatingPointError("forecast diverged")
+            model = FITTED
         except (ArithmeticError, ValueError):
-            out = repeat_last(y, steps)
+            out, model = repeat_last(y, steps), REPEATED
         days = pd.date_range(pd.Timestamp(pdf["date"].iloc[-1]) + pd.Timedelta(days=1), periods=steps, freq="D")
-        return pd.DataFrame({"city_id": city, "date": days.date, "forecast": np.clip(out, 0, cap), "model": FITTED})
+        return pd.DataFrame({"city_id": city, "date": days.date, "forecast": np.clip(out, 0, cap), "model": model})
 
     series = filled(ds).select("city_id", "date", F.col(metric).alias("value"))
     out = series.groupBy("city_id").applyInPandas(fit, SCHEMA)

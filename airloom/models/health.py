@@ -48,5 +48,11 @@ def health_documents(ds: Dataset) -> DataFrame:
     )
 
 
+def health_map(ds: Dataset) -> DataFrame:
+    """The categories that occur in each city, out of its map."""
+    rows = health_documents(ds).select("city", F.explode("category_breakdown").alias("category", "share"))
+    return rows.select("city", "category", "share.days", "share.percentage").orderBy("city", "category")
+
+
 def health_summary(ds: Dataset) -> DataFrame:
     return health_score(ds).select("city", "health_score", "risk_tier").orderBy(F.desc("health_score"), "city")

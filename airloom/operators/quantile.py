@@ -1,62 +1,77 @@
 """Exact interpolated percentiles without a task per group.
 
 `percentile(x, p)` keeps every distinct value of a group in one task.  Here the
-wanted ranks are found in two steps:
+wanted ranks are found in three steps:
 
-1. values are counted per group and bin (map-side combined).  The bin keeps the
-   order of the values and is 1/65536 of an octave wide, so a group has as many
-   rows as its values have bins, however many readings it has;
-2. only the bins that hold a wanted rank are joined back to the values, equal
-   values are counted as one row, and the rank is read off inside the bin.
-"""
+1. equal values are counted as one row (map-side combined), so ties meet no join;
+2. the counts are summed per group and bin.  A bin keeps the order of the values
+   and is 1/65536 of an octave wide at any scale, on both sides of zero;
+3. only the bins that hold a wanted rank are joined back to the counted values,
+   and the rank is read off inside the bin.
+
+Several measures go through the same pass as rows of (measure, value)."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OCTAVE_BINS = 65536
+#: More than any logarithm of a double times OCTAVE_BINS.
+_FAR = 1 << 40
 
 
 def _bin(value: Column) -> Column:
-    return F.signum(value).cast("int") * F.floor(F.log2(1 + F.abs(value)) * OCTAVE_BINS)
+    octave = F.floor(F.log2(F.abs(value)) * OCTAVE_BINS) + _FAR
+    return F.when(value > 0, octave).when(value < 0, -octave).otherwise(F.lit(0)).cast("long")
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: dict[str, float]) -> DataFrame:
-    """Linear-interpolated percentiles of the non-null values: the keys plus one
-    column per entry of `ps`.  With no keys: one row, or none on empty input."""
+def counted(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -> DataFrame:
+    """(keys, _measure, value, _bin, _n): every distinct non-null value once, with its number of rows."""
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("_measure"), F.col(m).cast("double").alias("value")) for m in measures])).alias("_c")
+    rows = df.select(*keys, cells).select(*keys, "_c._measure", "_c.value").filter(F.col("value").isNotNull())
+    return rows.groupBy(*keys, "_measure", "value").agg(F.count(F.lit(1)).alias("_n")).withColumn("_bin", _bin(F.col("value")))
+
+
+def percentiles_of(df: DataFrame, keys: Sequence[str], wanted: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """Linear-interpolated percentiles of several measures: the keys plus one column per
+    entry of each measure's mapping.  With no keys: one row, or none on empty input."""
     own = list(keys) or ["_all"]
     base = df if keys else df.withColumn("_all", F.lit(1))
-    values = base.filter(F.col(value).isNotNull()).select(*own, F.col(value).cast("double").alias("value"))
-    values = values.withColumn("_bin", _bin(F.col("value")))
+    values = counted(base, own, list(wanted))
+    group = [*own, "_measure"]
+    shares = sorted({float(p) for ps in wanted.values() for p in ps.values()})
 
     def at(p: float) -> Column:
-        return (F.col("_total") - 1) * F.lit(float(p))
+        return (F.col("_total") - 1) * F.lit(p)
 
-    wanted = F.array(*[f(at(p)) + 1 for p in ps.values() for f in (F.floor, F.ceil)])
-    group = Window.partitionBy(*own)
+    ranks = F.array(*[f(at(p)) + 1 for p in shares for f in (F.floor, F.ceil)])
+    over = Window.partitionBy(*group)
     bins = (
-        values.groupBy(*own, "_bin")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_upto", F.sum("_n").over(group.orderBy("_bin")))
-        .withColumn("_total", F.sum("_n").over(group))
-        .filter(F.exists(wanted, lambda r: (r <= F.col("_upto")) & (r > F.col("_upto") - F.col("_n"))))
-        .select(*own, "_bin", "_total", (F.col("_upto") - F.col("_n")).alias("_under"))
-    )
-    ranked = (
-        values.join(bins, [*own, "_bin"])
-        .groupBy(*own, "_bin", "value", "_total", "_under")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_upto", F.col("_under") + F.sum("_n").over(Window.partitionBy(*own, "_bin").orderBy("value")))
+        values.groupBy(*group, "_bin")
+        .agg(F.sum("_n").alias("_in"))
+        .withColumn("_upto", F.sum("_in").over(over.orderBy("_bin")))
+        .withColumn("_total", F.sum("_in").over(over))
+        .filter(F.exists(ranks, lambda r: (r <= F.col("_upto")) & (r > F.col("_upto") - F.col("_in"))))
+        .select(*group, "_bin", "_total", (F.col("_upto") - F.col("_in")).alias("_under"))
     )
+    inside = Window.partitionBy(*group, "_bin").orderBy("value")
+    ranked = values.join(bins, [*group, "_bin"]).withColumn("_upto", F.col("_under") + F.sum("_n").over(inside))
+
+    def statistic(measure: str, rank: Column) -> Column:
+        here = (F.col("_measure") == measure) & (rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_n"))
+        return F.max(F.when(here, F.col("value")))
 
-    def statistic(rank: Column) -> Column:
-        return F.max(F.when((rank <= F.col("_upto")) & (rank > F.col("_upto") - F.col("_n")), F.col("value")))
+    def interpolated(measure: str, p: float) -> Column:
+        low, high = statistic(measure, F.floor(at(p)) + 1), statistic(measure, F.ceil(at(p)) + 1)
+        return low + (high - low) * F.max(F.when(F.col("_measure") == measure, at(p) - F.floor(at(p))))
 
-    def interpolated(p: float) -> Column:
-        low, high = statistic(F.floor(at(p)) + 1), statistic(F.ceil(at(p)) + 1)
-        return low + (high - low) * F.max(at(p) - F.floor(at(p)))
+    out = [interpolated(m, float(p)).alias(name) for m, ps in wanted.items() for name, p in ps.items()]
+    return ranked.groupBy(*own).agg(*out).select(*keys, *[name for ps in wanted.values() for name in ps])
 
-    return ranked.groupBy(*own).agg(*[interpolated(p).alias(name) for name, p in ps.items()]).select(*keys, *ps)
+
+def percentiles(df: DataFrame, keys: Sequence[str], value: str, ps: dict[str, float]) -> DataFrame:
+    """The percentiles of one measure."""
+    return percentiles_of(df, keys, {value: ps})

@@ -39,16 +39,35 @@ def daily_records(ds: Dataset) -> DataFrame:
     return ds.readings.select("city_id", "date", *[metric(m).alias(f"avg_{k}") for k, m in SHOWN.items()])
 
 
-def daily_range(ds: Dataset, city_id: int, start: str, end: str) -> DataFrame:
-    """One city's days in a closed range; a day's maximum and minimum are its figure."""
-    first, last = _date(start, "start"), _date(end, "end")
-    if first > last:
+def _within(start: str | None, end: str | None) -> Column:
+    """Days of a closed range; an end that is not given is open."""
+    first, last = (_date(x, name) if x is not None else None for x, name in ((start, "start"), (end, "end")))
+    if first is not None and last is not None and first > last:
         raise ValueError("start cannot be after end")
-    rows = ds.readings.filter((F.col("city_id") == _city(city_id)) & F.col("date").between(first, last))
+    inside = F.col("date").isNotNull()
+    if first is not None:
+        inside &= F.col("date") >= first
+    return inside & (F.col("date") <= last) if last is not None else inside
+
+
+def daily_range(ds: Dataset, city_id: int, start: str | None = None, end: str | None = None) -> DataFrame:
+    """One city's days in a closed range; a day's maximum and minimum are its figure."""
+    rows = ds.readings.filter((F.col("city_id") == _city(city_id)) & _within(start, end))
     figures = [metric(m).alias(f"{part}_{k}") for k, m in SHOWN.items() for part in ("avg", "max", "min")]
     return rows.select("date", *figures).orderBy("date")
 
 
+def month_period(year: int, month: int) -> tuple[str, str]:
+    """First and last day of a month."""
+    first = datetime.date(year, month, 1)
+    return first.isoformat(), (datetime.date(year + month // 12, month % 12 + 1, 1) - datetime.timedelta(days=1)).isoformat()
+
+
+def period_days(ds: Dataset, city_id: int, year: int, month: int) -> DataFrame:
+    """One city's days of a month, with the last day of the month beside them."""
+    return daily_range(ds, city_id, *month_period(year, month)).withColumn("last_of_month", F.last_day("date"))
+
+
 def overview(ds: Dataset) -> DataFrame:
     """Every city with its latest day and the mean of its latest month."""
     month = ds.readings.groupBy("city_id", F.trunc("date", "month").alias("month")).agg(
@@ -319,13 +338,11 @@ def trend_statement(ds: Dataset, metric_name: str = "aqi") -> DataFrame:
     return latest.join(halves, "city_name", "left").select("city_name", direction.alias("direction"), "latest", "category").orderBy("city_name")
 
 
-def compare_cities(ds: Dataset, city_ids: Sequence[int], start: str, end: str) -> DataFrame:
-    """Daily figures of up to three cities side by side."""
-    if not 1 <= len(city_ids) <= 3:
-        raise ValueError("one to three cities can be compared")
-    days = daily_records(ds).filter(
-        F.col("city_id").isin(*city_ids) & F.col("date").between(_date(start, "start"), _date(end, "end"))
-    )
+def compare_cities(ds: Dataset, city_ids: Sequence[int], start: str | None = None, end: str | None = None) -> DataFrame:
+    """Daily figures of the given cities side by side."""
+    if not city_ids:
+        raise ValueError("no city to compare")
+    days = daily_records(ds).filter(F.col("city_id").isin(*city_ids) & _within(start, end))
     wide = days.groupBy("date").pivot("city_id", list(city_ids)).agg(F.first("avg_aqi"))
     return wide.select("date", *[F.col(str(c)).alias(f"city_{c}") for c in city_ids]).orderBy("date")
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from airloom.functions.dates import valid_iso_date
 from airloom.functions.numeric import rounded
 from airloom.model import MEASURES, key_violations, with_city
 from airloom.operators import clean
@@ -113,7 +114,7 @@ def union_sort(spark: SparkSession, folder: str) -> DataFrame:
     raw = clean.monthly_attach(raw, ["city"]).withColumn("city_key", F.col("city"))
     files.write_city_csv(raw, path)
     rows = files.read_city_csv(spark, path)
-    return clean.union_sorted([rows.filter("year(date) < 1998"), rows.filter("year(date) >= 1998")])
+    return clean.union_sorted([rows.filter("year(date) < 1998"), rows.filter("year(date) >= 1998 or date is null")])
 
 
 def unit_fix(ds: Dataset) -> DataFrame:
@@ -194,3 +195,26 @@ def stored_result(spark: SparkSession, folder: str) -> DataFrame:
     build = lambda: named.run_named(load(spark, folder), 18)
     store.get("q18", {"folder": folder}, build)
     return store.get("q18", {"folder": folder}, build)
+
+
+def published(spark: SparkSession, folder: str) -> DataFrame:
+    """Results of several questions published as JSON, and one of them read back."""
+    from airloom.plans.offline import std_mean
+    from airloom.sources.publish import publish
+
+    ds, path = load(spark, folder), fresh_path(spark, "published")
+    publish(spark, ds, path, {"p16": std_mean, "d4": dashboard.cities})
+    return files.read_documents(spark, f"{path}/p16", std_mean(ds).schema)
+
+
+def date_check(spark: SparkSession, folder: str) -> DataFrame:
+    """How many texts of order dates, some of them spoilt, are real days in ISO form."""
+    orders = table(spark, folder, "orders")
+    day, kind = F.col("o_orderdate").cast("date"), F.col("o_orderkey") % 4
+    text = (
+        F.when(kind == 0, F.date_format(day, "yyyy-MM-dd"))
+        .when(kind == 1, F.date_format(day, "yyyy/MM/dd"))
+        .when(kind == 2, F.concat(F.date_format(day, "yyyy"), F.lit("-02-30")))
+        .otherwise(F.concat(F.date_format(day, "yyyy-MM"), F.lit("-31")))
+    )
+    return orders.select(kind.alias("kind"), valid_iso_date(text).alias("valid")).groupBy("kind").agg(F.count(F.lit(1)).alias("texts"), F.count_if("valid").alias("valid")).orderBy("kind")

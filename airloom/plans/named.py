@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from airloom.functions.dates import LONG_WINTER, ONSET_MONTHS, OZONE_SUMMER, POST_RAIN, PRE_RAIN, SUMMER, WINTER, in_months, is_weekend
 from airloom.functions.numeric import count_when, mean_when, moments_corr, percent, ratio, rounded
 from airloom.model import with_city
-from airloom.operators.quantile import percentiles
+from airloom.operators.quantile import percentiles, percentiles_of
 from airloom.operators.runs import calendar_runs
 from airloom.operators.series import next_match, previous_match, previous_row, trailing
 from airloom.sources.tables import Dataset
@@ -332,9 +332,9 @@ def no2_ratio(ds: Dataset) -> DataFrame:
 
 def co_pm_cooccurrence(ds: Dataset, p: float = 0.75, months=LONG_WINTER) -> DataFrame:
     winter = ds.readings.filter(in_months("date", months) & F.col("co").isNotNull() & F.col("pm25").isNotNull())
-    co_cut = percentiles(winter, [], "co", {"cut": p}).scalar()
-    pm_cut = percentiles(winter, [], "pm25", {"cut": p}).scalar()
-    flagged = winter.withColumn("both", (F.col("co") > co_cut) & (F.col("pm25") > pm_cut))
+    cuts = percentiles_of(winter, [], {"co": {"co_cut": p}, "pm25": {"pm_cut": p}})
+    cut = winter.withColumn("cuts", cuts.select(F.struct("co_cut", "pm_cut").alias("c")).scalar())
+    flagged = cut.withColumn("both", (F.col("co") > F.col("cuts.co_cut")) & (F.col("pm25") > F.col("cuts.pm_cut")))
     counts = flagged.groupBy("city_id").agg(
         F.count(F.lit(1)).alias("total_winter_days"), count_when(F.col("both")).alias("co_pm_simultaneous_spikes")
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from airloom.functions.dates import LONG_WINTER, ONSET_MONTHS, OZONE_SUMMER, POST_RAIN, PRE_RAIN, SUMMER, WINTER, in_months, is_weekend
 from airloom.functions.numeric import count_when, mean_when, pair_corr, ratio, rounded
 from airloom.model import MEASURES
-from airloom.operators.quantile import percentiles
+from airloom.operators.quantile import percentiles, percentiles_of
 from airloom.operators.ranking import first_names
 from airloom.operators.runs import row_runs
 from airloom.operators.series import next_match, numbered, previous_match, previous_row, trailing
@@ -160,13 +160,15 @@ def top_cities(ds: Dataset, limit: int = 5) -> DataFrame:
     return named(counts, ds).orderBy(F.desc("days"), "city").limit(limit)
 
 
-def _first_cities(ds: Dataset, means: DataFrame, limit: int) -> DataFrame:
-    """Yearly means of the first `limit` cities by name that have readings."""
+def _first_cities(ds: Dataset, means: DataFrame, limit: int | None) -> DataFrame:
+    """Yearly means of all cities, or of the first `limit` by name that have readings."""
     by_name = named(means, ds)
+    if limit is None:
+        return by_name
     return by_name.join(first_names(by_name, "city", limit), "city", "left_semi")
 
 
-def growth(ds: Dataset, limit: int = 10) -> DataFrame:
+def growth(ds: Dataset, limit: int | None = None) -> DataFrame:
     yearly = _first_cities(ds, _yearly_means(ds, AQI), limit)
     before = F.lag(AQI).over(Window.partitionBy("city").orderBy("year"))
     steps = yearly.withColumn("growth", ratio((F.col(AQI) - before) * 100, before))
@@ -178,7 +180,7 @@ def growth(ds: Dataset, limit: int = 10) -> DataFrame:
     return out.filter("years >= 2").drop("years").orderBy("city")
 
 
-def growth_projection(ds: Dataset, limit: int = 10, ahead: int = 3) -> DataFrame:
+def growth_projection(ds: Dataset, limit: int | None = None, ahead: int = 3) -> DataFrame:
     """Linear projection of the yearly mean for the next years."""
     yearly = _first_cities(ds, _yearly_means(ds, AQI), limit)
     fit = yearly.groupBy("city").agg(
@@ -227,18 +229,14 @@ def most_frequent_worst_month(ds: Dataset) -> DataFrame:
     return top.select(_month_name(F.col("t.month")).alias("month"), F.col("t.years").alias("years"))
 
 
-def season_ratio(ds: Dataset, region: str = "North", fallback: int = 5) -> DataFrame:
-    """Winter against summer pm25 for a region's cities; without any, for the first cities by name."""
+def season_ratio(ds: Dataset, region: str = "North") -> DataFrame:
+    """Winter against summer pm25 for a region's cities; none for a region without any."""
     means = filled(ds).groupBy("city_id").agg(
         mean_when(in_months("date", WINTER), "pm25").alias("winter"), mean_when(in_months("date", SUMMER), "pm25").alias("summer")
     )
     both = means.filter(F.col("winter").isNotNull() & F.col("summer").isNotNull())
     placed = both.join(ds.cities.select("city_id", F.col("city_name").alias("city"), "region"), "city_id")
-    seen = ds.readings.select("city_id").distinct()
-    early = first_names(named(seen, ds), "city", fallback).withColumn("early", F.lit(True))
-    found = placed.filter(F.col("region") == region).agg((F.count(F.lit(1)) > 0).alias("found")).scalar()
-    chosen = placed.join(early, "city", "left").withColumn("found", found)
-    kept = chosen.filter(F.when(F.col("found"), F.col("region") == region).otherwise(F.coalesce("early", F.lit(False))))
+    kept = placed.filter(F.col("region") == region)
     return kept.select(
         "city",
         rounded("winter", 1).alias("winter_pm25"),
@@ -297,10 +295,15 @@ def divergence(ds: Dataset, tolerance: float = 10) -> DataFrame:
     return named(out, ds).orderBy(F.desc("pm25_increase"), "city")
 
 
+#: Shown for a city with too few rows.
+TOO_FEW = "insufficient data"
+
+
 # -- spread and correlation ---------------------------------------------------
 
 
 def dominant(ds: Dataset, min_rows: int = 30) -> DataFrame:
+    """Which particle size goes along with the index; a city with too few rows has the reason."""
     pairs = filled(ds).groupBy("city_id").agg(
         rounded(pair_corr("pm25", AQI), 4).alias("corr_pm25"),
         rounded(pair_corr("pm10", AQI), 4).alias("corr_pm10"),
@@ -308,8 +311,10 @@ def dominant(ds: Dataset, min_rows: int = 30) -> DataFrame:
         F.count(F.lit(1)).alias("n"),
     )
     label = F.when(F.col("gap") > 0, "PM2.5").when(F.col("gap") < 0, "PM10").otherwise("Equal")
-    kept = pairs.filter(F.col("n") >= min_rows).select("city_id", "corr_pm25", "corr_pm10", label.alias("dominant"))
-    return named(kept, ds).orderBy("city")
+    enough = F.col("n") >= min_rows
+    shown = [F.when(enough, c).alias(n) for c, n in ((F.col("corr_pm25"), "corr_pm25"), (F.col("corr_pm10"), "corr_pm10"), (label, "dominant"))]
+    out = pairs.select("city_id", *shown, F.when(enough, "ok").otherwise(TOO_FEW).alias("status"))
+    return named(out, ds).orderBy("city")
 
 
 def corr_matrix(ds: Dataset) -> DataFrame:
@@ -371,13 +376,11 @@ def no2_ratio(ds: Dataset) -> DataFrame:
     return named(out, ds).orderBy(F.desc("traffic_ratio"), "city")
 
 
-def cooccurrence(ds: Dataset, p: float = 0.75, min_rows: int = 10) -> DataFrame:
-    """Share of winter rows above both thresholds; thresholds are 0 on ten rows or fewer."""
+def cooccurrence(ds: Dataset, p: float = 0.75) -> DataFrame:
+    """Share of winter rows above both percentiles."""
     winter = filled(ds).filter(in_months("date", LONG_WINTER))
-    enough = winter.agg((F.count(F.lit(1)) > min_rows).alias("enough")).scalar()
-    co_cut = percentiles(winter, [], "co", {"cut": p}).scalar()
-    pm_cut = percentiles(winter, [], "pm25", {"cut": p}).scalar()
-    cut = winter.withColumn("co_cut", F.when(enough, co_cut).otherwise(0.0)).withColumn("pm_cut", F.when(enough, pm_cut).otherwise(0.0))
+    cuts = percentiles_of(winter, [], {"co": {"co_cut": p}, "pm25": {"pm_cut": p}})
+    cut = winter.withColumn("cuts", cuts.select(F.struct("co_cut", "pm_cut").alias("c")).scalar()).select("*", "cuts.*")
     counts = cut.groupBy("city_id").agg(
         F.count(F.lit(1)).alias("total_winter_days"),
         count_when((F.col("co") > F.col("co_cut")) & (F.col("pm25") > F.col("pm_cut"))).alias("co_pm_simultaneous"),
@@ -447,34 +450,36 @@ def mean_onset_day(ds: Dataset, above: float = 100, rows: int = 7, months=ONSET_
 # -- hidden hazards --------------------------------------------------------------
 
 
-def _hazards(ds: Dataset) -> DataFrame:
-    """Strict hazards, or the relaxed ones when there is no strict hazard at all."""
-    rows = filled(ds)
-    strict = (F.col(AQI) <= 100) & ((F.col("o3") > 200) | (F.col("co") > 2.5))
-    relaxed = (F.col(AQI) <= 150) & ((F.col("o3") > 100) | (F.col("co") > 1.5))
-    none = rows.filter(strict).agg((F.count(F.lit(1)) == 0).alias("none")).scalar()
-    return rows.filter(strict | relaxed).withColumn("none", none).filter(strict | (F.col("none") & relaxed))
+# Fixed values: (index at most, o3 above, co above) of the two rules.
+HAZARD_RULES = {"strict": (100, 200, 2.5), "relaxed": (150, 100, 1.5)}
+
+
+def _hazards(ds: Dataset, rule: str) -> DataFrame:
+    """Days that look good and are not, by the rule that the caller names."""
+    calm, o3, co = HAZARD_RULES[rule]
+    return filled(ds).filter((F.col(AQI) <= calm) & ((F.col("o3") > o3) | (F.col("co") > co)))
 
 
-def hazards(ds: Dataset) -> DataFrame:
-    out = _hazards(ds).select(
+def hazards(ds: Dataset, rule: str = "strict") -> DataFrame:
+    out = _hazards(ds, rule).select(
         "city_id", "date", rounded(AQI, 1).alias("aqi"), rounded("o3", 1).alias("o3"), rounded("co", 3).alias("co")
     )
     return named(out, ds).orderBy("city", "date")
 
 
-def hazard_counts(ds: Dataset) -> DataFrame:
-    counts = _hazards(ds).groupBy("city_id").agg(F.count(F.lit(1)).alias("hazard_days"))
+def hazard_counts(ds: Dataset, rule: str = "strict") -> DataFrame:
+    counts = _hazards(ds, rule).groupBy("city_id").agg(F.count(F.lit(1)).alias("hazard_days"))
     return named(counts, ds).orderBy(F.desc("hazard_days"), "city")
 
 
 # -- result-shaping frames -------------------------------------------------------
 
 
-def streak_table(ds: Dataset, years: list[int], min_aqi: float = 401) -> DataFrame:
-    """Longest run per city and year, one column per given year, 0 where none."""
-    wide = named(_yearly_streaks(ds, min_aqi), ds).groupBy("city").pivot("year", years).agg(F.max("streak"))
-    return wide.select("city", *[F.coalesce(F.col(str(y)), F.lit(0)).alias(f"y{y}") for y in years]).orderBy("city")
+def streak_table(ds: Dataset, min_aqi: float = 401) -> DataFrame:
+    """Longest run of every city and year with readings, 0 where none; a row for each."""
+    every = filled(ds).groupBy("city_id", F.year("date").alias("year")).agg(F.count(F.lit(1)).alias("days")).drop("days")
+    found = every.join(_yearly_streaks(ds, min_aqi), ["city_id", "year"], "left")
+    return named(found.select("city_id", "year", F.coalesce("streak", F.lit(0)).alias("streak")), ds).orderBy("city", "year")
 
 
 def season_delta(ds: Dataset, region: str = "North") -> DataFrame:
@@ -487,11 +492,10 @@ def correlation_gap(ds: Dataset) -> DataFrame:
     return dominant(ds).withColumn("gap", gap).orderBy(F.desc("gap"), "city")
 
 
-def onset_table(ds: Dataset, years: list[int], above: float = 100) -> DataFrame:
-    """Earliest onset as day of year, one column per given year."""
-    days = onset_by_city(ds, above).select("city", "year", F.dayofyear("onset_date").alias("day"))
-    wide = days.groupBy("city").pivot("year", years).agg(F.min("day"))
-    return wide.select("city", *[F.col(str(y)).alias(f"y{y}") for y in years]).orderBy("city")
+def onset_table(ds: Dataset, above: float = 100) -> DataFrame:
+    """Earliest onset as day of year, a row for each city and year that has one."""
+    days = onset_by_city(ds, above).groupBy("city", "year").agg(F.min(F.dayofyear("onset_date")).alias("day"))
+    return days.orderBy("city", "year")
 
 
 def cooccurrence_complement(ds: Dataset) -> DataFrame:
@@ -503,13 +507,13 @@ def _hazard_type() -> Column:
     return F.when(o3 & co, "Both").when(o3, "High O3").otherwise("High CO")
 
 
-def hazard_months(ds: Dataset) -> DataFrame:
+def hazard_months(ds: Dataset, rule: str = "strict") -> DataFrame:
     """Hazard days per city and month."""
-    out = hazards(ds).groupBy("city", F.date_format("date", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("days"))
+    out = hazards(ds, rule).groupBy("city", F.date_format("date", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("days"))
     return out.orderBy("city", "month")
 
 
-def hazard_types(ds: Dataset) -> DataFrame:
+def hazard_types(ds: Dataset, rule: str = "strict") -> DataFrame:
     kinds = ["High CO", "High O3", "Both"]
-    wide = hazards(ds).withColumn("kind", _hazard_type()).groupBy("city").pivot("kind", kinds).agg(F.count(F.lit(1)))
+    wide = hazards(ds, rule).withColumn("kind", _hazard_type()).groupBy("city").pivot("kind", kinds).agg(F.count(F.lit(1)))
     return wide.select("city", *[F.coalesce(F.col(k), F.lit(0)).alias(k.lower().replace(" ", "_")) for k in kinds]).orderBy("city")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from airloom.models import anomaly, cluster, forecast, health, sequences
+from airloom.models import anomaly, cluster, forecast, given, health, sequences
 from airloom.operators.search import search
 from airloom.plans import dashboard, features, ingest, named, offline
 from airloom.sources.tables import load, table
@@ -38,8 +38,6 @@ def named_queries() -> dict[str, Query]:
     return out
 
 
-YEARS = list(range(1995, 2002))
-
 OFFLINE = {
     "p01_streaks": (offline.streaks, {}),
     "p01_streak_trend": (offline.streak_trend, {}),
@@ -72,8 +70,9 @@ OFFLINE = {
     "p23_ozone": (offline.ozone, {}),
     "p24_no2_ratio": (offline.no2_ratio, {}),
     "p25_cooccurrence": (offline.cooccurrence, {}),
-    "p26_hazards_relaxed": (offline.hazards, {}),
-    "p26_hazard_counts": (offline.hazard_counts, {}),
+    "p26_hazards_strict": (offline.hazards, {}),
+    "p26_hazards_relaxed": (offline.hazards, {"rule": "relaxed"}),
+    "p26_hazard_counts": (offline.hazard_counts, {"rule": "relaxed"}),
     "p27_recovery_episodes_severe": (offline.recovery_episodes_severe, {}),
     "p28_early_warning_29": (offline.early_warning_rows, {}),
     "p29_season_pair": (offline.season_pair, {}),
@@ -84,20 +83,19 @@ OFFLINE = {
     "f4_yearly_features": (features.yearly_features, {}),
     "f5_city_features": (features.city_features, {}),
     "f6_city_profile": (features.city_profile, {}),
-    "v1_streak_table": (offline.streak_table, {"years": YEARS}),
+    "v1_streak_table": (offline.streak_table, {}),
     "v2_season_delta": (offline.season_delta, {"region": "ASIA"}),
     "v3_correlation_gap": (offline.correlation_gap, {}),
-    "v4_onset_table": (offline.onset_table, {"years": YEARS, "above": 160}),
+    "v4_onset_table": (offline.onset_table, {"above": 160}),
     "v5_cooccurrence_complement": (offline.cooccurrence_complement, {}),
-    "v6_hazard_months": (offline.hazard_months, {}),
-    "v6_hazard_types": (offline.hazard_types, {}),
+    "v6_hazard_months": (offline.hazard_months, {"rule": "relaxed"}),
+    "v6_hazard_types": (offline.hazard_types, {"rule": "relaxed"}),
 }
 
 
-WHOLE = {"start": "1995-01-01", "end": "2001-12-31"}
-
 DASHBOARD = {
-    "d1_daily_range": (dashboard.daily_range, {"city_id": 7, **WHOLE}),
+    "d1_daily_range": (dashboard.daily_range, {"city_id": 7}),
+    "d1_period_days": (dashboard.period_days, {"city_id": 7, "year": 2000, "month": 2}),
     "d2_overview": (dashboard.overview, {}),
     "d3_historical": (dashboard.historical, {"city_id": 7, "month": 3}),
     "d4_cities": (dashboard.cities, {}),
@@ -121,7 +119,7 @@ DASHBOARD = {
     "d18_best_worst_week": (dashboard.best_worst_week, {}),
     "d19_half_growth": (dashboard.half_growth, {}),
     "d20_trend_statement": (dashboard.trend_statement, {}),
-    "d21_compare_cities": (dashboard.compare_cities, {"city_ids": [1, 7, 12], **WHOLE}),
+    "d21_compare_cities": (dashboard.compare_cities, {"city_ids": [1, 7, 12, 20]}),
 }
 
 
@@ -148,6 +146,13 @@ MODELS = {
     "m1_forecast_summary": (forecast.forecast_summary, {"metric": "pm25"}),
     "m1_forecast_monthly": (forecast.forecast_monthly, {}),
     "m1_forecast_calendar": (forecast.forecast_calendar, {}),
+    "m1_smoothing_given": (given.smoothing, {"alpha": 0.3, "beta": 0.1, "gamma": 0.2, "season": 7}),
+    "m2_flag_report_given": (given.flag_report, {}),
+    "m2_first_flags_given": (given.first_flags, {}),
+    "m4_assignment_given": (given.assignment, {"centre_ids": [0, 7, 14]}),
+    "m4_inertia_given": (given.inertia, {"centre_ids": [0, 7, 14]}),
+    "m5_covariance": (given.covariance, {}),
+    "m6_health_map": (health.health_map, {}),
     "m2_sql_threshold": (anomaly.thresholds, {}),
     "m2_isolation_forest": (anomaly.anomaly_report, {}),
     "m2_anomaly_days": (anomaly.anomaly_days, {}),
@@ -187,6 +192,8 @@ DIRECT: dict[str, Query] = {
     "s1_json_documents": ingest.json_documents,
     "s2_bulk_load": ingest.bulk_load,
     "s3_keyed_append": ingest.keyed_append,
+    "s5_published": ingest.published,
+    "i13_date_check": ingest.date_check,
     "s4_stored_result": ingest.stored_result,
 }
 

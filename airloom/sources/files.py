@@ -60,12 +60,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def append_keyed(df: DataFrame, path: str, keys: Sequence[str]) -> None:
-    """Insert-select into a keyed table: only keys the table does not hold yet."""
+    """Insert-select into a keyed table: only keys the table does not hold yet, each once.
+
+    Of rows with one key in the batch, the one with the smallest values goes in."""
     spark = df.sparkSession
-    fresh = df
+    rest = [c for c in df.columns if c not in keys]
+    fresh = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_r")).select(*keys, *[F.col("_r")[c].alias(c) for c in rest]).select(*df.columns)
+    one = fresh
     if _exists(spark, path):
         held = spark.read.schema(df.schema).parquet(path).select(*keys)
-        fresh = df.join(held, list(keys), "left_anti").select(*df.columns)
+        fresh = one.join(held, list(keys), "left_anti").select(*df.columns)
     fresh.write.mode("append").parquet(path)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,13 +16,17 @@ _own: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (local tests) a folder of our own is used."""
+    Where it is unset, a local session gets a folder of its own; on a cluster that would
+    be another disk for each executor, so it is an error there."""
     named = spark.conf.get(SETTING, None) or spark.sparkContext.getConf().get(SETTING)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError(f"set {SETTING} to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="airloom-")
+        atexit.register(shutil.rmtree, _own[app], ignore_errors=True)
     return _own[app]
 
 

@@ -7,10 +7,12 @@ an order date is a day.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from airloom.model import CITIES, READINGS
 from airloom.sources.scratch import fresh_path
@@ -22,6 +24,8 @@ class Dataset:
 
     readings: DataFrame
     cities: DataFrame
+    #: Names the state of the input, so that what is fitted on it can be kept; empty: unknown.
+    state: str = ""
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -126,7 +130,24 @@ def load(spark: SparkSession, folder: str) -> Dataset:
         _loaded[key] = (readings_path, cities_path)
     readings_path, cities_path = _loaded[key]
     return Dataset(
-        spark.read.schema(READINGS).parquet(readings_path), spark.read.schema(CITIES).parquet(cities_path)
+        spark.read.schema(READINGS).parquet(readings_path), spark.read.schema(CITIES).parquet(cities_path), readings_path
     )
 
 
+_kept: dict[tuple, tuple[str, StructType]] = {}
+
+
+def kept(ds: Dataset, label: str, params: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that is fitted on the dataset, written once per state of the input and parameters."""
+    spark = ds.readings.sparkSession
+    key = (spark.sparkContext.applicationId, ds.state, label, params)
+    if not ds.state or key not in _kept:
+        made, path = build(), fresh_path(spark, label)
+        made.write.parquet(path)
+        if not ds.state:
+            return spark.read.schema(made.schema).parquet(path)
+        _kept[key] = (path, made.schema)
+    path, schema = _kept[key]
+    return spark.read.schema(schema).parquet(path)
+
+

@@ -42,8 +42,10 @@ def live_batch(events: DataFrame, entity: str = "event_type") -> DataFrame:
     return categorised(latest(events, entity))
 
 
-def run_live(spark: SparkSession, folder: str, entity: str = "event_type", pattern: str = "events.parquet", lateness: str = "1 day") -> DataFrame:
-    """Run the stream over the files that are there and return the latest values."""
+def run_live(spark: SparkSession, folder: str, entity: str = "event_type", pattern: str = "events.parquet") -> DataFrame:
+    """Run the stream over the files that are there and return the latest values.
+
+    The state holds the newest event of each entity and grows with the entities only."""
     base = fresh_path(spark, "live")
     stream = (
         spark.readStream.schema(EVENTS)
@@ -51,7 +53,6 @@ def run_live(spark: SparkSession, folder: str, entity: str = "event_type", patte
         .option("maxFilesPerTrigger", 1000)
         .parquet(folder)
         .withColumn("ts", F.col("ts").cast("timestamp"))
-        .withWatermark("ts", lateness)
     )
 
     def keep(batch: DataFrame, number: int) -> None:

@@ -18,7 +18,9 @@ def category(x: str) -> str:
 
 
 Q["d1_daily_range"] = d("select date, " + ", ".join(
-    f"avg_{k} as {p}_{k}" for k in SHOWN for p in ("avg", "max", "min")) + " from days where city_id = 7 and date between date '1995-01-01' and date '2001-12-31'")
+    f"avg_{k} as {p}_{k}" for k in SHOWN for p in ("avg", "max", "min")) + " from days where city_id = 7")
+Q["d1_period_days"] = d("select date, " + ", ".join(
+    f"avg_{k} as {p}_{k}" for k in SHOWN for p in ("avg", "max", "min")) + ", last_day(date) as last_of_month from days where city_id = 7 and date between date '2000-02-01' and date '2000-02-29'")
 
 Q["d2_overview"] = sql(f"""
 with mx as (select city_id, max(date) as m from readings group by 1),
@@ -116,8 +118,8 @@ Q["d20_trend_statement"] = d(f"""with {dive('aqi')}, {HALF}
 select dd.city_name, case when avg_second - avg_first > 0 then 'continue rising' else 'remain stable or improve' end as direction,
   latest, {category('latest')} as category from dd left join h using (city_name) where dd.n >= 2""")
 Q["d21_compare_cities"] = d("""
-select date, max(avg_aqi) filter (city_id = 1) as city_1, max(avg_aqi) filter (city_id = 7) as city_7, max(avg_aqi) filter (city_id = 12) as city_12
-from days where city_id in (1, 7, 12) and date between date '1995-01-01' and date '2001-12-31' group by 1""")
+select date, max(avg_aqi) filter (city_id = 1) as city_1, max(avg_aqi) filter (city_id = 7) as city_7, max(avg_aqi) filter (city_id = 12) as city_12, max(avg_aqi) filter (city_id = 20) as city_20
+from days where city_id in (1, 7, 12, 20) group by 1""")
 
 HOURS = f"h as (select event_type as entity, cast(ts as date) as date, cast(hour(ts) as integer) as hour, {rd('avg(value)', 2)} as value, count(*) as n from events group by 1, 2, 3)"
 PART = {"day": "hour >= 6 and hour < 18", "night": "not (hour >= 6 and hour < 18)"}

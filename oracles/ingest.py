@@ -63,3 +63,8 @@ select 'duplicate_city_day' as rule, count(*) as violations from (select 1 from
 union all select 'duplicate_city_name', count(*) from (select 1 from cities group by city_name having count(*) > 1)
 union all select 'orphan_city_id', count(*) from readings where city_id not in (select city_id from cities)""")
 Q["s3_keyed_append"] = sql(f"select city_id, date, {ALL} from readings")
+
+Q["i13_date_check"] = """
+with t as (select o_orderkey % 4 as kind, cast(o_orderdate as date) as d from orders),
+x as (select kind, case kind when 0 then strftime(d, '%Y-%m-%d') when 1 then strftime(d, '%Y/%m/%d') when 2 then strftime(d, '%Y') || '-02-30' else strftime(d, '%Y-%m') || '-31' end as s from t)
+select kind, count(*) as texts, count(*) filter (regexp_full_match(s, '[0-9]{4}-[0-9]{2}-[0-9]{2}') and try_cast(s as date) is not null) as valid from x group by 1"""

@@ -54,7 +54,45 @@ Q["m4_standardised"] = (
     + f" from ({OFFLINE['f6_city_profile']})"
 )
 
-STOP = "what is the which do how are in of for to and on a an why where when who does did has have or with about".split()
+PAIRS = [(a, b) for a in PROFILE for b in PROFILE]
+SCALED = (
+    "zz as (select city, " + ", ".join(f"({c} - avg({c}) over ()) / coalesce(nullif(stddev_pop({c}) over (), 0), 1) as {c}" for c in PROFILE)
+    + f" from ({OFFLINE['f6_city_profile']}))"
+)
+Q["m5_covariance"] = f"with {SCALED} " + " union all ".join(f"select '{a}' as a, '{b}' as b, {rd(f'covar_pop({a}, {b})', 6)} as covariance from zz" for a, b in PAIRS)
+GAPS = f"""{SCALED},
+ce as (select n_nationkey as centre, zz.* from zz join nation on n_name = city where n_nationkey in (0, 7, 14)),
+ga as (select zz.city, centre, round({" + ".join(f"(zz.{c} - ce.{c}) * (zz.{c} - ce.{c})" for c in PROFILE)}, 9) as gap from zz, ce),
+ne as (select city, arg_min(centre, (gap, centre)) as centre, {rd('min(gap)', 6)} as distance from ga group by 1)"""
+Q["m4_assignment_given"] = f"with {GAPS} select * from ne"
+Q["m4_inertia_given"] = f"with {GAPS} select centre, count(*) as members, {rd('sum(distance)', 4)} as inertia from ne group by 1"
+Q["m6_health_map"] = sql(f"""with {DAYS},
+n as (select city, count(*) as total from dy group by 1)
+select city, name as category, count(*) as days, {rd('count(*) * 100.0 / max(total)', 1)} as percentage from dy join n using (city) group by 1, 2""", FILLED)
+FLAGS = """cu as (select city, quantile_cont(-pm25, 0.05) as cut, avg(aqi_daily) + 2 * stddev_samp(aqi_daily) as thr from z group by 1),
+fl as (select z.*, -pm25 - cut < 0 as hit, thr from z join cu using (city))"""
+Q["m2_flag_report_given"] = sql(f"""with {FLAGS}
+select city, count(*) as total_points, count(*) filter (hit) as anomalies_detected, {rd('count(*) filter (hit) * 100.0 / count(*)', 2)} as anomaly_rate,
+  {rd('max(thr)', 1)} as sql_threshold, count(*) filter (hit and aqi_daily <= thr) as ml_extra_detections, 'ok' as status from fl group by 1""", FILLED)
+Q["m2_first_flags_given"] = sql(f"""with {FLAGS}, k as (select city, date, row_number() over (partition by city order by date) as n from fl where hit)
+select city, string_agg(cast(date as varchar), ',' order by date) as days from k where n <= 5 group by 1""", FILLED)
+Q["m1_smoothing_given"] = "with recursive " + sql(f"""
+with y as (select city, aqi_daily as v, row_number() over (partition by city order by date) - 1 as pos, count(*) over (partition by city) as n from z),
+i as (select city, max(n) as n, avg(v) filter (pos < 7) as m, avg(v) filter (pos between 7 and 13) as m2, list(v order by pos) filter (pos < 7) as f from y group by 1 having max(n) >= 14),
+r(city, pos, level, trend, sse, cycle) as (
+  select city, cast(0 as bigint), m, (m2 - m) / 7, 0.0::double, list_transform(f, lambda x: x - m) from i
+  union all
+  select r.city, r.pos + 1, level + trend + 0.3 * e, trend + 0.3 * 0.1 * e, sse + e * e,
+    list_concat(cycle[1:slot], [cycle[slot + 1] + 0.2 * (1 - 0.3) * e], cycle[slot + 2:])
+  from (select r.*, r.pos % 7 as slot, y.v - (level + trend) - cycle[r.pos % 7 + 1] as e from r join y on y.city = r.city and y.pos = r.pos) r)
+select city, r.pos as days, {rd('level', 4)} as level, {rd('trend', 4)} as trend, {rd('sse', 4)} as sse, {rd('level + trend + cycle[r.pos % 7 + 1]', 4)} as next
+from r join i using (city) where r.pos = i.n""", FILLED)[5:]
+
+# The words that the search leaves out, and its groups of synonyms.
+STOP = (
+    "what", "is", "the", "which", "do", "how", "are", "in", "of", "for", "to", "and", "on", "a", "an", "why", "where",
+    "when", "who", "does", "did", "has", "have", "or", "with", "about",
+)
 GROUPS = {
     "pollution": ["aqi", "pm25", "pm10", "pollutant", "smog", "air quality", "gas", "particulate"],
     "winter": ["december", "january", "february", "cold"],

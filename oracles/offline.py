@@ -5,7 +5,6 @@ from oracles.base import FILLED, rd, sql
 Q: dict[str, str] = {}
 ORDER = ("co", "no2", "o3", "pm10", "pm25", "aqi_daily")
 MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
-YEARS = list(range(1995, 2002))
 
 
 def z(body: str) -> str:
@@ -50,13 +49,13 @@ select city, {rd('max(m)', 1)} as max_yearly_avg, {rd('avg(m)', 1)} as mean_avg,
 
 Q["p06_p07_top_cities"] = z("select city, count(*) as days from z group by 1 order by days desc, city limit 5")
 
-FIRST10 = "f as (select distinct city from z order by city limit 10), y as (select city, year, avg(aqi_daily) as m from z where city in (select city from f) group by 1, 2)"
+YEARLY = "y as (select city, year, avg(aqi_daily) as m from z group by 1, 2)"
 Q["p08_growth"] = z(f"""
-with {FIRST10},
+with {YEARLY},
 g as (select city, year, (m - lag(m) over w) * 100 / lag(m) over w as g from y window w as (partition by city order by year))
 select city, {rd('avg(g)', 2)} as avg_growth, coalesce({rd('arg_max(g, year)', 2)}, 0.0) as latest_growth from g group by 1 having count(*) >= 2""")
 Q["p08_projection"] = z(f"""
-with {FIRST10},
+with {YEARLY},
 f2 as (select city, regr_slope(m, year) as s, regr_intercept(m, year) as i, max(year) as l from y group by 1 having count(*) >= 3)
 select city, cast(l + k as integer) as year, {rd('i + s * (l + k)', 4)} as projected_aqi from f2, (values (1), (2), (3)) t(k)""")
 
@@ -81,14 +80,13 @@ p as (select city, {rd('w', 1)} as winter_pm25, {rd('u', 1)} as summer_pm25, {rd
 
 
 ASIA = "city in (select city_name from cities where region = 'ASIA')"
-FIRST5 = "city in (select distinct city from z order by city limit 5)"
 Q["p10_season_ratio"] = z(f"with {season(ASIA)} select * from p")
-Q["p10_season_ratio_default"] = z(f"with {season(FIRST5)} select * from p")
+Q["p10_season_ratio_default"] = z(f"with {season("city in (select city_name from cities where region = 'North')")} select * from p")
 Q["v2_season_delta"] = z(f"with {season(ASIA)} select *, {rd('winter_pm25 - summer_pm25', 1)} as delta from p")
 
-DOM = f"""d as (select city, corr(pm25, aqi_daily) as a, corr(pm10, aqi_daily) as b from z group by 1 having count(*) >= 30),
-l as (select city, {rd('a', 4)} as corr_pm25, {rd('b', 4)} as corr_pm10,
-  case when round(a - b, 9) > 0 then 'PM2.5' when round(a - b, 9) < 0 then 'PM10' else 'Equal' end as dominant from d)"""
+DOM = f"""d as (select city, count(*) as n, corr(pm25, aqi_daily) as a, corr(pm10, aqi_daily) as b from z group by 1),
+l as (select city, case when n >= 30 then {rd('a', 4)} end as corr_pm25, case when n >= 30 then {rd('b', 4)} end as corr_pm10,
+  case when n < 30 then null when round(a - b, 9) > 0 then 'PM2.5' when round(a - b, 9) < 0 then 'PM10' else 'Equal' end as dominant, case when n >= 30 then 'ok' else 'insufficient data' end as status from d)"""
 Q["p11_dominant"] = z(f"with {DOM} select * from l")
 Q["v3_correlation_gap"] = z(f"with {DOM} select *, {rd('abs(corr_pm25 - corr_pm10)', 4)} as gap from l")
 
@@ -162,10 +160,7 @@ for suffix, level in (("", 160), ("_default", 100)):
 with {onset(level)}
 select city, year, onset_date, cast(month(onset_date) as integer) as onset_month, cast(day(onset_date) as integer) as onset_day from o""")
 Q["p21_mean_onset_day"] = z(f"with {onset(160)} select city, {rd('avg(day(onset_date))', 4)} as mean_onset_day from o group by 1")
-Q["v4_onset_table"] = z(
-    f"with {onset(160)} select city, "
-    + ", ".join(f"cast(max(case when year = {y} then dayofyear(onset_date) end) as integer) as y{y}" for y in YEARS)
-    + " from o group by 1")
+Q["v4_onset_table"] = z(f"with {onset(160)} select city, year, cast(min(dayofyear(onset_date)) as integer) as day from o group by 1, 2")
 
 Q["p22_city_percentiles"] = z(f"""
 select city, {rd('quantile_cont(aqi_daily, 0.9)', 1)} as p90, {rd('quantile_cont(aqi_daily, 0.95)', 1)} as p95 from z group by 1""")
@@ -175,17 +170,17 @@ with s as (select city, avg(no2) as n, avg(aqi_daily) as a from z group by 1)
 select city, {rd('n', 2)} as avg_no2, {rd('a', 2)} as avg_aqi, {rd('n / greatest(a, 1)', 4)} as traffic_ratio from s""")
 
 COOC = f"""w as (select * from z where month in (11,12,1,2)),
-t as (select case when count(*) > 10 then quantile_cont(co, 0.75) else 0 end as c, case when count(*) > 10 then quantile_cont(pm25, 0.75) else 0 end as p from w),
+t as (select quantile_cont(co, 0.75) as c, quantile_cont(pm25, 0.75) as p from w),
 s as (select city, count(*) as total_winter_days, cast(count(*) filter (co > c and pm25 > p) as bigint) as co_pm_simultaneous from w, t group by 1),
 o as (select *, {rd('co_pm_simultaneous * 100.0 / greatest(total_winter_days, 1)', 2)} as rate from s)"""
 Q["p25_cooccurrence"] = z(f"with {COOC} select * from o")
 Q["v5_cooccurrence_complement"] = z(f"with {COOC} select *, {rd('100.0 - rate', 2)} as non_rate from o")
 
-HAZ = f"""h as (select * from z where aqi_daily <= 100 and (o3 > 200 or co > 2.5)
-  union all select * from z where aqi_daily <= 150 and (o3 > 100 or co > 1.5)
-    and (select count(*) from z where aqi_daily <= 100 and (o3 > 200 or co > 2.5)) = 0),
+STRICT = f"select city, date, {rd('aqi_daily', 1)} as aqi, {rd('o3', 1)} as o3, {rd('co', 3)} as co from z where aqi_daily <= 100 and (o3 > 200 or co > 2.5)"
+HAZ = f"""h as (select * from z where aqi_daily <= 150 and (o3 > 100 or co > 1.5)),
 hr as (select city, date, {rd('aqi_daily', 1)} as aqi, {rd('o3', 1)} as o3, {rd('co', 3)} as co from h)"""
 KIND = "case when o3 >= 200 and co > 2.5 then 'both' when o3 >= 200 then 'high_o3' else 'high_co' end"
+Q["p26_hazards_strict"] = z(STRICT)
 Q["p26_hazards_relaxed"] = z(f"with {HAZ} select * from hr")
 Q["p26_hazard_counts"] = z(f"with {HAZ} select city, count(*) as hazard_days from hr group by 1")
 Q["v6_hazard_months"] = z(f"with {HAZ} select city, strftime(date, '%Y-%m') as month, count(*) as days from hr group by 1, 2")
@@ -198,8 +193,7 @@ w as (select s.city, s.pos, s.pos - max(a.pos) as gap from n s join n a on s.cit
   where s.aqi_daily >= 401 group by 1, 2)
 select city, {rd('avg(gap)', 1)} as avg_warning_days, count(*) as events from w group by 1""")
 
-Q["v1_streak_table"] = z(f"with {STREAKS} select city, " + ", ".join(
-    f"coalesce(max(case when year = {y} then streak end), 0) as y{y}" for y in YEARS) + " from st group by 1")
+Q["v1_streak_table"] = z(f"with {STREAKS} select city, year, coalesce(max(streak), 0) as streak from (select distinct city, year from z) left join st using (city, year) group by 1, 2")
 
 MEANS = ", ".join(f"{rd(f'avg({m})', 6)} as avg_{'aqi' if m == 'aqi_daily' else m}" for m in ORDER)
 STD = f"{rd('stddev_samp(aqi_daily)', 6)} as std_aqi"

@@ -127,3 +127,59 @@ def test_backfill_takes_next_then_previous_city(spark):
 def test_ranks_are_distinct_and_ordered(spark):
     df = spark.createDataFrame([("c", 5), ("a", 5), ("b", 1), ("d", 9)], "name string, v int")
     assert {r.name: r["rank"] for r in ranked(df, "v", "name").collect()} == {"b": 1, "a": 2, "c": 3, "d": 4}
+
+
+def test_percentile_bins_spread_ties_and_small_values(spark):
+    """Neither ties nor a small scale put many counted values into one bin."""
+    import numpy as np
+
+    from airloom.operators.quantile import counted, percentiles_of
+
+    rng = np.random.default_rng(1)
+    tied = [5.0] * 9000 + rng.uniform(0, 10, 1000).tolist()
+    small = (rng.uniform(1e-6, 2e-6, 9990) * rng.choice([-1, 1], 9990)).tolist() + [0.0] * 10
+    df = spark.createDataFrame([(1, float(a), float(b)) for a, b in zip(tied, small)], "k int, tied double, small double")
+    values = counted(df, ["k"], ["tied", "small"])
+    assert values.where("_measure = 'tied'").count() == len(set(tied))
+    assert values.groupBy("_measure", "_bin").count().agg({"count": "max"}).first()[0] <= 1000 // 10
+    got = percentiles_of(df, ["k"], {"tied": {"a": 0.5, "b": 0.97}, "small": {"c": 0.1, "d": 0.5, "e": 0.9}}).first()
+    want = [*np.quantile(tied, [0.5, 0.97]), *np.quantile(small, [0.1, 0.5, 0.9])]
+    assert np.allclose(list(got)[1:], want, rtol=1e-12, atol=0)
+
+
+def test_keyed_append_takes_each_key_once(spark, tmp_path):
+    from airloom.sources.files import append_keyed
+
+    path = str(tmp_path / "keyed")
+    batch = spark.createDataFrame([(1, 5.0), (1, 7.0), (2, None)], "k int, v double")
+    append_keyed(batch, path, ["k"])
+    append_keyed(spark.createDataFrame([(2, 1.0), (3, 1.0), (3, 0.5)], "k int, v double"), path, ["k"])
+    assert sorted((r["k"], r["v"]) for r in spark.read.parquet(path).collect()) == [(1, 5.0), (2, None), (3, 0.5)]
+
+
+def test_shared_folder_needs_a_setting_on_a_cluster():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from airloom.sources.scratch import shared_folder
+
+    def session(master, named):
+        conf = {"spark.checkpoint.dir": named} if named else {}
+        context = SimpleNamespace(master=master, applicationId=master, getConf=lambda: conf)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: conf.get(k, d)), sparkContext=context)
+
+    assert shared_folder(session("yarn", "hdfs:///x/")) == "hdfs:///x"
+    assert shared_folder(session("local[2]", None)) == shared_folder(session("local[2]", None))
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            shared_folder(session(master, None))
+
+
+def test_years_and_short_cities_stay(make):
+    from airloom.plans import offline
+
+    ds = make({"Long": [(f"2010-01-{d:02d}", 450) for d in range(1, 32)] + [("2011-02-01", 100)], "Short": [("2012-05-01", 10)] * 1})
+    assert [(r["city"], r["year"], r["streak"]) for r in offline.streak_table(ds).collect()] == [("Long", 2010, 31), ("Long", 2011, 0), ("Short", 2012, 0)]
+    assert {r["city"]: r["status"] for r in offline.dominant(ds).collect()} == {"Long": "ok", "Short": "insufficient data"}
+    assert offline.season_ratio(ds).count() == 0

@@ -152,7 +152,7 @@ def test_parameters_are_checked(small):
     with pytest.raises(ValueError):
         dashboard.historical(small, 1, 13)
     with pytest.raises(ValueError):
-        dashboard.compare_cities(small, [1, 2, 3, 4], "2020-01-01", "2020-01-02")
+        dashboard.compare_cities(small, [])
 
 
 def test_health_days_sum_to_total(small):
