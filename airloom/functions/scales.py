@@ -68,6 +68,9 @@ def risk_advice(score: Column | str) -> Column:
     return _ladder(col(score), [(b, a) for b, _, a in RISK_TIERS], TOP_TIER[1])
 
 
+# The cuts and labels of the two functions below.
+
+
 def momentum(diff: Column | str) -> Column:
     diff = col(diff)
     return (

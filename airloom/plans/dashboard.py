@@ -158,7 +158,8 @@ def hourly_to_daily(hourly: DataFrame, measures: Sequence[str] = ("value", "n"),
             F.max_by(h, F.when(cond, F.struct(v, h))).alias(f"{part}_max_hour"),
             F.min_by(h, F.when(cond, F.struct(v, -h))).alias(f"{part}_min_hour"),
         ]
-    return hourly.groupBy("entity", "date").agg(*aggs).orderBy("entity", "date")
+    labels = {f"{part}_{edge}_label": hour_label(f"{part}_{edge}_hour") for part in ("day", "night") for edge in ("max", "min")}
+    return hourly.groupBy("entity", "date").agg(*aggs).withColumns(labels).orderBy("entity", "date")
 
 
 # -- period statistics ----------------------------------------------------------

@@ -37,16 +37,26 @@ def landed_feed(ds: Dataset) -> DataFrame:
     return first.unionByName(again)
 
 
-def sensor_values(spark: SparkSession, folder: str) -> DataFrame:
-    """Line numbers as sensors of a city and day; every third sensor reports -1."""
+def null_cells(ds: Dataset) -> DataFrame:
+    """The (city_id, date) that lack a measure which sensors can fill."""
+    lacking = " or ".join(f"{c} is null" for c in clean.POLLUTANTS)
+    return ds.readings.filter(lacking).select("city_id", "date")
+
+
+def sensor_values(spark: SparkSession, folder: str, cells: DataFrame | None = None) -> DataFrame:
+    """Line numbers as sensors of a city and day; every third sensor reports -1.
+
+    With cells, only their days: orders are cut down before they meet the line items."""
     orders = table(spark, folder, "orders").select(
         F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"), F.col("o_orderdate").cast("date").alias("date")
     )
     customer = table(spark, folder, "customer").select("c_custkey", F.col("c_nationkey").alias("city_id"))
     lines = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    wanted = orders.join(customer, "c_custkey")
+    if cells is not None:
+        wanted = wanted.join(cells, ["city_id", "date"], "left_semi")
     values = (
-        lines.join(orders, "l_orderkey")
-        .join(customer, "c_custkey")
+        lines.join(wanted, "l_orderkey")
         .groupBy("city_id", "date", F.col("l_linenumber").alias("sensor_rank"))
         .agg((F.sum(F.col("l_quantity").cast("bigint")) / F.count(F.lit(1))).alias("value"))
     )
@@ -100,11 +110,13 @@ def monthly_attach(ds: Dataset) -> DataFrame:
 
 
 def gap_fill(spark: SparkSession, folder: str) -> DataFrame:
-    return clean.gap_fill(load(spark, folder).readings, sensor_values(spark, folder))
+    ds = load(spark, folder)
+    return clean.gap_fill(ds.readings, sensor_values(spark, folder, null_cells(ds)))
 
 
 def gap_fill_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return clean.gap_fill_counts(load(spark, folder).readings, sensor_values(spark, folder))
+    ds = load(spark, folder)
+    return clean.gap_fill_counts(ds.readings, sensor_values(spark, folder, null_cells(ds)))
 
 
 def union_sort(spark: SparkSession, folder: str) -> DataFrame:

@@ -123,10 +123,13 @@ from days where city_id in (1, 7, 12, 20) group by 1""")
 
 HOURS = f"h as (select event_type as entity, cast(ts as date) as date, cast(hour(ts) as integer) as hour, {rd('avg(value)', 2)} as value, count(*) as n from events group by 1, 2, 3)"
 PART = {"day": "hour >= 6 and hour < 18", "night": "not (hour >= 6 and hour < 18)"}
+LABEL = "concat(case when {h} % 12 = 0 then 12 else {h} % 12 end, case when {h} < 12 then ' AM' else ' PM' end) as {n}"
 Q["d22_hourly_to_daily"] = (
-    f"with {HOURS} select entity, date, {up('avg(value)')} as avg_value, max(value) as max_value, min(value) as min_value, {up('avg(n)')} as avg_n, max(n) as max_n, min(n) as min_n, "
+    f"with {HOURS}, dd as (select entity, date, {up('avg(value)')} as avg_value, max(value) as max_value, min(value) as min_value, {up('avg(n)')} as avg_n, max(n) as max_n, min(n) as min_n, "
     + ", ".join(
         f"{up(f'avg(value) filter ({c})')} as {p}_avg, max(value) filter ({c}) as {p}_max, min(value) filter ({c}) as {p}_min, "
         f"arg_max(hour, (value, hour)) filter ({c}) as {p}_max_hour, arg_min(hour, (value, -hour)) filter ({c}) as {p}_min_hour"
         for p, c in PART.items())
-    + " from h group by 1, 2")
+    + " from h group by 1, 2) select *, "
+    + ", ".join("case when {h} is not null then ".format(h=f"{p}_{e}_hour") + LABEL.format(h=f"{p}_{e}_hour", n="").replace(" as ", "") + f" end as {p}_{e}_label" for p in PART for e in ("max", "min"))
+    + " from dd")
