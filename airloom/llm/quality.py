@@ -161,9 +161,11 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     weights = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32) + np.float32(0.1)
 
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality")).where(~held_out())
-    rows = texts.join(marks, "doc_id")
+    rows = texts.select("doc_id").join(marks, "doc_id")
     share = min(1.0, sample_rows / max(1, rows.count()))
-    chosen = rows.where((F.pmod(F.xxhash64("doc_id", F.lit("vote")), F.lit(1 << 30)) / (1 << 30)) < share)
+    picked = rows.where((F.pmod(F.xxhash64("doc_id", F.lit("vote")), F.lit(1 << 30)) / (1 << 30)) < share)
+
+    chosen = texts.join(F.broadcast(picked.distinct()), "doc_id")  # as bounded as the sample
 
     def counted(batches):
         for batch in batches:

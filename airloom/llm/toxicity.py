@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from airloom.llm.arrays import BYTE_VALUES, LOWER, U64, Rolling, mixed, word_bounds
 from airloom.llm.packs import text_buffers
 from airloom.shipping import ship_package
+from airloom.sources.scratch import written
 
 #: Words of labelled text that the class counts are taken from, about.
 SAMPLE_WORDS = 3_000_000
@@ -189,16 +190,19 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = _texts(docs, id_col, text_col)
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.where(~held_out())
-    rows = texts.join(marks, "doc_id").where(F.length("text") > 0)
+    # ids and lengths only; the texts of the sample are read once it is chosen
+    sizes = texts.select("doc_id", F.length("text").alias("letters")).where("letters > 0")
+    rows = sizes.join(marks, "doc_id")
     # about as many words of each class, so that the rare words of neither weigh more
-    letters = {r["toxic"]: r["letters"] for r in rows.groupBy("toxic").agg(F.sum(F.length("text")).alias("letters")).collect()}
+    letters = {r["toxic"]: r["letters"] for r in rows.groupBy("toxic").agg(F.sum("letters").alias("letters")).collect()}
     room = sample_words * 6 / 2
     if len(letters) > 1:
         room = min(room, *letters.values())
     share = F.create_map(*[F.lit(x) for k, v in letters.items() for x in (k, min(1.0, room / v))]) if letters else F.create_map(F.lit(0), F.lit(1.0))
     pick = (F.pmod(F.xxhash64("doc_id", F.lit("pick")), F.lit(1 << 30)) / (1 << 30)) < share[F.col("toxic")]
     curve = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(4)) == 0
-    sample = rows.where(pick)
+    chosen = rows.where(pick).select("doc_id", "toxic").distinct()
+    sample = written(texts.join(F.broadcast(chosen), "doc_id").where(F.length("text") > 0), "sample")  # as bounded as the sample
 
     counted = sample.where(~curve).select("text", "toxic").mapInArrow(_counted, "trigram long, key long, before long, word long, toxic int")
     once = counted.groupBy("trigram", "toxic").agg(*[F.first(c).alias(c) for c in ("key", "before", "word")])
