@@ -36,6 +36,7 @@ from airloom.shipping import ship_package
 K1, B = 1.2, 0.75
 WINDOW = 64
 BLOCK = 16
+BLOCKS_AT_ONCE = 64
 THRESHOLD = 0.5
 OVERLAP = 0.5
 GRAM = 3
@@ -153,11 +154,16 @@ def retrieved(index: Index, words: np.ndarray, cuts: np.ndarray, threshold: floa
     low = cuts[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * step
     high = np.minimum(low + index.window, cuts[1:][doc])
     a, b = np.searchsorted(essential, low), np.searchsorted(essential, high)
-    # only windows with as many essential terms as the best of all blocks needs go on
-    best = np.concatenate([[0.0], np.cumsum(index.bounds[at[essential]].max(axis=1), dtype=np.float64)])
-    alive = np.flatnonzero(best[b] - best[a] >= threshold - index.rest.max() - 1e-6)
+    # block sums over all occurrences bound those over different terms: most windows end here
+    blocks = index.bounds.shape[1]
+    alive = np.zeros(len(low), bool)
+    for k in range(0, blocks, BLOCKS_AT_ONCE):
+        part = slice(k, k + BLOCKS_AT_ONCE)
+        sums = np.zeros((len(essential) + 1, len(index.rest[part])))
+        np.cumsum(index.bounds[at[essential], part], axis=0, out=sums[1:])
+        alive |= (sums[b] - sums[a] + index.rest[part] >= threshold - 1e-6).any(axis=1)
     found: dict[tuple[int, int], tuple[float, int, int]] = {}
-    for w in alive.tolist():
+    for w in np.flatnonzero(alive).tolist():
         inside = np.unique(at[essential[a[w] : b[w]]])
         bound = index.bounds[inside].sum(axis=0, dtype=np.float64) + index.rest
         for block in np.flatnonzero(bound >= threshold - 1e-6).tolist():
