@@ -183,3 +183,15 @@ def test_years_and_short_cities_stay(make):
     assert [(r["city"], r["year"], r["streak"]) for r in offline.streak_table(ds).collect()] == [("Long", 2010, 31), ("Long", 2011, 0), ("Short", 2012, 0)]
     assert {r["city"]: r["status"] for r in offline.dominant(ds).collect()} == {"Long": "ok", "Short": "insufficient data"}
     assert offline.season_ratio(ds).count() == 0
+
+
+def test_intermediate_tables_can_be_cleared(spark, monkeypatch, tmp_path):
+    import os
+
+    from airloom.sources import scratch
+
+    monkeypatch.setattr(scratch, "shared_folder", lambda s: str(tmp_path))
+    kept = scratch.written(spark.range(3), "some")
+    assert kept.count() == 3 and os.listdir(tmp_path / "airloom")
+    scratch.clear(spark)
+    assert os.listdir(tmp_path / "airloom") == []
