@@ -10,6 +10,7 @@ from airloom.models import anomaly, cluster, forecast
 from airloom.operators.search import expanded, query_tokens, search, STOP_WORDS
 from airloom.sources.files import ResultStore
 from airloom.sources.scratch import fresh_path
+from airloom.sources.tables import Dataset
 from airloom.streaming.live import live_batch, run_live
 from tests.conftest import SMALL
 
@@ -58,8 +59,12 @@ def test_tree_paths_equal_a_walk():
 
 def test_anomaly_rate_and_repeatability(small):
     rows = anomaly.anomaly_report(small, trees=40).collect()
-    assert rows and all(r.anomaly_rate <= 15 and abs(r.anomalies_detected - 0.05 * r.total_points) <= 2 for r in rows)
-    assert rows == anomaly.anomaly_report(small, trees=40).collect()
+    fitted, short = [r for r in rows if r.status == "ok"], [r for r in rows if r.status != "ok"]
+    assert fitted and all(r.anomaly_rate <= 15 and abs(r.anomalies_detected - 0.05 * r.total_points) <= 2 for r in fitted)
+    # a short city is listed with the reason, and has no figures
+    assert all(r.total_points < anomaly.MIN_ROWS and r.anomaly_rate is None and r.status == anomaly.TOO_FEW for r in short)
+    again = Dataset(small.readings, small.cities)  # without a state nothing is kept: the forest is grown again
+    assert rows == anomaly.anomaly_report(again, trees=40).collect()
 
 
 def test_sample_is_bounded_and_per_tree(spark, small):
