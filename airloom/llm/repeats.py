@@ -66,7 +66,7 @@ def stretches(values: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length:
     key = grams[place]
     doc = np.searchsorted(offsets, low, "right") - 1
     order = np.argsort(ids[doc], kind="stable")
-    order = order[np.argsort(((key & _HIGH32) | (content & _LOW32))[order], kind="stable")]
+    order = order[np.lexsort((content[order], key[order]))]
     key, content = key[order], content[order]
     first = np.ones(len(order), bool)
     first[1:] = (key[1:] != key[:-1]) | (content[1:] != content[:-1])
@@ -104,7 +104,7 @@ def _slices(key: np.ndarray, buckets: int) -> list[tuple[int, int, int]]:
 
 def _key_groups(s: Stretches) -> tuple[np.ndarray, np.ndarray]:
     """Over the first ones of equal stretches: where a new key begins, and the key's number."""
-    key = s.key[s.first] >> U64(32)
+    key = s.key[s.first]
     new = np.ones(len(key), bool)
     new[1:] = key[1:] != key[:-1]
     return np.flatnonzero(new), np.cumsum(new) - 1
@@ -157,7 +157,7 @@ def _first_answers(table: pa.Table) -> pa.Table:
         contents.append(_six_in(raw, n, at + 4 * n))
         sizes.append(n)
     key, content, doc = np.concatenate(keys), np.concatenate(contents), np.concatenate(ids)
-    order = np.argsort((key << U64(32)) | (content & _LOW32))
+    order = np.lexsort((content, key))
     fresh = _groups(order, key, content)
     by_key = np.cumsum(_groups(order, key)) - 1
     several = content[order] == SEVERAL
@@ -195,7 +195,10 @@ class Windows:
 
 
 def _compared(s: Stretches, codes: np.ndarray, ids: np.ndarray, length: int) -> Windows:
-    mine = np.flatnonzero(s.first)[codes == COMPARE]
+    # a stretch that its first document holds again is compared like the first one
+    owner = np.cumsum(s.first) - 1
+    head = np.flatnonzero(s.first)[owner]
+    mine = np.flatnonzero((codes[owner] == COMPARE) & (ids[s.doc] == ids[s.doc[head]])) if len(owner) else owner
     mine = mine[np.lexsort((s.low[mine], s.doc[mine], ids[s.doc[mine]]))]
     count = s.count[mine]
     begin = np.repeat(s.low[mine] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))

@@ -98,6 +98,16 @@ def test_repeats_with_equal_ids_and_many_packs(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_removed"]) for r in span_dedup_digests(docs).collect()) == [(1, 0), (1, 0), (2, 40)]
 
 
+def test_a_stretch_twice_in_one_document_and_under_a_shared_key(spark):
+    """Both places of a repeated string go, also where its key has other stretches."""
+    rng = random.Random(8)
+    part = "".join(rng.choice("abcdefgh") for _ in range(70))
+    join = lambda n: "".join(rng.choice("ijklmnop") for _ in range(n))
+    texts = [join(40) + part + join(40), join(40) + part + join(40) + part + join(40), join(9) + part[:60] + join(30)]
+    got = {r["doc_id"]: r["n_removed"] for r in suffix_dedup_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 140, 2: 60}
+
+
 def brute_join(rows):
     sets = {}
     for i, t, *_ in rows:
