@@ -6,9 +6,14 @@ number of characters per tag, adjusted by a logarithm that falls with the share
 links; its density sum is the sum over its children.  The element of the largest density
 sum is where the text is; the least density on the way from there to the body is the
 threshold, and of every other element above the threshold the subtree of the largest sum
-is taken as well.  Before that, elements that never hold the text are cut off: scripts,
-styles, forms, navigation, page headers and footers, asides, hidden elements, and those
-that their class, id or role names as advert, notice, sidebar, menu or reader comments."""
+is taken as well.  Never taken are elements that do not hold the text: scripts, styles,
+forms, navigation, page headers and footers, asides, hidden elements, and those that
+their class, id or role names as advert, notice, sidebar, menu or reader comments; their
+links count all the same, as the densities tell text from links.
+
+An article that holds most of what may be taken is the text, whole; so is all that may be
+taken of a page without links, where densities have nothing to tell.  Headings of the
+first level are taken wherever they stand."""
 
 from __future__ import annotations
 
@@ -29,6 +34,8 @@ TEXTS = "page_id long, url string, text string, n_chars long"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 CUT = frozenset("head script style nav footer aside form noscript iframe template svg canvas math object select option button textarea dialog menu input label audio video map title".split())
+#: Those of CUT that hold nothing to be measured.
+UNSEEN = CUT - frozenset("nav footer aside form dialog menu".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -58,10 +65,10 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "best")
+    __slots__ = ("tag", "attributes", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "best", "cut", "kept")
 
     def __init__(self, tag: str, attributes: str, parent: Node | None):
-        self.tag, self.attributes, self.parent, self.items = tag, attributes, parent, []
+        self.tag, self.attributes, self.parent, self.items, self.cut = tag, attributes, parent, [], False
 
 
 def tree(page: str) -> Node:
@@ -151,25 +158,31 @@ def _holds_text(node: Node) -> bool:
 
 
 def _order(root: Node) -> list[Node]:
-    """All elements, parents first; what is cut off is gone, with everything below."""
+    """All elements, parents first; what is never seen is gone, what is not to be taken is marked."""
     out, todo = [], [(root, False)]
     while todo:
         node, inside = todo.pop()
         inside = inside or node.tag in ("article", "main")
-        node.items = [x for x in node.items if isinstance(x, str) or not _unwanted(x, inside)]
+        node.items = [x for x in node.items if isinstance(x, str) or x.tag not in UNSEEN]
         out.append(node)
-        todo += [(x, inside) for x in reversed(node.items) if isinstance(x, Node)]
+        below = [x for x in node.items if isinstance(x, Node)]
+        for x in below:
+            x.cut = node.cut or _unwanted(x, inside)
+        todo += [(x, inside) for x in reversed(below)]
     return out
 
 
 def _measure(order: list[Node]) -> None:
     for node in reversed(order):
-        chars = tags = link_chars = link_tags = 0
+        chars = tags = link_chars = link_tags = kept = 0
         for x in node.items:
             if isinstance(x, str):
-                chars += len(x) - x.count(" ") - x.count("\n")
+                seen = len(x) - x.count(" ") - x.count("\n")
+                chars, kept = chars + seen, kept + seen
             else:
+                kept += x.kept
                 chars, tags, link_chars, link_tags = chars + x.chars, tags + x.tags + 1, link_chars + x.link_chars, link_tags + x.link_tags + (x.tag == "a")
+        node.kept = 0 if node.cut else kept
         node.chars, node.tags, node.link_chars, node.link_tags = chars, tags, chars if node.tag == "a" else link_chars, link_tags
     body = order[0]
     share = body.link_chars / max(body.chars, 1)
@@ -181,16 +194,22 @@ def _measure(order: list[Node]) -> None:
         node.total, node.best = 0.0, node
         own = 0.0
         for x in node.items:  # elements inside a line are part of their block's text
-            if isinstance(x, Node) and x.tag in BLOCK:
+            if isinstance(x, Node) and x.tag in BLOCK and not x.cut:
                 own += x.density
         node.total = own
         for x in node.items:
-            if isinstance(x, Node) and x.best.total > node.best.total:
+            if isinstance(x, Node) and not x.cut and x.best.total > node.best.total:
                 node.best = x.best
 
 
-def _chosen(root: Node) -> set[int]:
-    """The elements whose whole subtree is text."""
+def _chosen(root: Node, order: list[Node]) -> set[int]:
+    """The elements whose whole subtree is text, but for what is cut."""
+    # a page that marks its article: the text is what the mark holds, if that is most of what may be taken
+    marked = max((x for x in order if x.tag in ("article", "main") and not x.cut), key=lambda x: x.kept, default=None)
+    if marked is not None and 2 * marked.kept >= root.kept:
+        return {id(marked)}
+    if not root.link_chars:
+        return {id(root)}
     best = root.best
     floor, up = best.density, best
     while up is not None:
@@ -199,9 +218,11 @@ def _chosen(root: Node) -> set[int]:
     taken, todo = {id(best)}, [root]
     while todo:
         node = todo.pop()
-        if node.density >= floor and node is not root and node.chars:
+        if node.density >= floor and node is not root and node.kept:
             taken.add(id(node.best))
-        todo += [x for x in node.items if isinstance(x, Node)]
+        elif node.tag == "h1" and not node.link_chars:
+            taken.add(id(node))
+        todo += [x for x in node.items if isinstance(x, Node) and not x.cut]
     return taken
 
 
@@ -214,11 +235,7 @@ def main_text(page: str) -> str:
     root = tree(page)
     order = _order(root)
     _measure(order)
-    # a page that marks its article: the body is what the mark holds, if that is most of the text
-    marked = max((x for x in order if x.tag in ("article", "main")), key=lambda x: x.chars, default=None)
-    if marked is not None and 2 * marked.chars >= root.chars:
-        root, marked.parent = marked, None
-    taken = _chosen(root)
+    taken = _chosen(root, order)
     blocks, parts = [], []
 
     def close():
@@ -228,17 +245,17 @@ def main_text(page: str) -> str:
                 blocks.append(line)
             parts.clear()
 
-    todo: list = [(root, False)]
+    todo: list = [(root, False, False)]
     while todo:
-        x, inside = todo.pop()
+        x, inside, article = todo.pop()
         if x is None:
             close()
         elif isinstance(x, str):
             if inside:
                 parts.append(x)
         else:
-            inside = inside or id(x) in taken
-            if inside and _links_only(x):
+            inside, article = inside or id(x) in taken, article or x.tag == "article"
+            if x.cut or inside and not article and _links_only(x):
                 continue
             if x.tag == "br":
                 parts.append(" ")
@@ -246,8 +263,8 @@ def main_text(page: str) -> str:
             block = x.tag in BLOCK
             if block:
                 close()
-                todo.append((None, False))
-            todo += [(y, inside) for y in reversed(x.items)]
+                todo.append((None, False, False))
+            todo += [(y, inside, article) for y in reversed(x.items)]
     close()
     return "\n\n".join(blocks)
 

@@ -118,6 +118,22 @@ def test_main_text():
     assert main_text("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
 
+def test_text_of_nested_sections_is_whole():
+    long, short = [f"L{i} " + "long text " * 40 for i in range(3)], [f"S{i} " + "a short one " * 4 for i in range(3)]
+    section = lambda tag, texts: f"<{tag}>" + "".join(f"<p>{t}</p>" for t in texts) + f"</{tag}>"
+    nav = "<nav><ul>" + "<li><a href=x>Somewhere</a></li>" * 6 + "</ul></nav>"
+    want = "\n\n".join(x.strip() for x in ["The Title", *long, *short])
+    for around in ("", nav, "<div>" + nav + "</div>", "<div class=menu>" + nav + "</div>"):
+        inner = "<h1>The Title</h1>" + section("section", long) + section("section", short)
+        assert main_text(f"<body>{around}<article>{inner}</article><footer>foot</footer></body>") == want
+        assert main_text(f"<body>{around}<div>{inner}</div><footer>foot</footer></body>") == want
+        outside = f"<body>{around}<h1>The Title</h1><div>{section('div', long)}{section('div', short)}</div></body>"
+        assert main_text(outside) == want
+    sources = "<ul>" + "".join(f"<li><a href=x>Source {i}</a></li>" for i in range(4)) + "</ul>"
+    assert main_text(f"<body>{nav}<article><p>{long[0]}</p>{sources}</article>{sources}</body>").endswith("Source 0\n\nSource 1\n\nSource 2\n\nSource 3")
+    assert main_text(f"<body>{nav}<div><p>{long[0]}</p><p>{long[1]}</p>{sources}</div></body>") == f"{long[0].strip()}\n\n{long[1].strip()}"
+
+
 def test_extracted_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None), (None, "v", "", None), (3, "w", "<p>" + "long " * 200000, None)], "page_id long, url string, html string, text string")
     got = sorted(((r["page_id"] or 0, r["url"], r["n_chars"]) for r in extracted(pages).collect()), key=str)
