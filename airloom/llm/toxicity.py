@@ -1,12 +1,13 @@
 """Toxicity by class-conditional Kneser-Ney models (operator 2).
 
 Two bigram models are learned from labelled texts, one of toxic and one of ordinary
-ones, over the stems of words (their first STEM bytes, lower case).  Counts are those of
-Kneser and Ney: a bigram counts the different stems before it, a stem the different
-stems before it, so copies of a text add nothing.  What the two classes share is moved
+ones, over whole words (A-Z in lower case); of scripts that write no spaces, such as Han,
+kana and Thai, each character is a word.  Counts are those of Kneser and Ney: a bigram
+counts the different words before it, a word the different words before it, so copies of
+a text add nothing.  What the two classes share is moved
 to both alike: a class keeps an excess only where it is larger than chance explains (a
-discount of some standard deviations; held-back rows choose from CHANCES).  Bigrams back off to the stems of the class,
-and these to how often each stem stands in all documents, whatever their label; the
+discount of some standard deviations; held-back rows choose from CHANCES).  Bigrams back off to the words of the class,
+and these to how often each word stands in all documents, whatever their label; the
 share of probability that goes to the backoff is the same for both classes.  A rare
 expression therefore gets the same probability from both models, and only words that a
 class has made its own tell them apart.  The score compares the two log-likelihoods,
@@ -34,8 +35,6 @@ from airloom.sources.scratch import written
 
 #: Words of labelled text that the class counts are taken from, about.
 SAMPLE_WORDS = 3_000_000
-#: Bytes of a word that its stem keeps.
-STEM = 4
 #: The excess of a class that chance may explain, in standard deviations; the curve's rows choose.
 CHANCES = (0.5, 1.0, 2.0, 3.0, 4.0)
 #: The discount of the models.
@@ -43,15 +42,31 @@ DISCOUNT = 0.75
 #: Anything but ASCII letters and bytes of other scripts parts words here.
 PARTS = np.ones(256, bool)
 PARTS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
+#: First two bytes, from and to, of characters that are words of their own: Thai and Lao, Burmese, Khmer, kana and Han.
+SINGLE = ((0xE0B8, 0xE0BB), (0xE180, 0xE182), (0xE19E, 0xE19F), (0xE380, 0xE9FF), (0xEFA4, 0xEFAB), (0xEFBD, 0xEFBE), (0xF0A0, 0xF0BF))
 _EDGE = U64(0)
 
 
+def _single(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bounds of words, with each character of SINGLE apart."""
+    lead = np.flatnonzero(data[:-1] >= 0xE0)
+    first = data[lead].astype(np.int32) << 8 | data[lead + 1]
+    lead = lead[np.logical_or.reduce([(first >= a) & (first <= b) for a, b in SINGLE])]
+    if not len(lead):
+        return starts, ends, cuts
+    more = np.concatenate([lead, lead + np.where(data[lead] >= 0xF0, 4, 3)])
+    of = np.searchsorted(starts, more, "right") - 1
+    every = np.union1d(starts, more[more < ends[of]])
+    last = ends[np.searchsorted(starts, every, "right") - 1]
+    return every, np.minimum(np.append(every[1:], last[-1]), last), np.searchsorted(every, offsets)
+
+
 def _words(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the stems of a text column, and the offsets of its rows."""
+    """Hashes of the words of a text column, and the offsets of its rows."""
     data, offsets = text_buffers(array)
     data = LOWER[data]
-    starts, ends, cuts = word_bounds(data, offsets, PARTS)
-    return Rolling(BYTE_VALUES[data]).of(starts, np.minimum(ends, starts + STEM)), cuts
+    starts, ends, cuts = _single(data, offsets, *word_bounds(data, offsets, PARTS))
+    return Rolling(BYTE_VALUES[data]).of(starts, ends), cuts
 
 
 def _pairs(words: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -88,7 +103,7 @@ class Counts:
     """What the models are made of.  Rows of the arrays are the ordinary and the toxic class."""
 
     def __init__(self, bigrams: np.ndarray, before: np.ndarray, word: np.ndarray, kinds: np.ndarray):
-        """Bigrams by ascending key, with the number of different stems before each in each class."""
+        """Bigrams by ascending key, with the number of different words before each in each class."""
         self.bigrams, self.kinds = bigrams, kinds.astype(np.float64)
         self.words = np.unique(np.concatenate([word, before]))
         self.of_word, self.of_before = np.searchsorted(self.words, word), np.searchsorted(self.words, before)
@@ -111,7 +126,7 @@ class Counts:
 
 
 class Model:
-    """Logarithms of the toxic over the ordinary probability, of stems and of bigrams with a say."""
+    """Logarithms of the toxic over the ordinary probability, of words and of bigrams with a say."""
 
     def __init__(self, words: np.ndarray, single: np.ndarray, bigrams: np.ndarray, pair: np.ndarray):
         self.words, self.single = words, single.astype(np.float32)

@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from airloom.llm import quality as quality_module
@@ -75,6 +76,30 @@ def test_toxic_words_decide(spark):
     assert kept.where("doc_id is null").count() == 1 and kept.where("doc_id = 1003").count() == 2
 
 
+def test_words_count_whole():
+    words = lambda *texts: toxicity_module._words(pa.array(texts))
+    own, cuts = words("moron moronic MORON", None, "дурак дурное", "ab中文ไทx", "")
+    assert cuts.tolist() == [0, 3, 3, 5, 11, 11] and len(set(own.tolist())) == 10 and own[0] == own[2]
+    assert own[7] == words("文")[0][0] and own[5] == words("ab")[0][0] and own[10] == words("x")[0][0] and own[9] == words("ท")[0][0]
+
+
+def test_words_that_begin_alike_are_not_alike(spark):
+    rng = random.Random(6)
+    plain = lambda: [rng.choice(["hall", "tree", "road", "lamp", "мост", "река"]) + "abcdefgh"[rng.randrange(8)] for _ in range(40)]
+    docs, labels = [], []
+    for i in range(300):
+        text = plain()
+        for _ in range(3):
+            text[rng.randrange(40)] = rng.choice(["charlatan", "дурачок", "你笨蛋"] if i % 3 == 0 else ["character", "дурман", "你好人"])
+        docs.append((i, " ".join(text)))
+        labels.append((i, 1, int(i % 3 == 0)))
+    tests = {1000: "character", 1001: "charlatan", 1002: "дурман", 1003: "дурачок", 1004: "他们都说你好人", 1005: "他们都说你笨蛋"}
+    docs += [(k, " ".join([w] * 4 if k < 1004 else [w])) for k, w in tests.items()]
+    table, marks = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    scores = {r["doc_id"]: r["score"] for r in toxicity(table, fitted(table, marks)).collect()}
+    assert [scores[k] >= 0.5 for k in tests] == [False, True] * 3
+
+
 def test_models_without_labels_or_documents(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
