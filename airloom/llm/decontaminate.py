@@ -11,9 +11,10 @@ the threshold are retrieved, and no other item needs to be scored:
   The sum of these over a window bounds the score of every item of the block.  Blocks
   under the threshold are skipped; the items of the others are scored exactly.
 
-A retrieved item is verified against the text around the window: the words of its
-question (all but its last sentence) and of its answer (the last sentence) that lie in
-shared word trigrams must make up the given share of each.
+A retrieved item is verified against the text around the window: its words that lie in
+shared word trigrams must make up the given share of the whole item.  The items name no
+answer of their own, so the shares of the last sentence and of what is before it are told
+as well, but decide nothing: an item without its last sentence is a leak, too.
 
 The index is sent to all workers, so its size is checked: more than INDEX_TERMS
 postings go in several passes over the documents."""
@@ -45,7 +46,7 @@ INDEX_TERMS = 2_000_000
 #: Anything but ASCII letters, digits and bytes of other scripts parts words here.
 PARTS = np.ones(256, bool)
 PARTS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, position long"
+FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, position long, item_overlap double"
 _LAST_SENTENCE = re.compile(r"[.!?\n]\s+(?=\S[^.!?\n]*[.!?]*\s*$)")
 
 
@@ -129,8 +130,8 @@ def _grams(words: np.ndarray, n: int) -> np.ndarray:
     return Rolling(words).every(n) if len(words) >= n else np.zeros(0, np.uint64)
 
 
-def overlap(item: np.ndarray, answer: int, around: np.ndarray) -> tuple[float, float]:
-    """Shares of the words of question and answer that lie in n-grams of the text around."""
+def overlap(item: np.ndarray, answer: int, around: np.ndarray) -> tuple[float, float, float]:
+    """Shares of the words of question, answer and whole item that lie in n-grams of the text around."""
     n = min(GRAM, len(item))
     hit = np.isin(_grams(item, n), _grams(around, n))
     marks = np.zeros(len(item), bool)
@@ -138,7 +139,7 @@ def overlap(item: np.ndarray, answer: int, around: np.ndarray) -> tuple[float, f
         marks[k : k + len(hit)] |= hit
     question, rest = marks[:answer], marks[answer:]
     share = float(rest.mean()) if len(rest) else 1.0
-    return (float(question.mean()) if len(question) else share), share
+    return (float(question.mean()) if len(question) else share), share, float(marks.mean())
 
 
 def retrieved(index: Index, words: np.ndarray, cuts: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
@@ -187,14 +188,16 @@ def _searched(indexes: list[Index], batch: pa.RecordBatch, threshold: float) ->
     for index in indexes:
         for d, i, score, lo, hi in retrieved(index, words, cuts, threshold):
             around = words[max(cuts[d], lo - index.window) : min(cuts[d + 1], hi + index.window)]
-            question, answer = overlap(index.words[i], index.answers[i], around)
-            rows.append((ids[d], int(index.items[i]), score, question, answer, int(lo - cuts[d])))
+            question, answer, whole = overlap(index.words[i], index.answers[i], around)
+            rows.append((ids[d], int(index.items[i]), score, question, answer, int(lo - cuts[d]), whole))
     return rows
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, share: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text", index_terms: int = INDEX_TERMS) -> DataFrame:
     """Verified pairs of document and item, with score, overlaps and the first word of the best window.
 
+    `share` is the least overlap of a whole item.
+
     Defined results: null and empty texts, documents without words and items without
     words have no pairs; rows without an id are left out on both sides; equal pairs from
     repeated rows come once, with the best score; other columns are ignored."""
@@ -219,8 +222,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THR
 
         found = texts.mapInArrow(each, FOUND)
         out = found if out is None else out.union(found)
-    best = F.max_by(F.struct("score", "question_overlap", "answer_overlap", "position"), F.struct("score", F.negative("position"))).alias("best")
-    good = out.where((F.col("question_overlap") >= share) & (F.col("answer_overlap") >= share))
+    best = F.max_by(F.struct("score", "question_overlap", "answer_overlap", "position", "item_overlap"), F.struct("score", F.negative("position"))).alias("best")
+    good = out.where(F.col("item_overlap") >= share)
     return good.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 

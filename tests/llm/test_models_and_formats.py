@@ -224,6 +224,23 @@ def test_benchmark_hits(spark, bench):
     assert benchmark_hits(table.where("false"), tests).collect() == benchmark_hits(table, tests.where("false")).collect() == []
 
 
+def test_leaks_with_an_edit_in_or_without_the_last_sentence(spark):
+    rng = random.Random(3)
+    line = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    parts = [(line(25), line(n)) for n in (1, 1, 3, 3, 8, 8)]
+    items = [(i, f"{q}. {a}.") for i, (q, a) in enumerate(parts)]
+    docs = []
+    for i, (q, a) in enumerate(parts):
+        words = q.split()
+        docs.append((3 * i, f"{line(50)} {q}. {line(50)}"))  # without the last sentence
+        docs.append((3 * i + 1, f"{line(50)} {' '.join(words[:-1])} edited. {a}. {line(50)}"))
+        docs.append((3 * i + 2, f"{line(50)} {q}. edited {' '.join(a.split()[1:])} {line(50)}"))
+    docs += [(100 + i, f"{line(50)} {' '.join(q.split()[:8])} {line(50)}") for i, (q, _) in enumerate(parts)]
+    table, tests = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in benchmark_hits(table, tests).collect()} == {(k, k // 3) for k in range(18)}
+    assert {r["doc_id"] for r in decontaminated(table, tests).collect()} == {100 + i for i in range(6)}
+
+
 SAID = ["</s>[INST] ok [/INST]", "\\", "\\\\<\\/s>", "<|turn|>x<|done|>", "<|image:0|>", "[[INST]<s<s>", "", "a\nb", "é日👩"]
 
 
