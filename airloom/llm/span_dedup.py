@@ -61,10 +61,12 @@ def _digests(pack: Pack, offsets, starts, ends) -> pa.RecordBatch:
 
 
 def _texts(pack: Pack, offsets, starts, ends) -> pa.RecordBatch:
-    """Documents that lost words, with what is left; the others need no row."""
+    """Documents that lost words, with the digest of what they were and what is left; the others need no row."""
     gone, kept = _kept(pack, offsets, starts, ends)
     lost = np.flatnonzero(per_document(gone, offsets))
-    return pa.RecordBatch.from_arrays([pa.array(pack.ids[lost]), pa.array([kept[i] for i in lost], pa.binary()).cast(pa.string())], ["doc_id", "kept"])
+    raw, at = pack.data.tobytes(), pack.offsets
+    was = [hashlib.sha256(raw[at[i] : at[i + 1]]).hexdigest() for i in lost]
+    return pa.RecordBatch.from_arrays([pa.array(pack.ids[lost]), pa.array(was, pa.string()), pa.array([kept[i] for i in lost], pa.binary()).cast(pa.string())], ["doc_id", "was", "kept"])
 
 
 def span_dedup_digests(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -75,11 +77,14 @@ def span_dedup_digests(docs: DataFrame, length: int = 20, id_col: str = "doc_id"
 def span_dedup(docs: DataFrame, length: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents without their repeated spans.  A document that lost words has the kept
     words joined by single spaces; the others keep their text byte by byte.  All columns
-    stay, and n_chars, where there is one, is the new number of code points."""
+    stay, and n_chars, where there is one, is the new number of code points.  Every row
+    stays once: rows meet their cut text by id and digest of the text, so rows of equal
+    ids each keep what is left of their own."""
     seed = max(1, min(SEED, length // 2))
-    cut = repeated_windows(packed(docs, id_col, text_col), _words, length, seed, True, _texts, "doc_id long, kept string", 0.25)
-    cut = cut.select(F.col("doc_id").alias("_cut_id"), F.col("kept").alias("_cut_text"))
-    joined = docs.join(cut, docs[id_col] == cut["_cut_id"], "left")
+    cut = repeated_windows(packed(docs, id_col, text_col), _words, length, seed, True, _texts, "doc_id long, was string, kept string", 0.25)
+    cut = cut.groupBy(F.col("doc_id").alias("_cut_id"), F.col("was").alias("_cut_was")).agg(F.min("kept").alias("_cut_text"))
+    was = F.sha2(docs[text_col].cast("string").cast("binary"), 256)
+    joined = docs.join(cut, (docs[id_col] == cut["_cut_id"]) & (was == cut["_cut_was"]), "left")
     text = F.when(F.col("_cut_id").isNotNull(), F.col("_cut_text")).otherwise(F.col(text_col))
     out = {text_col: text}
     if "n_chars" in docs.columns:

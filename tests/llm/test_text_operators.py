@@ -98,6 +98,17 @@ def test_repeats_with_equal_ids_and_many_packs(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_removed"]) for r in span_dedup_digests(docs).collect()) == [(1, 0), (1, 0), (2, 40)]
 
 
+def test_span_dedup_keeps_rows_of_equal_ids_apart(spark):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    span = words("s", 25)
+    first, second = f"{span} {words('a', 30)}", f"{words('b', 30)} {span}"
+    rows = [(1, span), (2, first), (2, first), (2, second), (2, None), (2, "short"), (None, first)]
+    table = spark.createDataFrame([(i, t, None if t is None else len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    want = [(1, span), (2, words("a", 30)), (2, words("a", 30)), (2, words("b", 30)), (2, None), (2, "short"), (None, first)]
+    got = [tuple(r) for r in span_dedup(table).collect()]
+    assert sorted(got, key=str) == sorted([(i, t, None if t is None else len(t)) for i, t in want], key=str)
+
+
 def test_a_stretch_twice_in_one_document_and_under_a_shared_key(spark):
     """Both places of a repeated string go, also where its key has other stretches."""
     rng = random.Random(8)
