@@ -203,6 +203,12 @@ def _blocks(share: Fraction):
     return each
 
 
+def _bins(sized: DataFrame) -> int:
+    """Bins of about BLOCK_BYTES, from blocks and tokens of the groups: each block of a group holds its sets once more."""
+    total = sized.agg(F.sum(F.col("tokens").cast("double") * F.col("blocks"))).first()[0] or 0
+    return max(8, int(total * 8 / BLOCK_BYTES) + 1)
+
+
 def ngram_join(docs: DataFrame, words: int = 5, share: Fraction = Fraction(75, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (different linked sets) of every document.
 
@@ -227,14 +233,13 @@ def ngram_join(docs: DataFrame, words: int = 5, share: Fraction = Fraction(75, 1
 
     grouped = written(held.select("node", "n_shingles", "shared", "n_shared").join(groups, "node"), "grouped")
     sized = grouped.groupBy("root").agg(F.count("*").alias("sets"), F.sum("n_shared").alias("tokens"))
-    sized = sized.select("root", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("tokens") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-    placed = grouped.join(sized, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    sized = sized.select("root", "tokens", F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("tokens") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    bins = _bins(sized)
+    placed = grouped.join(sized.select("root", "blocks"), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a set meets each block of its group; a block meets itself in (i, i)
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     placed = placed.select("root", "block", "node", "n_shingles", "shared", other)
     placed = placed.select(F.struct("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("unit"), "block", (F.col("block") != F.col("other")).alias("cross"), "node", "n_shingles", "shared")
-    total = grouped.agg(F.sum("n_shared")).first()[0] or 0
-    bins = max(8, int(total * 8 / BLOCK_BYTES) + 1)
     placed = placed.withColumn("task", F.xxhash64("unit")).withColumn("bin", F.pmod("task", F.lit(bins)))
     found = written(placed.groupBy("bin").applyInArrow(_blocks(share), "a long, b long, links long"), "links")
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from airloom.llm.bpe import bpe_decode, bpe_digests, bpe_encode, read_ranks, token_spans, vocabulary
 from airloom.llm.components import components
 from airloom.llm.fingerprint import fingerprints, phrase_ends, with_next
-from airloom.llm.ngram_join import ngram_join, overlaps, representatives
+from airloom.llm.ngram_join import BLOCK_BYTES, _bins, ngram_join, overlaps, representatives
 from airloom.llm.span_dedup import span_dedup, span_dedup_digests
 from airloom.llm.suffix_dedup import suffix_dedup, suffix_dedup_digests
 
@@ -153,6 +153,13 @@ def test_ngram_join_over_several_blocks(docs, rows, monkeypatch):
     assert got == brute_join(rows)
 
 
+def test_bins_hold_the_copies_of_a_group_of_many_blocks(spark):
+    sized = spark.createDataFrame([(1, 400_000_000, 293), (2, 1000, 1)], "root long, tokens long, blocks int")
+    bins = _bins(sized)
+    assert (400_000_000 * 293 + 1000) * 8 / bins <= BLOCK_BYTES
+    assert _bins(sized.where("false")) == 8
+
+
 def test_overlaps_of_rare_and_common_tokens():
     import numpy as np
 
