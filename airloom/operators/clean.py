@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,7 +9,9 @@ from pyspark.sql import functions as F
 
 from airloom.functions.numeric import rounded
 from airloom.model import MEASURES, POLLUTANTS
-from airloom.operators.series import BLOCK, known_neighbours, numbered
+from airloom.operators.ranges import ROWS, neighbours
+from airloom.operators.series import known_neighbours, numbered
+from airloom.sources.scratch import written
 
 # Sensor name in the landed feed -> column.
 SENSORS = {"co": "co", "no2": "no2", "o3": "o3", "pm10": "pm10", "pm25": "pm25", "aqi": "aqi_daily"}
@@ -82,25 +83,20 @@ def interpolate(df: DataFrame, keys: Sequence[str], columns: Sequence[str] = MEA
     return near.select(*[_between(c).alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
-def _block_prefix(names: DataFrame, name: str, more: int) -> int:
-    """The length of what all names begin with, and `more`: the least and the largest name tell."""
-    ends = names.agg(F.min(name).alias("a"), F.max(name).alias("b")).first()
-    return len(os.path.commonprefix([ends["a"] or "", ends["b"] or ""])) + more
-
-
-def backfill_across(df: DataFrame, name: str, columns: Sequence[str] = MEASURES, prefix: int = 2) -> DataFrame:
+def backfill_across(df: DataFrame, name: str, columns: Sequence[str] = MEASURES, rows: int = ROWS) -> DataFrame:
     """Series that are null throughout take the first value of the next series in
     name order, or the last value of the previous one.
 
-    Works on one row per series, cut into ordered blocks by the first `prefix` letters
-    after those that all names share, and touches only the series that need it."""
+    Works on one row per series, dealt to sampled ranges of the name whatever the names
+    share, and touches only the series that need it."""
     edges = df.groupBy(name).agg(
         *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("date"))).alias(f"{c}_head") for c in columns],
         *[F.max_by(c, F.when(F.col(c).isNotNull(), F.col("date"))).alias(f"{c}_tail") for c in columns],
     )
-    blocks = edges.withColumn(BLOCK, F.substring(name, 1, _block_prefix(df, name, prefix)))
-    near = known_neighbours(blocks, [], [f"{c}_tail" for c in columns], [f"{c}_head" for c in columns], pos=name)
-    given = [F.coalesce(f"{c}_head_after.value", f"{c}_tail_before.value").alias(f"_{c}") for c in columns]
+    near = neighbours(
+        written(edges, "series-edges"), [name], {f"{c}_tail": f"{c}_before" for c in columns}, {f"{c}_head": f"{c}_after" for c in columns}, rows
+    )
+    given = [F.coalesce(f"{c}_after", f"{c}_before").alias(f"_{c}") for c in columns]
     empty = " or ".join(f"{c}_head is null" for c in columns)
     fills = near.filter(empty).select(name, *given)
     joined = df.join(fills, name, "left")

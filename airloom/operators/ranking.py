@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from airloom.operators.ranges import ROWS, numbered
+from airloom.sources.scratch import written
 
-def ranked(df: DataFrame, value: str, tie: str, out: str = "rank", descending: bool = False) -> DataFrame:
-    """Distinct 1-based ranks by `value`, ties in order of `tie`.
-
-    Rows are counted per value first; only the counts meet in one window, and
-    rows are numbered among equals."""
-    order: Column = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
-    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
-    starts = counts.select(
-        F.col(value).alias("_value"),
-        (F.sum("_n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_start"),
-    )
-    among = F.row_number().over(Window.partitionBy(value).orderBy(tie))
-    placed = df.withColumn("_rn", among)
-    joined = placed.join(starts, placed[value].eqNullSafe(starts["_value"]))
-    return joined.withColumn(out, F.col("_start") + F.col("_rn")).drop("_rn", "_start", "_value")
+
+def ranked(df: DataFrame, value: str, tie: str, out: str = "rank", descending: bool = False, rows: int = ROWS) -> DataFrame:
+    """Distinct 1-based ranks by `value`, ties in order of `tie`, null values last.
+
+    Rows are dealt to sampled ranges of (value, tie) and numbered there; the ranges before
+    give the offset."""
+    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+    return numbered(written(df, "unranked"), [], [order, F.col(tie)], out, rows)
 
 
 def first_names(df: DataFrame, column: str, n: int) -> DataFrame:

@@ -119,7 +119,7 @@ def test_backfill_takes_next_then_previous_city(spark):
     df = spark.createDataFrame([(n, i, v) for i in (1, 2) for n, v in rows], "city string, k int, v double").selectExpr(
         "city", "date_add(date'2020-01-01', k) as date", "v + k as v"
     )
-    got = {(r.city, r.date.day): r.v for r in backfill_across(df, "city", ["v"], prefix=1).collect()}
+    got = {(r.city, r.date.day): r.v for r in backfill_across(df, "city", ["v"], rows=2).collect()}
     # next city's first value, else the previous city's last value
     assert {n: got[n, 2] for n in "acdf"} == {"a": 2.0, "c": 6.0, "d": 6.0, "f": 7.0}
 
