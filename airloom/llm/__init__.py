@@ -13,6 +13,7 @@ from airloom.llm.chat import op10_chat_formats
 from airloom.llm.decontaminate import op6_benchmark_hits
 from airloom.llm.fingerprint import op5_fingerprints
 from airloom.llm.html_text import op7_html_text
+from airloom.llm.mixing import op11_source_mix
 from airloom.llm.ngram_join import op3_ngram_join
 from airloom.llm.quality import op4_quality
 from airloom.llm.span_dedup import op9_span_dedup
@@ -31,6 +32,7 @@ _QUERIES = (
     op8_suffix_dedup,
     op9_span_dedup,
     op10_chat_formats,
+    op11_source_mix,
 )
 
 

@@ -68,7 +68,51 @@ select conv_id, count(*) as n_turns,
   cast(sum({len(TURN) + len(SAYS) + len(DONE)} + length({_escaped('role')}) + length({_escaped('text')})) as bigint) as formatted_chars
 from t group by 1"""
 
+_MIX_CLASSES = range(16, -1, -1)
+
+
+def _mix_class(c: int) -> str:
+    """One class of sizes: the step of each source, the copies of its documents, and what they took."""
+    last = f"a{c + 1}" if c + 1 in _MIX_CLASSES else "a"
+    return f"""
+p{c} as (
+  select {last}.*, q.n as n, case when q.below > 0 then floor(least(greatest((target - cast(taken as double)) / cast(q.below as double), 0), 2) * 4294967296.0) else 0 end as step
+  from {last} left join q on q.key = {last}.key and q.class = {c}),
+k{c} as (
+  select d.doc_id, d.size, source_size, target, d.key,
+    cast((upto + i * cast(step as hugeint)) // 4294967296 - (upto + (i - 1) * cast(step as hugeint)) // 4294967296 as bigint) as copies
+  from d join p{c} on d.key = p{c}.key where d.class = {c}),
+a{c} as (
+  select p{c}.key, source_size, target, taken + coalesce(w, 0) as taken, upto + coalesce(n, 0) * cast(step as hugeint) as upto
+  from p{c} left join (select key, sum(size * copies) as w from k{c} group by key) x on x.key = p{c}.key)"""
+
+
+SOURCE_MIX = f"""
+with w as (
+  select doc_id, coalesce('=' || source, 'null') as key, source, cast(len({_WORDS.format(text="coalesce(text, '')")}) as bigint) as size from documents),
+v as (select *, case when size > 0 then (length(bin(size)) + 1) // 2 else 0 end as class from w),
+d as (
+  select *, row_number() over (partition by key, class
+    order by size, cast('0x' || substr(sha256('11:' || coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint), doc_id) as i from v),
+q as (
+  select key, class, count(*) as n, cast(sum(sum(size)) over (partition by key order by class) as bigint) as below from d group by key, class),
+s as (
+  select key, source, cast(sum(size) as bigint) as n, [3, 1, 2][cast((row_number() over (order by source nulls last) - 1) % 3 as integer) + 1] as w
+  from d group by key, source),
+o as (
+  select *, sum(n) over () as every, coalesce(sum(n) over (order by n / w, key rows between unbounded preceding and 1 preceding), 0) as smaller,
+    sum(w) over (order by n / w, key rows between current row and unbounded following) as shares from s),
+c as (select *, w * (3 * every - 4 * smaller) >= 4 * n * shares as capped from o),
+t as (
+  select key, n as source_size, case when capped then cast(2 * n as double)
+    else cast(w * (3 * every - 4 * coalesce(sum(n) filter (capped) over (), 0)) as double) / cast(2 * sum(w) filter (not capped) over () as double) end as target from c),
+a as (
+  select key, source_size, target, cast(0 as hugeint) as taken, cast(cast('0x' || substr(sha256('11:' || key), 1, 8) as bigint) as hugeint) as upto from t),
+{",".join(_mix_class(c) for c in _MIX_CLASSES)}
+{" union all ".join(f"select doc_id, size, source_size, target, size * copies as taken, copies from k{c}" for c in _MIX_CLASSES)}"""
+
 SQL = {
+    "op11_source_mix": SOURCE_MIX,
     "op3_ngram_join": NGRAM_JOIN,
     "op8_suffix_dedup": SUFFIX_DEDUP,
     "op9_span_dedup": SPAN_DEDUP,
