@@ -15,6 +15,7 @@ from airloom.llm.fingerprint import op5_fingerprints
 from airloom.llm.html_text import op7_html_text
 from airloom.llm.mixing import op11_source_mix
 from airloom.llm.ngram_join import op3_ngram_join
+from airloom.llm.prefix_trie import op12_prefix_trie
 from airloom.llm.quality import op4_quality
 from airloom.llm.span_dedup import op9_span_dedup
 from airloom.llm.suffix_dedup import op8_suffix_dedup
@@ -33,6 +34,7 @@ _QUERIES = (
     op9_span_dedup,
     op10_chat_formats,
     op11_source_mix,
+    op12_prefix_trie,
 )
 
 

@@ -111,8 +111,37 @@ a as (
 {",".join(_mix_class(c) for c in _MIX_CLASSES)}
 {" union all ".join(f"select doc_id, size, source_size, target, size * copies as taken, copies from k{c}" for c in _MIX_CLASSES)}"""
 
+# CRC-32 of a text of ASCII letters, bit by bit
+_CRC = """xor(4294967295, list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(1, length({text}) + 1), lambda i: cast(ascii({text}[i]) as bigint))),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+PREFIX_TRIE = f"""
+with t as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id
+    order by turn nulls first, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as p
+  from conversations where conv_id is not null),
+c as (select conv_id, conv_id - conv_id % 100 as base, count(*) as n, {_CRC.format(text="cast(conv_id as varchar)")} % 6 as h from t group by 1, 2),
+d as (select c.conv_id, c.base, c.h, least(c.h, coalesce(b.n, 0)) as lent from c left join c b on b.conv_id = c.base),
+r as (
+  select d.conv_id, p, role, text from d join t on t.conv_id = d.base where p <= h
+  union all select d.conv_id, lent + p - h, role, text from d join t on t.conv_id = d.conv_id where p > h),
+l as (select d.conv_id, coalesce(list({{'role': role, 'text': text}} order by p) filter (p is not null), []) as ts from d left join r on r.conv_id = d.conv_id group by 1),
+x as (select conv_id, ts, unnest(range(0, len(ts) + 1)) as depth from l),
+n as (
+  select depth, ts[1:depth] as path, min(conv_id) as conv_id, count(*) as n_convs, case when depth = 0 then 0 else length(any_value(ts[depth].text)) end as chars,
+    string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (len(ts) = depth) as ends
+  from x group by depth, ts[1:depth]),
+k as (select depth - 1 as depth, path[1:depth - 1] as path, count(*) as n_children from n where depth > 0 group by 1, 2),
+w as (select n.*, coalesce(n_children, 0) as kids from n left join k on k.depth = n.depth and k.path = n.path),
+u as (select unnest(range(0, depth + 1)) as top, path, kids, (n_convs - 1) * chars as saved from w),
+s as (select top as depth, path[1:top] as path, sum(cast(kids = 0 as integer)) as n_leaves, sum(saved) as saved_tokens from u group by 1, 2)
+select w.conv_id, w.depth, o.conv_id as parent_conv_id, w.n_convs, w.kids as n_children, cast(s.n_leaves as bigint) as n_leaves,
+  cast(s.saved_tokens as bigint) as saved_tokens, sha256(coalesce(w.ends, '')) as ends_sha256
+from w join s on s.depth = w.depth and s.path = w.path left join n o on o.depth = w.depth - 1 and o.path = w.path[1:w.depth - 1]"""
+
 SQL = {
     "op11_source_mix": SOURCE_MIX,
+    "op12_prefix_trie": PREFIX_TRIE,
     "op3_ngram_join": NGRAM_JOIN,
     "op8_suffix_dedup": SUFFIX_DEDUP,
     "op9_span_dedup": SPAN_DEDUP,
