@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from airloom.llm.bpe import op1_byte_bpe
 from airloom.llm.chat import op10_chat_formats
 from airloom.llm.decontaminate import op6_benchmark_hits
+from airloom.llm.divergence import op13_source_divergence
 from airloom.llm.fingerprint import op5_fingerprints
 from airloom.llm.html_text import op7_html_text
 from airloom.llm.mixing import op11_source_mix
@@ -35,6 +36,7 @@ _QUERIES = (
     op10_chat_formats,
     op11_source_mix,
     op12_prefix_trie,
+    op13_source_divergence,
 )
 
 

@@ -139,9 +139,40 @@ select w.conv_id, w.depth, o.conv_id as parent_conv_id, w.n_convs, w.kids as n_c
   cast(s.saved_tokens as bigint) as saved_tokens, sha256(coalesce(w.ends, '')) as ends_sha256
 from w join s on s.depth = w.depth and s.path = w.path left join n o on o.depth = w.depth - 1 and o.path = w.path[1:w.depth - 1]"""
 
+def _gap(p: str, q: str) -> str:
+    return f"cast((cast({p} - {q} as hugeint) * ({p} - {q})) // ({p} + {q}) as bigint)"
+
+
+SOURCE_DIVERGENCE = rf"""
+with d as (
+  select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as ts
+  from documents),
+w as (select row, lang, source, unnest(ts) as term from d),
+k as (select lang, term, count(*) as n from w group by 1, 2 having count(distinct row) >= 10),
+v as (select lang, count(*) as terms, sum(n) as total from k group by 1),
+g as (select distinct lang, source from d),
+c as (select w.lang, w.source, w.term, count(*) as n from w join k on k.lang = w.lang and k.term = w.term group by 1, 2, 3),
+t as (select lang, source, sum(n) as total from c group by 1, 2),
+a as (
+  select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + cast(1000000000 * (cast(coalesce(c.n, 0) as hugeint) + 2) // (coalesce(t.total, 0) + 2 * v.terms) as bigint) as p,
+    1 + cast(1000000000 * (cast(k.n as hugeint) + 2) // (v.total + 2 * v.terms) as bigint) as q
+  from g join k on k.lang = g.lang join v on v.lang = g.lang left join t on t.lang = g.lang and t.source = g.source
+    left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+p as (
+  select x.lang, x.source, y.source as item, sum({_gap('x.p', 'y.p')}) as value
+  from a x join a y on y.lang = x.lang and y.term = x.term and y.source <> x.source group by 1, 2, 3),
+r as (
+  select x.lang, x.source, 'pair' as part, y.source as item, cast(coalesce(p.value, 0) as bigint) as value
+  from g x join g y on y.lang = x.lang and y.source <> x.source left join p on p.lang = x.lang and p.source = x.source and p.item = y.source
+  union all select lang, source, 'term', term, {_gap('p', 'q')} from a where n > 0 and p > q)
+select lang, source, part, item, value, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank
+from r qualify part = 'pair' or rank <= 10"""
+
 SQL = {
     "op11_source_mix": SOURCE_MIX,
     "op12_prefix_trie": PREFIX_TRIE,
+    "op13_source_divergence": SOURCE_DIVERGENCE,
     "op3_ngram_join": NGRAM_JOIN,
     "op8_suffix_dedup": SUFFIX_DEDUP,
     "op9_span_dedup": SPAN_DEDUP,
