@@ -35,6 +35,9 @@ _WORD = r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"
 #: Binary places of an expected number of copies.
 PLACES = 32
 SEED = 11
+#: Rows of a plan (a row for a source, or for a source and class) that are still broadcast: some
+#: 20 MB.  Beyond, Spark shuffles both sides and splits the documents of a hot source by itself.
+FEW = 200_000
 WEIGHTS, BUDGET, MOST = (3, 1, 2), (3, 2), 2
 
 
@@ -98,6 +101,7 @@ def copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: tuple[int,
     below = Window.partitionBy("_key").orderBy("_class")
     classes = written(classes.withColumn("_below", F.sum("_words").over(below)), "mix-classes")
     known = targets(rows, weights, budget, most).withColumn("_key", F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("source"))))
+    sources = known.count()
     state = known.select("_key", "source_size", "target", F.lit(0).cast("long").alias("_taken"), _bits(seed, F.col("_key"), PLACES // 4).cast("decimal(38,0)").alias("_upto"))
     plans = []
     # at most 32 classes: sizes are 64-bit numbers
@@ -105,7 +109,7 @@ def copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: tuple[int,
         left = F.col("target") - F.col("_taken").cast("double")
         rate = F.least(F.greatest(F.coalesce(F.try_divide(left, F.col("_below").cast("double")), F.lit(0.0)), F.lit(0.0)), F.lit(float(most)))
         plan = state.join(classes.filter(F.col("_class") == number), "_key", "left").withColumn("_step", F.floor(rate * float(1 << PLACES)).cast("long"))
-        took = _copied(placed.filter(F.col("_class") == number), plan.select("_key", "_upto", "_step")).groupBy("_key").agg(F.sum(F.col("size") * F.col("copies")).alias("_took"))
+        took = _copied(placed.filter(F.col("_class") == number), plan.select("_key", "_upto", "_step"), ["_key"], sources).groupBy("_key").agg(F.sum(F.col("size") * F.col("copies")).alias("_took"))
         plan = written(plan.join(took, "_key", "left"), "mix-plan")
         plans.append(plan.filter("_class is not null").select("_key", "_class", "source_size", "target", "_upto", "_step"))
         state = plan.select(
@@ -115,15 +119,13 @@ def copies(docs: DataFrame, weights: Sequence[int] = WEIGHTS, budget: tuple[int,
     if not plans:
         return rows.select("doc_id", "row", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("copies"))
     every = reduce(DataFrame.unionByName, plans)
-    return _copied(placed, every, ["_key", "_class"]).select("doc_id", "row", "size", "source_size", "target", "copies")
+    return _copied(placed, every, ["_key", "_class"], sources * len(plans)).select("doc_id", "row", "size", "source_size", "target", "copies")
 
 
-def _copied(placed: DataFrame, plan: DataFrame, on: Sequence[str] = ("_key",)) -> DataFrame:
-    """The integers that each document's share of the running sum crosses.
-
-    A plan has one row for a source and class, so Spark broadcasts it while its own limit allows it."""
+def _copied(placed: DataFrame, plan: DataFrame, on: Sequence[str], rows: int) -> DataFrame:
+    """The integers that each document's share of the running sum crosses, by a plan of at most `rows` rows."""
     upto = F.col("_upto") + F.col("_place") * F.col("_step").cast("decimal(18,0)")
-    joined = placed.join(plan, list(on)).withColumn("_to", upto.cast("decimal(38,0)"))
+    joined = placed.join(F.broadcast(plan) if rows <= FEW else plan, list(on)).withColumn("_to", upto.cast("decimal(38,0)"))
     crossed = lambda at: f"(({at}) div cast({1 << PLACES} as decimal(10,0)))"
     return joined.withColumn("copies", F.expr(f"{crossed('_to')} - {crossed('_to - _step')}"))
 
