@@ -13,8 +13,7 @@ follow by complement:
 All numbers are integers.  Frequent terms have counts of their own and so words of few bits; the
 long tail of the others has few counts, and there one AND serves up to 64 terms.
 
-Counts are added up in the task that reads the texts, one text in pieces of `PIECE` terms, and
-leave it whenever it holds `HELD` of them.  The number of a term is its place in sampled ranges
+Counts are added up in the task that reads the texts, by pieces of `PIECE` bytes.  The number of a term is its place in sampled ranges
 (`operators.ranges`), so no language is numbered in one task; the pairs of a word are
 spread by word, those of a language over `PARTS` parts.  The result itself has a row for each
 pair of sources of a language.
@@ -26,10 +25,7 @@ columns are ignored."""
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from itertools import islice
-
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -39,10 +35,15 @@ from airloom.shipping import ship_package
 from airloom.sources.scratch import written
 
 #: In UTF-8 every byte of a character beyond ASCII is one of 80..FF, so bytes are cut like characters.
-TERM = rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_INSIDE = np.zeros(256, bool)
+for _low, _high in ((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)):
+    _INSIDE[_low : _high + 1] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
 LEAST_DOCS, SCALE, TOP = 10, 1_000_000_000, 10
 WORD, PARTS = 64, 64
-PIECE, HELD = 100_000, 200_000
+#: Bytes of texts that are counted together.
+PIECE = 24 << 20
 CELLS = "lang string, source string, term string, n bigint, docs bigint"
 
 
@@ -51,34 +52,78 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(whole("lang").alias("lang"), whole("source").alias("source"), whole("text").cast("binary").alias("text"))
 
 
-def _partial_counts(batches):
-    """Counts of terms and of the documents that have them, for the texts of one task."""
-    find = re.compile(TERM).finditer
-    held: dict[tuple[str, str, bytes], list[int]] = {}
-
-    def out():
-        langs, sources, terms = zip(*held)
-        n, docs = zip(*held.values())
-        held.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(langs, pa.string()), pa.array(sources, pa.string()), pa.array(terms, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())],
-            ["lang", "source", "term", "n", "docs"],
-        )
+def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """The document of each term in `data`, whose documents begin at `offsets`, and the terms."""
+    inside = _INSIDE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    cuts = offsets[:-1][offsets[:-1] < data.size]
+    begins[cuts] = inside[cuts]
+    starts = np.flatnonzero(begins)
+    places = np.cumsum(inside, dtype=np.int32)[starts] - 1
+    letters = _LOWER[data[inside]]
+    bounds = np.append(places, letters.size).astype(np.int32)
+    terms = pa.Array.from_buffers(pa.binary(), starts.size, [None, pa.py_buffer(bounds), pa.py_buffer(letters)])
+    return np.searchsorted(offsets, starts, "right") - 1, terms.dictionary_encode()
+
+
+def _sums(keys: np.ndarray, values: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different keys, the sum of their values (of ones) and the number of rows."""
+    order = np.argsort(keys, kind="stable")
+    sorted_ = keys[order]
+    first = np.flatnonzero(np.append(True, sorted_[1:] != sorted_[:-1])) if keys.size else np.zeros(0, np.int64)
+    rows = np.diff(np.append(first, keys.size))
+    return sorted_[first], rows if values is None or not keys.size else np.add.reduceat(values[order], first), rows
+
+
+def _rows(groups: list[tuple[str, str]], group, terms, n, docs) -> pa.RecordBatch:
+    named = [pa.array([g[i] for g in groups], pa.string()).take(pa.array(group)) for i in (0, 1)]
+    return pa.RecordBatch.from_arrays([*named, terms.cast(pa.string()), pa.array(n, pa.int64()), pa.array(docs, pa.int64())], ["lang", "source", "term", "n", "docs"])
+
+
+def _long_text(group: tuple[str, str], data: np.ndarray):
+    """The counts of one text that is longer than a piece, cut between terms; its terms are one document's."""
+    seen, at = set(), 0
+    while at < data.size:
+        end = min(at + PIECE, data.size)
+        while end < data.size and _INSIDE[data[end]]:
+            end += 1
+        terms = _words(data[at:end], np.array([0, end - at]))[1]
+        codes, n, _ = _sums(terms.indices.to_numpy())
+        if codes.size:
+            found = terms.dictionary.take(pa.array(codes))
+            seen.update(found.to_pylist())
+            yield _rows([group], np.zeros(codes.size, np.int64), found, n, np.zeros(codes.size, np.int64))
+        at = end
+    if seen:
+        ones = np.ones(len(seen), np.int64)
+        yield _rows([group], ones - 1, pa.array(seen, pa.binary()), ones - 1, ones)
 
+
+def _partial_counts(batches):
+    """Counts of terms and of the documents that have them, by pieces of the texts of a task."""
     for batch in batches:
-        for i in range(batch.num_rows):
-            lang, source, text = (batch.column(c)[i].as_py() for c in range(3))
-            seen, matches = Counter(), find(text.lower())  # of bytes, lower() changes A-Z only
-            while piece := [m[0] for m in islice(matches, PIECE)]:
-                seen.update(piece)
-            for term, n in seen.items():
-                now = held.setdefault((lang, source, term), [0, 0])
-                now[0] += n
-                now[1] += 1
-            if len(held) >= HELD:
-                yield out()
-    if held:
-        yield out()
+        text = batch.column(2)
+        offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+        data = np.frombuffer(text.buffers()[2] or b"", np.uint8)
+        names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        first = 0
+        while first < len(names):
+            last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + PIECE, "right")) - 1)
+            piece = data[offsets[first] : offsets[last]]
+            if last == first + 1 and piece.size > PIECE:
+                yield from _long_text(names[first], piece)
+            elif piece.size:
+                groups = sorted(set(names[first:last]))
+                number = {g: i for i, g in enumerate(groups)}
+                doc, terms = _words(piece, offsets[first : last + 1] - offsets[first])
+                width = max(len(terms.dictionary), 1)
+                pairs, n, _ = _sums(doc * width + terms.indices.to_numpy())
+                group = np.array([number[g] for g in names[first:last]])[pairs // width]
+                cells, total, docs = _sums(group * width + pairs % width, n)
+                if cells.size:
+                    yield _rows(groups, cells // width, terms.dictionary.take(pa.array(cells % width)), total, docs)
+            first = last
 
 
 def cells(docs: DataFrame) -> DataFrame:
