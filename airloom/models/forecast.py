@@ -1,8 +1,7 @@
 """Additive Holt-Winters forecast per city.
 
-The recursion walks a series day by day, so a series is fitted in one task; with
-one row per day it is bounded by the calendar.  Cities are fitted in parallel.
-A grid of smoothing parameters is walked in one pass with array operations."""
+The fit is `models.smoothing`: series cut into blocks, a refined grid of parameters walked in all
+blocks side by side.  What a city hands on to the forecast is its last state."""
 
 from __future__ import annotations
 
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from airloom.functions.numeric import rounded
+from airloom.models.smoothing import BLOCK_ROWS, prepared, searched, start_state, walk
 from airloom.plans.features import filled, named
 from airloom.sources.tables import Dataset, kept
 
@@ -20,30 +20,15 @@ FITTED = "Holt-Winters"
 TOO_SHORT = "Insufficient data (<60 days)"
 
 
-def _walk(y: np.ndarray, season: int, a: np.ndarray, b: np.ndarray, g: np.ndarray):
-    """Smooth `y` for every parameter triple; squared error and final state."""
-    if season:
-        level = np.full(a.shape, y[:season].mean())
-        trend = np.full(a.shape, (y[season : 2 * season].mean() - y[:season].mean()) / season)
-        cycle = np.repeat((y[:season] - y[:season].mean())[:, None], a.size, axis=1)
-    else:
-        level, trend = np.full(a.shape, y[0]), np.full(a.shape, y[1] - y[0])
-        cycle = np.zeros((1, a.size))
-    sse = np.zeros(a.shape)
-    for t, value in enumerate(y):
-        slot = t % season if season else 0
-        expected = level + trend
-        error = value - expected - cycle[slot]
-        sse += error * error
-        level = expected + a * error
-        trend = trend + a * b * error
-        if season:
-            cycle[slot] += g * (1 - a) * error
-    return sse, level, trend, cycle
+def ahead(state: np.ndarray, days: int, season: int, steps: int) -> np.ndarray:
+    """`steps` values after `days` days, from the state there."""
+    at = np.arange(1, steps + 1)
+    out = state[0] + state[1] * at
+    return out + np.asarray(state[2:])[(days + at - 1) % season] if season else out
 
 
 def holt_winters(y: np.ndarray, steps: int, season: int = 365) -> np.ndarray:
-    """Forecast `steps` values; the grid is refined twice around its best cell."""
+    """The forecast of one series in memory, by the same grid: a plain loop to compare with."""
     if len(y) < 2 * season:
         season = min(30, len(y) // 2)
     season = season if season >= 2 else 0
@@ -51,12 +36,10 @@ def holt_winters(y: np.ndarray, steps: int, season: int = 365) -> np.ndarray:
     for _ in range(3):
         axes = [np.unique(np.clip(np.linspace(c - width, c + width, 5), 0.0, 1.0)) for c in centre]
         a, b, g = (m.ravel() for m in np.meshgrid(*axes, indexing="ij"))
-        sse, level, trend, cycle = _walk(y, season, a, b, g)
+        sse, state = walk(y, 0, season, start_state(y, season, a.size), a, b, g)
         best = int(np.nanargmin(np.where(np.isfinite(sse), sse, np.inf)))
         centre, width = np.array([a[best], b[best], g[best]]), width / 3
-    ahead = np.arange(1, steps + 1)
-    out = level[best] + trend[best] * ahead
-    return out + cycle[(len(y) + ahead - 1) % season, best] if season else out
+    return ahead(state[best], len(y), season, steps)
 
 
 REPEATED = "Last season repeated"
@@ -66,35 +49,38 @@ def repeat_last(y: np.ndarray, steps: int) -> np.ndarray:
     return y[-steps:] if len(y) >= steps else np.full(steps, y.mean())
 
 
-SCHEMA = "city_id int, date date, forecast double, model string"
+SCHEMA = "city_id int, date date, forecast double, model string, season int"
 
 
-def forecasts(ds: Dataset, metric: str = "aqi_daily", steps: int = 365, cap: float = 600.0, band: float = 0.15) -> DataFrame:
+def forecasts(
+    ds: Dataset, metric: str = "aqi_daily", steps: int = 365, cap: float = 600.0, band: float = 0.15, season: int | None = None, block: int = BLOCK_ROWS
+) -> DataFrame:
     """Daily forecast with its band; a short series gives one row with the reason.
 
-    Fitted once per state of the input and parameters."""
-    return kept(ds, "forecasts", (metric, steps, cap, band), lambda: _forecasts(ds, metric, steps, cap, band))
+    `season` is the number of days of a season, 0 for none; where a series does not have two of
+    them it is fitted without.  None takes a year, or up to 30 days for less than two years.  The
+    column `season` tells what a city was fitted with.  Fitted once per state of the input and
+    parameters."""
+    return kept(ds, "forecasts", (metric, steps, cap, band, season, block), lambda: _forecasts(ds, metric, steps, cap, band, season, block))
 
 
-def _forecasts(ds: Dataset, metric: str, steps: int, cap: float, band: float) -> DataFrame:
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        city, y = int(pdf["city_id"].iloc[0]), pdf["value"].to_numpy(dtype=float)
-        if len(y) < MIN_ROWS:
-            return pd.DataFrame({"city_id": [city], "date": [None], "forecast": [None], "model": [TOO_SHORT]})
-        try:
-            out = holt_winters(y, steps)
-            if not np.isfinite(out).all():
-                raise FloatingPointError("forecast diverged")
-            model = FITTED
-        except (ArithmeticError, ValueError):
-            out, model = repeat_last(y, steps), REPEATED
-        days = pd.date_range(pd.Timestamp(pdf["date"].iloc[-1]) + pd.Timedelta(days=1), periods=steps, freq="D")
-        return pd.DataFrame({"city_id": city, "date": days.date, "forecast": np.clip(out, 0, cap), "model": model})
-
+def _forecasts(ds: Dataset, metric: str, steps: int, cap: float, band: float, season: int | None, block: int) -> DataFrame:
     series = filled(ds).select("city_id", "date", F.col(metric).alias("value"))
-    out = series.groupBy("city_id").applyInPandas(fit, SCHEMA)
+    blocks, cities = prepared(series, season, block, MIN_ROWS, steps)
+    fitted = searched(blocks, cities).join(cities, "city_id").select("city_id", "state", "days", "season", "tail", "last_day")
+
+    def follow(frames):
+        for frame in frames:
+            for row in frame.itertuples():
+                out, model = ahead(np.array(row.state, dtype=float), row.days, row.season, steps), FITTED
+                if not np.isfinite(out).all():
+                    out, model = repeat_last(np.array(row.tail, dtype=float), steps), REPEATED
+                days = pd.date_range(pd.Timestamp(row.last_day) + pd.Timedelta(days=1), periods=steps, freq="D")
+                yield pd.DataFrame({"city_id": row.city_id, "date": days.date, "forecast": np.clip(out, 0, cap), "model": model, "season": row.season})
+
+    short = series.groupBy("city_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < MIN_ROWS)
+    none = short.select("city_id", F.lit(None).cast("date").alias("date"), F.lit(None).cast("double").alias("forecast"), F.lit(TOO_SHORT).alias("model"), F.lit(None).cast("int").alias("season"))
+    out = fitted.mapInPandas(follow, SCHEMA).unionByName(none)
     return out.select(
         "*", (F.col("forecast") * (1 - band)).alias("lower"), (F.col("forecast") * (1 + band)).alias("upper")
     )

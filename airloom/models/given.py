@@ -4,34 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from airloom.functions.numeric import rounded
 from airloom.models import anomaly
 from airloom.models.cluster import _prepared
-from airloom.models.forecast import _walk
+from airloom.models.smoothing import BLOCK_ROWS, best_of, prepared
 from airloom.plans.features import PROFILE, filled, named
 from airloom.sources.tables import Dataset
 
 
-def smoothing(ds: Dataset, alpha: float, beta: float, gamma: float, season: int, metric: str = "aqi_daily") -> DataFrame:
+def smoothing(ds: Dataset, alpha: float, beta: float, gamma: float, season: int, metric: str = "aqi_daily", block: int = BLOCK_ROWS) -> DataFrame:
     """Level, trend, squared error and next value of additive smoothing with given parameters;
-    cities with fewer than two seasons have none."""
+    cities with fewer than two seasons have none.  `block` is the number of days of a block."""
+    return best_smoothing(ds, [(alpha, beta, gamma)], season, metric, block).select("city", "days", "level", "trend", "sse", "next")
 
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values("date")["value"].to_numpy(dtype=float)
-        if len(y) < max(2, 2 * season):
-            return pd.DataFrame({"city_id": [], "days": [], "level": [], "trend": [], "sse": [], "next": []})
-        sse, level, trend, cycle = (x[..., 0] for x in _walk(y, season, *(np.array([p]) for p in (alpha, beta, gamma))))
-        ahead = level + trend + (cycle[len(y) % season] if season else 0.0)
-        return pd.DataFrame({"city_id": [int(pdf["city_id"].iloc[0])], "days": [len(y)], "level": [float(level)], "trend": [float(trend)], "sse": [float(sse)], "next": [float(ahead)]})
 
+def best_smoothing(ds: Dataset, parameters: Sequence[tuple[float, float, float]], season: int, metric: str = "aqi_daily", block: int = BLOCK_ROWS) -> DataFrame:
+    """The same for the triple (a, b, g) of a given list with the least squared error, of equals the first."""
     series = filled(ds).select("city_id", "date", F.col(metric).alias("value"))
-    out = series.groupBy("city_id").applyInPandas(walk, "city_id int, days bigint, level double, trend double, sse double, next double")
-    return named(out.select("city_id", "days", *[rounded(c, 4).alias(c) for c in ("level", "trend", "sse", "next")]), ds).orderBy("city")
+    blocks, cities = prepared(series, season, block, max(2, 2 * season))
+    triples = F.array(*[F.struct(*[F.lit(float(x)).alias(k) for k, x in zip("abg", p)]) for p in parameters])
+    best = best_of(blocks, cities, cities.select("city_id", triples.alias("triples"))).join(cities.select("city_id", "days", "season"), "city_id")
+    slot = F.when(F.col("season") > 0, F.get("state", 2 + (F.col("days") % F.greatest("season", F.lit(1))).cast("int"))).otherwise(0.0)
+    level, trend = F.col("state")[0], F.col("state")[1]
+    out = {"level": level, "trend": trend, "sse": F.col("sse"), "next": level + trend + slot}
+    return named(best.select("city_id", "days", "a", "b", "g", *[rounded(c, 4).alias(n) for n, c in out.items()]), ds).orderBy("city")
 
 
 def assignment(ds: Dataset, centre_ids: Sequence[int]) -> DataFrame:
@@ -69,12 +68,8 @@ def flag_report(ds: Dataset, metric: str = "pm25", contamination: float = 0.05)
 def first_flags(ds: Dataset, metric: str = "pm25", contamination: float = 0.05, first: int = 5) -> DataFrame:
     """The first flagged days of each city, gathered as a list of bounded length and shown as text."""
     hits = anomaly.flags(ds, _given_scores(ds, metric), contamination).filter("anomaly")
-    least = hits.select("city_id", "date")
-    # a list of `first` days: the least of the days left, taken one after the other
-    days, left = None, least
-    for k in range(first):
-        now = left.groupBy("city_id").agg(F.min("date").alias(f"d{k}"))
-        days = now if days is None else days.join(now, "city_id", "left")
-        left = left.join(now, "city_id").filter(F.col("date") > F.col(f"d{k}")).select("city_id", "date")
-    listed = F.filter(F.array(*[F.col(f"d{k}") for k in range(first)]), lambda d: d.isNotNull())
-    return named(days.select("city_id", F.array_join(F.transform(listed, lambda d: d.cast("string")), ",").alias("days")), ds).orderBy("city")
+    # ranks up to a bound are cut before the exchange, so a list never has more than `first` days a task
+    rank = F.row_number().over(Window.partitionBy("city_id").orderBy("date"))
+    least = hits.select("city_id", "date").withColumn("_rank", rank).filter(F.col("_rank") <= first)
+    listed = least.groupBy("city_id").agg(F.sort_array(F.collect_list("date")).alias("days"))
+    return named(listed.select("city_id", F.array_join(F.transform("days", lambda d: d.cast("string")), ",").alias("days")), ds).orderBy("city")

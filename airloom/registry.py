@@ -141,12 +141,15 @@ INGEST = {
     "i12_key_checks": (ingest.key_checks, {}),
 }
 
+SMOOTHING = [(0.3, 0.1, 0.2), (0.05, 0.02, 0.1), (0.8, 0.0, 0.0), (0.1, 0.0, 0.3)]
+
 MODELS = {
     "m1_forecast": (forecast.forecasts, {}),
     "m1_forecast_summary": (forecast.forecast_summary, {"metric": "pm25"}),
     "m1_forecast_monthly": (forecast.forecast_monthly, {}),
     "m1_forecast_calendar": (forecast.forecast_calendar, {}),
-    "m1_smoothing_given": (given.smoothing, {"alpha": 0.3, "beta": 0.1, "gamma": 0.2, "season": 7}),
+    "m1_smoothing_given": (given.smoothing, {"alpha": 0.3, "beta": 0.1, "gamma": 0.2, "season": 7, "block": 366}),
+    "m1_best_smoothing_given": (given.best_smoothing, {"parameters": SMOOTHING, "season": 7, "block": 366}),
     "m2_flag_report_given": (given.flag_report, {}),
     "m2_first_flags_given": (given.first_flags, {}),
     "m4_assignment_given": (given.assignment, {"centre_ids": [0, 7, 14]}),

@@ -88,6 +88,19 @@ r(city, pos, level, trend, sse, cycle) as (
 select city, r.pos as days, {rd('level', 4)} as level, {rd('trend', 4)} as trend, {rd('sse', 4)} as sse, {rd('level + trend + cycle[r.pos % 7 + 1]', 4)} as next
 from r join i using (city) where r.pos = i.n""", FILLED)[5:]
 
+Q["m1_best_smoothing_given"] = "with recursive " + sql(f"""
+with y as (select city, aqi_daily as v, row_number() over (partition by city order by date) - 1 as pos, count(*) over (partition by city) as n from z),
+p(k, a, b, g) as (values (1, 0.3::double, 0.1::double, 0.2::double), (2, 0.05, 0.02, 0.1), (3, 0.8, 0.0, 0.0), (4, 0.1, 0.0, 0.3)),
+i as (select city, max(n) as n, avg(v) filter (pos < 7) as m, avg(v) filter (pos between 7 and 13) as m2, list(v order by pos) filter (pos < 7) as f from y group by 1 having max(n) >= 14),
+r(city, k, a, b, g, pos, level, trend, sse, cycle) as (
+  select city, k, a, b, g, cast(0 as bigint), m, (m2 - m) / 7, 0.0::double, list_transform(f, lambda x: x - m) from i, p
+  union all
+  select r.city, k, a, b, g, r.pos + 1, level + trend + a * e, trend + a * b * e, sse + e * e,
+    list_concat(cycle[1:slot], [cycle[slot + 1] + g * (1 - a) * e], cycle[slot + 2:])
+  from (select r.*, r.pos % 7 as slot, y.v - (level + trend) - cycle[r.pos % 7 + 1] as e from r join y on y.city = r.city and y.pos = r.pos) r)
+select city, r.pos as days, a, b, g, {rd('level', 4)} as level, {rd('trend', 4)} as trend, {rd('sse', 4)} as sse, {rd('level + trend + cycle[r.pos % 7 + 1]', 4)} as next
+from r join i using (city) where r.pos = i.n qualify row_number() over (partition by city order by sse, k) = 1""", FILLED)[5:]
+
 # The words that the search leaves out, and its groups of synonyms.
 STOP = (
     "what", "is", "the", "which", "do", "how", "are", "in", "of", "for", "to", "and", "on", "a", "an", "why", "where",
