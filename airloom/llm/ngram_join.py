@@ -37,7 +37,9 @@ from airloom.sources.scratch import written
 BLOCK_SETS = 1024
 BLOCK_BYTES = 12 << 20
 #: Shingles of one fragment of the global order.
-FRAGMENT = 4096
+FRAGMENT = 1024
+#: Rows of a matrix of pairs that are compared at once.
+ROWS = 256
 _LOW32 = U64(0xFFFFFFFF)
 
 SETS = "doc_id long, n_shingles long, node long, key binary, prefix array<long>, shared binary, n_shared long"
@@ -159,24 +161,32 @@ def overlaps(tokens: list[np.ndarray]) -> np.ndarray:
         present = np.zeros((m, len(part)), np.float32)
         for j, c in enumerate(part.tolist()):
             present[of[starts[c] : starts[c] + sizes[c]], j] = 1
-        total += np.triu(present @ present.T, 1).astype(np.int32)
-    return total + total.T
+        for at in range(0, m, ROWS):  # only what lies right of the diagonal
+            total[at : at + ROWS, at:] += np.triu(present[at : at + ROWS] @ present[at:].T, 1).astype(np.int32)
+    for at in range(0, m, ROWS):
+        total[at:, at : at + ROWS] |= total[at : at + ROWS, at:].T
+    return total
 
 
 def linked(sizes: np.ndarray, tokens: list[np.ndarray], share: Fraction) -> np.ndarray:
     """The matrix of links."""
-    both = overlaps(tokens).astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - both
-    out = both * share.denominator >= union * share.numerator
+    both = overlaps(tokens)
+    out = np.empty(both.shape, bool)
+    for at in range(0, len(sizes), ROWS):
+        some = both[at : at + ROWS].astype(np.int64)
+        union = sizes[at : at + ROWS, None] + sizes[None, :] - some
+        out[at : at + ROWS] = some * share.denominator >= union * share.numerator
     np.fill_diagonal(out, False)
     return out
 
 
 def _roots(links: np.ndarray) -> np.ndarray:
     """The least index that each row reaches."""
-    root = np.arange(len(links))
+    n = len(links)
+    root, reach = np.arange(n), np.empty(n, np.int64)
     while True:
-        reach = np.where(links, root[None, :], len(links)).min(axis=1, initial=len(links))
+        for at in range(0, n, ROWS):
+            reach[at : at + ROWS] = np.where(links[at : at + ROWS], root[None, :], n).min(axis=1, initial=n)
         fresh = np.minimum(root, reach)
         fresh = fresh[fresh]
         if (fresh == root).all():
