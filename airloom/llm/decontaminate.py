@@ -228,9 +228,14 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THR
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no benchmark item; rows without an id stay."""
-    hits = benchmark_hits(docs, benchmark, id_col=id_col, text_col=text_col).select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hits, docs[id_col] == F.col("_hit"), "left_anti")
+    """The rows whose text holds no benchmark item; rows without an id stay.
+
+    Each row is judged by its own text, also where several share an id: a row is known by a
+    64-bit hash of its id and text."""
+    row = F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col).cast("string"), F.col(text_col).cast("string")))
+    keyed = docs.withColumn("_row", row)
+    hits = benchmark_hits(keyed, benchmark, id_col="_row", text_col=text_col).select(F.col("doc_id").alias("_hit")).distinct()
+    return keyed.join(hits, keyed["_row"] == F.col("_hit"), "left_anti").select(*docs.columns)
 
 
 def op6_benchmark_hits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,7 +172,9 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             blocks = np.concatenate([_unit(b * weights) for b in features(batch.column(0))]) if batch.num_rows else np.zeros((0, WIDTH), np.float32)
             yield pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b in blocks.astype(np.float16)], pa.binary()), batch.column(1)], ["x", "y"])
 
-    sample = chosen.select("text", "quality").mapInArrow(counted, "x binary, y int").limit(2 * sample_rows).toArrow()
+    sample = chosen.select("text", "quality").mapInArrow(counted, "x binary, y int").limit(2 * sample_rows + 1).toArrow()
+    if sample.num_rows > 2 * sample_rows:
+        raise ValueError("the sample of labelled texts has more rows than its bound allows: one id has many of them")
     if not sample.num_rows:
         return Voters(weights, np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
     x = np.stack([np.frombuffer(v, np.float16) for v in sample.column("x").to_pylist()]).astype(np.float32)

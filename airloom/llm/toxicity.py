@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ from airloom.sources.scratch import written
 SAMPLE_WORDS = 3_000_000
 #: The excess of a class that chance may explain, in standard deviations; the curve's rows choose.
 CHANCES = (0.5, 1.0, 2.0, 3.0, 4.0)
+#: Bytes of texts that are scored at once.
+PIECE = 2 << 20
 #: The discount of the models.
 DISCOUNT = 0.75
 #: Anything but ASCII letters and bytes of other scripts parts words here.
@@ -44,6 +47,9 @@ PARTS = np.ones(256, bool)
 PARTS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 #: First two bytes, from and to, of characters that are words of their own: Thai and Lao, Burmese, Khmer, kana and Han.
 SINGLE = ((0xE0B8, 0xE0BB), (0xE180, 0xE182), (0xE19E, 0xE19F), (0xE380, 0xE9FF), (0xEFA4, 0xEFAB), (0xEFBD, 0xEFBE), (0xF0A0, 0xF0BF))
+#: The same characters as code points, for the count of words in Spark.
+_SINGLE_CHARS = r"[\x{E00}-\x{EFF}\x{1000}-\x{10BF}\x{1780}-\x{17FF}\x{3000}-\x{9FFF}\x{F900}-\x{FAFF}\x{FF40}-\x{FFBF}\x{20000}-\x{2FFFF}]"
+_WORD_RUN = r"[A-Za-z\x{80}-\x{10FFFF}]++"
 _EDGE = U64(0)
 
 
@@ -171,6 +177,12 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def _word_count(text: F.Column) -> F.Column:
+    """Runs of letters, and characters that are words of their own."""
+    marks = F.regexp_replace(text, _WORD_RUN, "w")
+    return F.length(marks) - F.length(F.replace(marks, F.lit("w"), F.lit(""))) + F.length(text) - F.length(F.regexp_replace(text, _SINGLE_CHARS, ""))
+
+
 def held_out(id_col: str = "doc_id") -> F.Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0
 
@@ -205,15 +217,15 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = _texts(docs, id_col, text_col)
     marks = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     marks = marks.where(~held_out())
-    # ids and lengths only; the texts of the sample are read once it is chosen
-    sizes = texts.select("doc_id", F.length("text").alias("letters")).where("letters > 0")
-    rows = sizes.join(marks, "doc_id")
+    # ids and sizes only; the texts of the sample are read once it is chosen
+    sizes = texts.select("doc_id", F.length("text").alias("letters"), _word_count(F.col("text")).alias("words")).where("letters > 0")
+    rows = written(sizes.join(marks, "doc_id"), "labelled-sizes")
     # about as many words of each class, so that the rare words of neither weigh more
-    letters = {r["toxic"]: r["letters"] for r in rows.groupBy("toxic").agg(F.sum("letters").alias("letters")).collect()}
-    room = sample_words * 6 / 2
-    if len(letters) > 1:
-        room = min(room, *letters.values())
-    share = F.create_map(*[F.lit(x) for k, v in letters.items() for x in (k, min(1.0, room / v))]) if letters else F.create_map(F.lit(0), F.lit(1.0))
+    found = {r["toxic"]: r["words"] for r in rows.groupBy("toxic").agg(F.sum("words").alias("words")).collect()}
+    room = sample_words / 2
+    if len(found) > 1:
+        room = min(room, *found.values())
+    share = F.create_map(*[F.lit(x) for k, v in found.items() for x in (k, min(1.0, room / max(v, 1)))]) if found else F.create_map(F.lit(0), F.lit(1.0))
     pick = (F.pmod(F.xxhash64("doc_id", F.lit("pick")), F.lit(1 << 30)) / (1 << 30)) < share[F.col("toxic")]
     curve = F.pmod(F.xxhash64("doc_id", F.lit("curve")), F.lit(4)) == 0
     chosen = rows.where(pick).select("doc_id", "toxic").distinct()
@@ -248,6 +260,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([total], pa.int64())], ["at", "n"])
 
     shared = texts.select("text").mapInArrow(everywhere, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    known.destroy()
     at, n = shared.column("at").to_numpy(), shared.column("n").to_numpy()
     counts = np.zeros(len(made.words))
     counts[at[at >= 0]] = n[at >= 0]
@@ -265,6 +278,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     schema = ", ".join(f"g{i} double" for i in range(len(tried))) + ", toxic int"
     seen = sample.where(curve).select("text", "toxic").mapInArrow(gained, schema).toArrow()
+    sent.destroy()
     toxic = seen.column("toxic").to_numpy() == 1
     losses = []
     for i, model in enumerate(tried):
@@ -293,10 +307,24 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 
 def nontoxic(docs: DataFrame, labels: DataFrame, cut: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that score under the cut, with all their columns; rows without an id stay."""
-    scored = toxicity(docs, fitted(docs, labels, id_col, text_col), id_col, text_col)
-    bad = scored.where(F.col("score") >= cut).select(F.col("doc_id").alias("_bad")).where("_bad is not null").distinct()
-    return docs.join(bad, docs[id_col] == F.col("_bad"), "left_anti")
+    """The rows whose text scores under the cut, with all their columns; rows without an id stay.
+
+    Each row is judged by its own text, also where several share an id; nothing is joined."""
+    model = fitted(docs, labels, id_col, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        # a batch has a number of rows, not of bytes
+        ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False))
+        gains, at = [np.zeros(0)], 0
+        while at < len(text):
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PIECE, "right")))
+            gains.append(sent.value.gain(*_words(text.slice(at, end - at)))[0])
+            at = end
+        return pa.array(sent.value.score(np.concatenate(gains)))
+
+    return docs.where(F.col(id_col).isNull() | (score(F.col(text_col).cast("string")) < cut))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -284,3 +284,38 @@ def test_chat_digests_equal_brute_force(spark):
 def test_own_conversation_is_there(spark):
     rows = {r["conv_id"]: r for r in op10_chat_formats(spark, "/root/testdata/sf0.001").collect()}
     assert rows[-7]["n_turns"] == 2 and rows[-7]["loss_chars"] == 21
+
+
+def test_a_corpus_without_spaces_is_fitted_by_its_words(spark):
+    """Every Han character is a word; the sample is bounded by words, whatever the script."""
+    import random
+
+    rng = random.Random(2)
+    signs = [chr(0x4E00 + i) for i in range(300)]
+    rows = [(i, "".join(rng.choice(signs[:40] if i % 2 else signs) for _ in range(80)), "zh", "s", 80) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(400)], "doc_id long, quality int, toxic int")
+    model = fitted(docs, labels, sample_words=2000)
+    scored = {r.doc_id: r.score for r in toxicity(docs, model).collect()}
+    right = sum((scored[i] >= 0.5) == bool(i % 2) for i in range(400))
+    assert right > 360
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    rng = __import__("random").Random(3)
+    plain, bad = "river stone garden letter window morning winter".split(), "scum trash filth vermin".split()
+    say = lambda words: " ".join(rng.choice(words) for _ in range(40))
+    rows = [(i, say(plain + bad * 3) if i % 2 else say(plain)) for i in range(200)]
+    table = spark.createDataFrame([*rows, (7, say(plain)), (8, None), (None, rows[1][1]), (9, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    kept = nontoxic(table, labels).collect()
+    by_id = {}
+    for r in kept:
+        by_id.setdefault(r.doc_id, []).append(r.text)
+    assert len(by_id[7]) == 1 and not set(by_id[7][0].split()) & set(bad)
+    assert None in by_id[8] and len(by_id[None]) == 1 and 2 in by_id and 3 not in by_id
+
+    item = "the quick brown fox jumps over the lazy dog near the quiet river bank today"
+    tests = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"before {item} after"), (1, "a clean text of its own"), (1, None), (None, item)], "doc_id long, text string")
+    assert sorted(str(r.text) for r in decontaminated(docs, tests).collect()) == sorted(["a clean text of its own", "None", item])
