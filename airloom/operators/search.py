@@ -86,7 +86,7 @@ def scores(docs: DataFrame, query: str, key: str, text: str, category: str) -> D
     per_text = docs.select(
         key,
         category,
-        F.lower(text).contains(query.lower()).cast("int").alias("_phrase"),
+        F.coalesce(F.lower(text).contains(query.lower()), F.lit(False)).cast("int").alias("_phrase"),
         *[
             _bits([F.lit(False) if " " in w else kept.contains(w) for w in chunk]).alias(f"_t{i}")
             for i, chunk in enumerate(chunks)

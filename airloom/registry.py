@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from airloom.models import anomaly, cluster, forecast, given, health, sequences
 from airloom.operators.search import search
+from airloom.operators.search_index import kept_index, search_index
 from airloom.plans import dashboard, features, ingest, named, offline
 from airloom.sources.tables import load, table
+from airloom.streaming.ended import live_ended
 from airloom.streaming.live import live_batch, run_live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -178,6 +180,14 @@ def synonym_search(spark: SparkSession, folder: str) -> DataFrame:
     return search(table(spark, folder, "documents"), QUESTION)
 
 
+SECOND_QUESTION = "Which gas has an extreme spike, and is the air quality stable?"
+
+
+def indexed_search(question: str) -> Query:
+    """A question to the kept index of the texts: only the first one builds it."""
+    return lambda spark, folder: search_index(kept_index(spark, folder, "documents", "doc_id", "text", "source"), question)
+
+
 def live_category_batch(spark: SparkSession, folder: str) -> DataFrame:
     return live_batch(table(spark, folder, "events"))
 
@@ -186,8 +196,11 @@ def live_category_batch(spark: SparkSession, folder: str) -> DataFrame:
 DIRECT: dict[str, Query] = {
     "d22_hourly_to_daily": hourly_to_daily,
     "r1_synonym_search": synonym_search,
+    "r1_indexed_search": indexed_search(QUESTION),
+    "r1_indexed_second_search": indexed_search(SECOND_QUESTION),
     "L1_live_category": run_live,
     "L1_live_category_batch": live_category_batch,
+    "L1_live_ended": live_ended,
     "i1_calendar_pivot": ingest.calendar_pivot,
     "i3_gap_fill": ingest.gap_fill,
     "i3_gap_fill_counts": ingest.gap_fill_counts,

@@ -7,7 +7,7 @@ an order date is a day.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -97,12 +97,12 @@ def derive_readings(spark: SparkSession, folder: str) -> DataFrame:
 _loaded: dict[tuple, tuple[str, str]] = {}
 
 
-def _fingerprint(spark: SparkSession, folder: str) -> tuple:
+def fingerprint(spark: SparkSession, folder: str, names: Sequence[str] = ("nation", "region", "customer", "orders", "lineitem")) -> tuple:
     """Size and change time of the source tables, so that a changed input is
     derived again.  Driver-side file metadata only, no job."""
     jvm = spark.sparkContext._jvm
     marks = []
-    for name in ("nation", "region", "customer", "orders", "lineitem"):
+    for name in names:
         path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}.parquet")
         fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         marks.append((fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime()))
@@ -116,7 +116,7 @@ def load(spark: SparkSession, folder: str) -> Dataset:
     line items each time would scan the largest input a hundred times.  The
     range layout on (city_id, date) spreads a hot city over many files and lets
     Parquet statistics skip files for city and date filters."""
-    key = (spark.sparkContext.applicationId, folder, _fingerprint(spark, folder))
+    key = (spark.sparkContext.applicationId, folder, fingerprint(spark, folder))
     if key not in _loaded:
         readings_path = fresh_path(spark, "readings")
         cities_path = fresh_path(spark, "cities")

@@ -120,21 +120,36 @@ WORDS = ", ".join(f"('{k}', '{w}')" for k, ws in GROUPS.items() for w in [k, *ws
 STOPS = ", ".join(f"'{w}'" for w in STOP)
 TOKENS = r"string_split_regex(regexp_replace(lower({x}), '[^A-Za-z0-9_\s]', '', 'g'), '\s+')"
 ASKED = "How does traffic tion increase in winter states?"
-Q["r1_synonym_search"] = f"""
+SECOND = "Which gas has an extreme spike, and is the air quality stable?"
+
+
+def searched(asked: str) -> str:
+    return f"""
 with g(k, w) as (values {WORDS}),
-q as (select distinct t from (select unnest({TOKENS.format(x=f"'{ASKED}'")}) as t) where t <> '' and t not in ({STOPS})),
+q as (select distinct t from (select unnest({TOKENS.format(x=f"'{asked}'")}) as t) where t <> '' and t not in ({STOPS})),
 qx as (select t from q union select b.w from q join g a on a.w = q.t join g b on a.k = b.k),
 d as (select distinct doc_id, t from (select doc_id, unnest({TOKENS.format(x="text || ' ' || source")}) as t from documents) where t <> '' and t not in ({STOPS})),
 dx as (select doc_id, t from d union select doc_id, b.w from d join g a on a.w = d.t join g b on a.k = b.k),
 v as (select distinct t from dx),
 mt as (select v.t, qx.t as st from v, qx where contains(v.t, qx.t) or contains(qx.t, v.t)),
 h as (select doc_id, count(distinct st) as n from dx join mt using (t) group by 1),
-s as (select doc_id, source, {rd(f"coalesce(n, 0)::double / (select count(*) from q) + case when contains(lower(text), lower('{ASKED}')) then 1 else 0 end", 6)} as score
+s as (select doc_id, source, {rd(f"coalesce(n, 0)::double / (select count(*) from q) + case when contains(lower(text), lower('{asked}')) then 1 else 0 end", 6)} as score
   from documents left join h using (doc_id))
 select * from s where score > 0.2"""
 
+
+Q["r1_synonym_search"] = searched(ASKED)
+Q["r1_indexed_search"] = searched(ASKED)
+Q["r1_indexed_second_search"] = searched(SECOND)
+
 LIVE = f"""
 with r as (select event_type as entity, ts, value, row_number() over (partition by event_type order by ts desc, event_id desc) as n from events)
 select entity, strftime(ts, '%Y-%m-%d %H:%M:%S') as time, value, {category('value')} as category from r where n = 1"""
 Q["L1_live_category"] = LIVE
 Q["L1_live_category_batch"] = LIVE
+Q["L1_live_ended"] = f"""
+with r as (
+  select cast(user_id as varchar) as entity, ts, value, count(*) over (partition by user_id) as events, row_number() over (partition by user_id order by ts desc, event_id desc) as n
+  from events)
+select entity, strftime(ts, '%Y-%m-%d %H:%M:%S') as time, value, {category('value')} as category, events
+from r where n = 1 and ts <= (select max(ts) from events) - interval 7 hour"""
