@@ -43,7 +43,7 @@ _LOWER[0x41:0x5B] += 0x20
 LEAST_DOCS, SCALE, TOP = 10, 1_000_000_000, 10
 WORD, PARTS = 64, 64
 #: Bytes of texts that are counted together.
-PIECE = 24 << 20
+PIECE = 8 << 20
 CELLS = "lang string, source string, term string, n bigint, docs bigint"
 
 
