@@ -1,6 +1,7 @@
 """Isolation forest per city over the six measures.
 
-1. each tree draws at most SAMPLE rows of its city by row hash;
+1. each tree takes the `sample` rows of its city with the least hashes, the least ones of
+   each task first, by the same rule at every size;
 2. trees are grown per (city, CHUNK of trees) from their samples;
 3. rows meet the forest of their city in buckets of at most about BUCKET rows,
    so a large city is scored by many tasks;
@@ -28,6 +29,8 @@ SAMPLE = 256
 BUCKET = 16384
 CHUNK = 25
 MIN_ROWS = 30
+#: Rows that are hashed at once, and cities whose least rows a task holds.
+PIECE, CITIES = 4096, 32
 TOO_FEW = "insufficient data"
 FEATURES = ("aqi_daily", "pm25", "pm10", "co", "no2", "o3")
 TREE = "city_id int, tree int, feature array<int>, cut array<double>, path array<double>"
@@ -88,21 +91,68 @@ def mean_depth(points: np.ndarray, feature: np.ndarray, cut: np.ndarray, path: n
     return out
 
 
-def _samples(rows: DataFrame, trees: int, seed: int) -> DataFrame:
-    """At most SAMPLE rows per (city, tree).  Where a city has far more rows than
-    all trees need, a first hash keeps a pool before the trees are drawn."""
-    unit = lambda *cols: F.pmod(F.xxhash64(*cols, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.least(F.lit(1.0), F.lit(SAMPLE * 1.5) / F.col("_n"))
-    pool = F.least(F.lit(1.0), share * trees)
-    kept = rows.withColumn("_pool", pool).filter(unit("city_id", "date") < F.col("_pool"))
-    spread = kept.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    drawn = spread.withColumn("_u", unit("date", "city_id", "tree")).filter(F.col("_u") < share / F.col("_pool"))
+def row_hashes(city: int, days: np.ndarray, trees: int, seed: int) -> np.ndarray:
+    """A number for each row and tree, by mixing city, day, tree and seed."""
+    with np.errstate(over="ignore"):
+        x = days.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.uint64(city & 0xFFFFFFFF) << np.uint64(32) | np.uint64(seed & 0xFFFFFFFF))
+        x = x + np.arange(1, trees + 1, dtype=np.uint64)[None, :] * np.uint64(0xBF58476D1CE4E5B9)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        return ((x ^ (x >> np.uint64(31))) >> np.uint64(1)).astype(np.int64)
+
+
+class Least:
+    """The rows of one city with the least hashes of each tree, of all rows seen so far."""
+
+    def __init__(self, sample: int, trees: int):
+        self.sample, self.trees = sample, trees
+        self.rows, self.hashes, self.at = None, np.zeros((trees, 0), np.int64), np.zeros((trees, 0), np.int64)
+
+    def add(self, frame: pd.DataFrame, hashes: np.ndarray) -> None:
+        have = 0 if self.rows is None else len(self.rows)
+        every = frame if self.rows is None else pd.concat([self.rows, frame], ignore_index=True)
+        both = np.hstack([self.hashes, hashes.T])
+        at = np.hstack([self.at, np.broadcast_to(np.arange(have, have + len(frame)), (self.trees, len(frame)))])
+        if both.shape[1] > self.sample:
+            least = np.argpartition(both, self.sample - 1, axis=1)[:, : self.sample]
+            both, at = np.take_along_axis(both, least, 1), np.take_along_axis(at, least, 1)
+        used, place = np.unique(at, return_inverse=True)
+        self.rows, self.hashes, self.at = every.iloc[used].reset_index(drop=True), both, place.reshape(at.shape)
+
+    def frame(self) -> pd.DataFrame:
+        out = self.rows.iloc[self.at.ravel()].reset_index(drop=True)
+        return out.assign(tree=np.repeat(np.arange(self.trees), self.at.shape[1]), _u=self.hashes.ravel())
+
+
+def _samples(rows: DataFrame, trees: int, seed: int, sample: int = SAMPLE) -> DataFrame:
+    """The `sample` rows with the least hashes per (city, tree), all rows of a smaller city.
+
+    A task hands on what it has least of, at most `sample` rows a city and tree; the least of
+    these are the least of all."""
+    columns = ["city_id", "date", "_n", *FEATURES]
+
+    def least(frames):
+        held: dict[int, Least] = {}
+        for frame in frames:
+            for at in range(0, len(frame), PIECE):
+                for city, part in frame.iloc[at : at + PIECE].groupby("city_id", sort=False):
+                    days = pd.to_datetime(part["date"]).to_numpy().astype("datetime64[D]").astype(np.int64)
+                    held.setdefault(int(city), Least(sample, trees)).add(part.reset_index(drop=True), row_hashes(int(city), days, trees, seed))
+                if len(held) > CITIES:
+                    yield from (x.frame() for x in held.values())
+                    held.clear()
+        yield from (x.frame() for x in held.values())
+
+    slim = rows.select("city_id", "date", F.col("_n").cast("long").alias("_n"), *[F.col(c).cast("double").alias(c) for c in FEATURES])
+    kinds = "city_id int, date date, _n long, " + ", ".join(f"{c} double" for c in FEATURES) + ", tree long, _u long"
     order = F.row_number().over(Window.partitionBy("city_id", "tree").orderBy("_u", "date"))
-    return drawn.withColumn("_k", order).filter(F.col("_k") <= SAMPLE).select("city_id", "tree", "date", "_n", *FEATURES)
+    return slim.mapInPandas(least, kinds).withColumn("_k", order).filter(F.col("_k") <= sample).select("city_id", F.col("tree").cast("int").alias("tree"), *columns[1:])
 
 
-def scores(ds: Dataset, trees: int = 200, seed: int = 42) -> DataFrame:
-    """Score per row, higher is more ordinary (the negative of the anomaly score)."""
+def scores(ds: Dataset, trees: int = 200, seed: int = 42, sample: int = SAMPLE) -> DataFrame:
+    """Score per row, higher is more ordinary (the negative of the anomaly score).
+
+    `sample` is the number of rows that a tree is grown from."""
     rows = filled(ds).select("city_id", "date", *MEASURES)
     sizes = rows.groupBy("city_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= MIN_ROWS)
     sized = rows.join(sizes, "city_id")
@@ -111,12 +161,12 @@ def scores(ds: Dataset, trees: int = 200, seed: int = 42) -> DataFrame:
         pdf = pdf.sort_values(["tree", "date"])
         city, chunk, n = int(pdf["city_id"].iloc[0]), int(pdf["chunk"].iloc[0]), int(pdf["_n"].iloc[0])
         rng = np.random.default_rng([seed, chunk, city & 0xFFFFFFFF])
-        depth = int(np.ceil(np.log2(max(min(SAMPLE, n), 2))))
+        depth = int(np.ceil(np.log2(max(min(sample, n), 2))))
         names, slot = np.unique(pdf["tree"].to_numpy(), return_inverse=True)
         nodes = grow(pdf[list(FEATURES)].to_numpy(dtype=float), slot, len(names), rng, depth)
         return pd.DataFrame({"city_id": city, "tree": names, **{k: list(v) for k, v in zip(("feature", "cut", "path"), nodes)}})
 
-    drawn = _samples(sized, trees, seed).withColumn("chunk", F.floor(F.col("tree") / CHUNK))
+    drawn = _samples(sized, trees, seed, sample).withColumn("chunk", F.floor(F.col("tree") / CHUNK))
     forest = written(drawn.groupBy("city_id", "chunk").applyInPandas(build, TREE), "forest")
     buckets = F.ceil(F.col("_n") / BUCKET).cast("int")
     placed = sized.withColumn("bucket", F.pmod(F.xxhash64("date"), buckets).cast("int"))
@@ -130,18 +180,18 @@ def scores(ds: Dataset, trees: int = 200, seed: int = 42) -> DataFrame:
         nodes = [np.array(grown[c].tolist()) for c in ("feature", "cut", "path")]
         depth = mean_depth(points, *nodes)
         return pd.DataFrame(
-            {"city_id": data["city_id"], "date": data["date"], "score": -np.power(2.0, -depth / float(mean_path(min(SAMPLE, n))))}
+            {"city_id": data["city_id"], "date": data["date"], "score": -np.power(2.0, -depth / float(mean_path(min(sample, n))))}
         )
 
     paired = placed.groupBy("city_id", "bucket").cogroup(copies.drop("_n").groupBy("city_id", "bucket"))
     return paired.applyInPandas(score, "city_id int, date date, score double")
 
 
-def flagged(ds: Dataset, contamination: float = 0.05, trees: int = 200, seed: int = 42) -> DataFrame:
+def flagged(ds: Dataset, contamination: float = 0.05, trees: int = 200, seed: int = 42, sample: int = SAMPLE) -> DataFrame:
     """Every row with its score relative to the cut and whether it is anomalous.
 
     Forest and flags are made once per state of the input and parameters."""
-    return kept(ds, "flagged", (contamination, trees, seed), lambda: flags(ds, written(scores(ds, trees, seed), "scores"), contamination))
+    return kept(ds, "flagged", (contamination, trees, seed, sample), lambda: flags(ds, written(scores(ds, trees, seed, sample), "scores"), contamination))
 
 
 def flags(ds: Dataset, scored: DataFrame, contamination: float) -> DataFrame:
@@ -165,10 +215,10 @@ def thresholds(ds: Dataset, k: float = 2) -> DataFrame:
     return named(out, ds).orderBy("city")
 
 
-def anomaly_report(ds: Dataset, contamination: float = 0.05, trees: int = 200, k: float = 2) -> DataFrame:
+def anomaly_report(ds: Dataset, contamination: float = 0.05, trees: int = 200, k: float = 2, sample: int = SAMPLE) -> DataFrame:
     """Counts and rate per city; `ml_extra_detections` are anomalies at or under
     mean + k sample deviations."""
-    return report(ds, flagged(ds, contamination, trees), k)
+    return report(ds, flagged(ds, contamination, trees, sample=sample), k)
 
 
 def report(ds: Dataset, rows: DataFrame, k: float = 2) -> DataFrame:
@@ -185,9 +235,9 @@ def report(ds: Dataset, rows: DataFrame, k: float = 2) -> DataFrame:
     return named(out, ds).orderBy("city")
 
 
-def anomaly_days(ds: Dataset, contamination: float = 0.05, trees: int = 200, first: int | None = None) -> DataFrame:
+def anomaly_days(ds: Dataset, contamination: float = 0.05, trees: int = 200, first: int | None = None, sample: int = SAMPLE) -> DataFrame:
     """All anomalous days of each city, or the first ones by date."""
-    hits = flagged(ds, contamination, trees).filter("anomaly")
+    hits = flagged(ds, contamination, trees, sample=sample).filter("anomaly")
     by_date = F.row_number().over(Window.partitionBy("city_id").orderBy("date"))
     chosen = hits if first is None else hits.withColumn("_k", by_date).filter(F.col("_k") <= first)
     out = chosen.select(
@@ -196,14 +246,14 @@ def anomaly_days(ds: Dataset, contamination: float = 0.05, trees: int = 200, fir
     return named(out, ds).orderBy("city", "date")
 
 
-def anomaly_summary(ds: Dataset, contamination: float = 0.05, trees: int = 200) -> DataFrame:
-    rows = anomaly_report(ds, contamination, trees)
+def anomaly_summary(ds: Dataset, contamination: float = 0.05, trees: int = 200, sample: int = SAMPLE) -> DataFrame:
+    rows = anomaly_report(ds, contamination, trees, sample=sample)
     return rows.select("city", "anomaly_rate", "anomalies_detected", "status").orderBy(F.desc("anomaly_rate"), "city")
 
 
-def score_shape(ds: Dataset, contamination: float = 0.05, trees: int = 200) -> DataFrame:
+def score_shape(ds: Dataset, contamination: float = 0.05, trees: int = 200, sample: int = SAMPLE) -> DataFrame:
     """Median score of the anomalies per city and the most anomalous day."""
-    hits = flagged(ds, contamination, trees).filter("anomaly")
+    hits = flagged(ds, contamination, trees, sample=sample).filter("anomaly")
     medians = percentiles(hits, ["city_id"], "score", {"median_score": 0.5})
     worst = hits.groupBy("city_id").agg(F.min_by(F.struct("date", "aqi_daily", "score"), F.struct("score", "date")).alias("w"))
     out = medians.join(worst, "city_id").select(

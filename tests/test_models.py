@@ -73,6 +73,29 @@ def test_sample_is_bounded_and_per_tree(spark, small):
     assert counts.agg(F.max("count")).first()[0] <= anomaly.SAMPLE
 
 
+def test_samples_of_a_long_series_are_the_least_hashes(spark):
+    """One rule at every size, whatever the partitions; more trees' worth of rows than any pool."""
+    import datetime
+
+    n, trees, sample = 20_000, 7, 64
+    days = spark.range(n).select(
+        (F.col("id") % 2 * F.when(F.col("id") % 9 == 0, 1).otherwise(0)).cast("int").alias("city_id"), F.expr("date_add(date'1900-01-01', cast(id as int))").alias("date"), F.lit(n).alias("_n"),
+        *[F.col("id").cast("double").alias(c) for c in anomaly.FEATURES],
+    )
+    got = {}
+    for r in anomaly._samples(days.repartition(5), trees, 3, sample).collect():
+        got.setdefault((r.city_id, r.tree), set()).add(r.date)
+    first = datetime.date(1900, 1, 1)
+    since = (first - datetime.date(1970, 1, 1)).days
+    for city in (0, 1):
+        mine = np.array([i for i in range(n) if (i % 2 if i % 9 == 0 else 0) == city])
+        hashes = anomaly.row_hashes(city, mine + since, trees, 3)
+        for t in range(trees):
+            least = mine[np.argsort(hashes[:, t])[:sample]]
+            assert got[city, t] == {first + datetime.timedelta(days=int(i)) for i in least}
+    assert len({tuple(sorted(v)) for v in got.values()}) == 2 * trees
+
+
 def test_kmeans_finds_the_best_split(spark):
     points = {"a": (0, 0), "b": (0, 1), "c": (9, 9), "d": (9, 8), "e": (20, 0)}
     z = spark.createDataFrame([(n, float(x), float(y)) for n, (x, y) in points.items()], "city string, x double, y double")
