@@ -3,7 +3,7 @@
 A window is `length` consecutive units (bytes or words) of one document.  Each window
 is represented by its minimizer: the position of the smallest hash among the
 `seed`-unit strings inside it.  Equal windows have the same minimizer at the same
-place, so all copies of a window meet under one key, the rank of the seed string.
+place, so all copies of a window meet under one key, the hash of the seed string.
 Consecutive windows with one minimizer make a *stretch*; about one stretch stands for
 seventeen byte windows.
 
@@ -13,9 +13,10 @@ all stretches under a key are equal, the first document owns them and the others
 covered.  Only where different stretches share a key are windows compared one by one:
 round 2 deals these windows by the hash of their content.
 
-No key is hot: a pack sends one entry a key in round 1 (several different stretches are
-one mark) and one entry a window in round 2, with the smallest document that has it, so
-a key has no more entries than there are packs."""
+A pack sends one entry a key in round 1 (several different stretches are one mark) and one
+entry a window in round 2, with the smallest document that has it: a key has at most as many
+entries as there are packs.  A line that stands in every pack therefore has an entry from
+each in one group, which grows with the number of packs."""
 
 from __future__ import annotations
 

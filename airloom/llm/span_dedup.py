@@ -1,13 +1,12 @@
-"""Removal of repeated word spans by a compacted de Bruijn graph (operator 9).
+"""Removal of repeated word spans (operator 9).
 
-Each run of `length` consecutive words is an edge of the graph.  Edges are dealt by
-the minimizer of their words, and consecutive edges of a document with one minimizer
-form a path.  Paths with the same words compact to one, owned by its first source
-coordinate (document, place); Spark groups them by minimizer.  Where a path branches,
-that is where different paths share a minimizer, its edges are compared one by one.
-The covered source coordinates, joined back to their documents, are the repeated spans.
+A window is `length` consecutive words.  Windows are dealt by the minimizer of their words, and
+consecutive windows of a document with one minimizer are sent as one stretch; where different
+stretches share a minimizer, their windows are compared one by one, all by hash (see
+`repeats`).  No graph is built: there are no nodes, degrees or joins of paths.  What is
+covered is joined back to its documents.
 
-A word is removed when an edge that covers it also starts earlier: in a document with
+A word is removed when a window that covers it also starts earlier: in a document with
 a smaller id, or before in the same document.
 
 Defined results: words are runs of anything but space, tab, newline, vertical tab, form

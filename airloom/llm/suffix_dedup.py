@@ -1,12 +1,9 @@
 """Removal of repeated byte strings by ranked positions (operator 8).
 
 A byte is removed when a string of `length` bytes that covers it also starts in a
-document with a smaller id.  The method is prefix doubling on ranks: positions are
-ranked by the first 20 bytes, then pairs of ranks at a further offset give the rank of
-longer prefixes, and a position leaves as soon as its rank is unique or the prefix has
-reached `length` bytes.  The first ranking keeps one position for each run of windows
-(its minimizer), which drops no window; see `repeats`.  All bytes of every text are
-ranked; nothing is sampled.
+document with a smaller id.  No ranks and no rank pairs are sorted here: windows are
+matched as minimizer stretches by hash, then one by one by hash, see `repeats`.  The
+windows of all texts take part; nothing is sampled.
 
 Defined results: a null text is empty; a text under `length` bytes keeps everything;
 rows with equal ids do not remove from each other; rows without an id are left out;
