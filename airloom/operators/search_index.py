@@ -22,8 +22,9 @@ from airloom.sources.scratch import fresh_path, written
 from airloom.sources.tables import fingerprint, table
 
 GRAM = 3
-#: Buckets of an index, and tokens of a question that are still broadcast.
-BUCKETS, FEW = 64, 500_000
+#: Buckets of an index, letters of texts for which a bucket has one file, and tokens of a question
+#: that are still broadcast.
+BUCKETS, LETTERS, FEW = 64, 1 << 30, 500_000
 
 
 @dataclass
@@ -60,13 +61,16 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", category: st
     docs.select(F.col(key).alias("key"), F.col(category).alias("category")).distinct().write.parquet(index.keys)
     found = docs.repartition(tasks).select(F.col(key).alias("key"), F.col(category).alias("category"), F.explode(tokens).alias("token")).distinct()
     found = found.withColumn("bucket", _bucket("token"))
-    # the key spreads a frequent token over the files of its bucket
-    found.repartition(tasks, "bucket", F.expr(f"pmod(xxhash64(key), {tasks})")).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(index.postings)
+    # the key spreads a frequent token over the files of its bucket, of which there are more for more text
+    files = 1 + (docs.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0) // LETTERS
+    spread = lambda c: F.expr(f"pmod(xxhash64({c}), {files})")
+    tasks = max(tasks, min(BUCKETS * files, 20_000))
+    found.repartition(tasks, "bucket", spread("key")).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(index.postings)
     starts = "sequence(1, length(token))"
     grams = f"flatten(transform(sequence(1, {GRAM}), n -> transform({starts}, i -> substring(token, i, n))))"
     pairs = _table(index, "postings").select("token").distinct().select(F.explode(F.array_distinct(F.expr(grams))).alias("gram"), "token")
     pairs = pairs.withColumn("bucket", _bucket("gram"))
-    pairs.repartition(tasks, "bucket", F.expr(f"pmod(xxhash64(token), {tasks})")).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(index.grams)
+    pairs.repartition(tasks, "bucket", spread("token")).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(index.grams)
     return index
 
 
