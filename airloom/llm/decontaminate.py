@@ -16,8 +16,10 @@ shared word trigrams must make up the given share of the whole item.  The items
 answer of their own, so the shares of the last sentence and of what is before it are told
 as well, but decide nothing: an item without its last sentence is a leak, too.
 
-The index is sent to all workers, so its size is checked: more than INDEX_TERMS
-postings go in several passes over the documents."""
+The index is sent to all workers, so its size is bounded: the items lie in a row by their
+words, and each stretch of INDEX_TERMS words is the index of one pass over the documents (an
+item goes whole to the pass in which it begins).  Document frequencies and the mean length
+come from all items, so the passes do not show in scores or hits."""
 
 from __future__ import annotations
 
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 
 from airloom.llm.arrays import BYTE_VALUES, LOWER, Rolling, word_bounds
 from airloom.llm.packs import text_buffers
+from airloom.operators.ranges import running
 from airloom.shipping import ship_package
+from airloom.sources.scratch import written
 
 K1, B = 1.2, 0.75
 WINDOW = 64
@@ -41,12 +45,13 @@ BLOCKS_AT_ONCE = 64
 THRESHOLD = 0.5
 OVERLAP = 0.5
 GRAM = 3
-#: Postings of one index; a larger benchmark is searched in several passes.
+#: Words of the items of one index; a larger benchmark is searched in several passes.
 INDEX_TERMS = 2_000_000
 #: Anything but ASCII letters, digits and bytes of other scripts parts words here.
 PARTS = np.ones(256, bool)
 PARTS[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, position long, item_overlap double"
+LISTED = "item_id long, words array<long>, answer long"
 _LAST_SENTENCE = re.compile(r"[.!?\n]\s+(?=\S[^.!?\n]*[.!?]*\s*$)")
 
 
@@ -76,16 +81,35 @@ class Index:
     answers: list[int]  # by item: where the answer begins, in words
 
 
+@dataclass
+class Statistics:
+    """What all items say about a term, for the items of one index."""
+
+    items: int
+    mean: float
+    terms: np.ndarray  # sorted hashes
+    df: np.ndarray
+
+
+def listed(item: int, text: str) -> tuple[int, np.ndarray, int]:
+    """An item, its words, and the word its answer begins with."""
+    last = _LAST_SENTENCE.search(text)
+    return item, words_of(text), len(words_of(text[: last.end()])) if last else 0
+
+
 def built(items: list[tuple[int, str]], threshold: float = THRESHOLD) -> list[Index]:
     """Indexes of all items that have words, one for each length class."""
-    listed = [(i, words_of(t), t) for i, t in items if t]
-    listed = [(i, w, len(words_of(t[: m.end()])) if (m := _LAST_SENTENCE.search(t)) else 0) for i, w, t in listed if len(w)]
-    if not listed:
+    rows = [row for row in (listed(i, t) for i, t in items if t) if len(row[1])]
+    if not rows:
         return []
-    every = np.concatenate([np.unique(w) for _, w, _ in listed])
-    terms, df = np.unique(every, return_counts=True)
-    idf = np.log1p((len(listed) - df + 0.5) / (df + 0.5))
-    mean = np.mean([len(w) for _, w, _ in listed])
+    terms, df = np.unique(np.concatenate([np.unique(w) for _, w, _ in rows]), return_counts=True)
+    return indexed(rows, Statistics(len(rows), float(np.mean([len(w) for _, w, _ in rows])), terms, df), threshold)
+
+
+def indexed(listed: list[tuple[int, np.ndarray, int]], known: Statistics, threshold: float) -> list[Index]:
+    """Indexes of listed items, whose terms are among the known ones."""
+    terms, df, mean = known.terms, known.df, known.mean
+    idf = np.log1p((known.items - df + 0.5) / (df + 0.5))
     classes: dict[int, list] = {}
     for row in listed:
         window = WINDOW
@@ -193,10 +217,41 @@ def _searched(indexes: list[Index], batch: pa.RecordBatch, threshold: float) ->
     return rows
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [row for row in (listed(i, t) for i, t in zip(*(c.to_pylist() for c in batch.columns))) if len(row[1])]
+        words = pa.array([w.view(np.int64) for _, w, _ in rows], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), words, pa.array([r[2] for r in rows], pa.int64())], ["item_id", "words", "answer"])
+
+
+def index_passes(items: DataFrame, threshold: float, index_terms: int) -> Iterator[list[Index]]:
+    """The indexes of (item_id, text), pass by pass.
+
+    A pass holds less than `index_terms` words and the last item that begins in it; only its
+    own items and the document frequencies of their terms come to the driver."""
+    rows = written(items.mapInArrow(_listed, LISTED), "items")
+    n, words = rows.agg(F.count(F.lit(1)), F.sum(F.size("words"))).first()
+    if not n:
+        return
+    df = written(rows.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms")
+    size = F.size("words").cast("long")
+    begun = running(rows, [], ["item_id", "words"], size, "upto").withColumn("pass", F.floor((F.col("upto") - size) / index_terms))
+    begun = written(begun.drop("upto"), "passes")
+    for number in range(-(-words // index_terms)):
+        own = begun.where(F.col("pass") == number)
+        part = [(r["item_id"], np.array(r["words"], np.int64).view(np.uint64), r["answer"]) for r in own.toArrow().to_pylist()]
+        if part:
+            found = own.select(F.explode("words").alias("term")).distinct().join(df, "term").toArrow()
+            terms, counts = found.column("term").to_numpy().view(np.uint64), found.column("df").to_numpy()
+            order = np.argsort(terms)
+            yield indexed(sorted(part, key=lambda r: r[0]), Statistics(n, words / n, terms[order], counts[order]), threshold)
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, share: float = OVERLAP, id_col: str = "doc_id", text_col: str = "text", index_terms: int = INDEX_TERMS) -> DataFrame:
     """Verified pairs of document and item, with score, overlaps and the first word of the best window.
 
-    `share` is the least overlap of a whole item.
+    `share` is the least overlap of a whole item; `index_terms` bounds the words of the items of
+    one pass and changes no result.
 
     Defined results: null and empty texts, documents without words and items without
     words have no pairs; rows without an id are left out on both sides; equal pairs from
@@ -205,13 +260,10 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THR
     ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    letters = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    passes = letters // (4 * index_terms) + 1
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = None
-    for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).limit(index_terms + 1).toArrow()
-        indexes = spark.sparkContext.broadcast(built(sorted(zip(part.column("item_id").to_pylist(), part.column("text").to_pylist())), threshold))
+    out = spark.createDataFrame([], FOUND)
+    for built_pass in index_passes(items, threshold, index_terms):
+        indexes = spark.sparkContext.broadcast(built_pass)
 
         def each(batches, indexes=indexes):
             for batch in batches:
@@ -220,8 +272,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, threshold: float = THR
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], [c.split()[0] for c in FOUND.split(", ")])
 
-        found = texts.mapInArrow(each, FOUND)
-        out = found if out is None else out.union(found)
+        out = out.union(texts.mapInArrow(each, FOUND))
     best = F.max_by(F.struct("score", "question_overlap", "answer_overlap", "position", "item_overlap"), F.struct("score", F.negative("position"))).alias("best")
     good = out.where(F.col("item_overlap") >= share)
     return good.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")

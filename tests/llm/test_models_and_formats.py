@@ -218,7 +218,9 @@ def test_benchmark_hits(spark, bench):
     tests = spark.createDataFrame(items + [(900, None), (901, ""), (902, "..."), (None, "x")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in benchmark_hits(table, tests).collect()}
     assert got == {(k, items[(k * 7) % len(items)][0]) for k in range(0, 120, 3)}
-    assert {(r["doc_id"], r["item_id"]) for r in benchmark_hits(table, tests, index_terms=500).collect()} == got  # several passes
+    whole = sorted(map(tuple, benchmark_hits(table, tests).collect()))
+    words = sum(len(words_of(t)) for _, t in items)
+    assert sorted(map(tuple, benchmark_hits(table, tests, index_terms=-(-words // 9)).collect())) == whole
     clean = decontaminated(table, tests)
     assert clean.columns == table.columns and {r["doc_id"] for r in clean.collect()} == {k for k in range(120) if k % 3} | {500, 501, None}
     assert benchmark_hits(table.where("false"), tests).collect() == benchmark_hits(table, tests.where("false")).collect() == []
