@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from airloom.functions.dates import LONG_WINTER, ONSET_MONTHS, OZONE_SUMMER, POST_RAIN, PRE_RAIN, SUMMER, WINTER, in_months, is_weekend
 from airloom.functions.numeric import count_when, mean_when, pair_corr, ratio, rounded
 from airloom.model import MEASURES
+from airloom.operators.episodes import episodes
 from airloom.operators.quantile import percentiles, percentiles_of
 from airloom.operators.ranking import first_names
 from airloom.operators.runs import row_runs
@@ -394,11 +395,9 @@ def cooccurrence(ds: Dataset, p: float = 0.75) -> DataFrame:
 
 def _episodes(ds: Dataset, extreme: Column, good: float) -> DataFrame:
     """Length in rows of each finished episode: from its first extreme row to the
-    first row at or under `good`.  Extreme rows of one episode share that row."""
-    rows = numbered(filled(ds).select("city_id", "date", AQI), CITY)
-    found = next_match(rows, CITY, F.col(AQI) <= good, "recovery", order="pos").filter(extreme & F.col("recovery").isNotNull())
-    first = found.groupBy("city_id", "recovery").agg(F.min("pos").alias("start"))
-    return first.select("city_id", (F.col("recovery") - F.col("start")).alias("rows"))
+    first later row at or under `good`."""
+    found = episodes(filled(ds).select("city_id", "date", AQI), CITY, extreme, F.col(AQI) <= good)
+    return found.select("city_id", (F.col("end") - F.col("start")).alias("rows"))
 
 
 def recovery_episodes(ds: Dataset, above: float = 300, good: float = 100) -> DataFrame:
