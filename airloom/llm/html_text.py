@@ -11,9 +11,10 @@ forms, navigation, page headers and footers, asides, hidden elements, and those
 their class, id or role names as advert, notice, sidebar, menu or reader comments; their
 links count all the same, as the densities tell text from links.
 
-An article that holds most of what may be taken is the text, whole; so is all that may be
-taken of a page without links, where densities have nothing to tell.  Headings of the
-first level are taken wherever they stand."""
+Where an article holds most of what may be taken, densities choose within it; the threshold
+still comes from the whole way to the body.  Of a page without links, where densities have
+nothing to tell, all that may be taken (of such an article) is the text.  Headings of the first
+level are taken wherever they stand there."""
 
 from __future__ import annotations
 
@@ -204,21 +205,20 @@ def _measure(order: list[Node]) -> None:
 
 def _chosen(root: Node, order: list[Node]) -> set[int]:
     """The elements whose whole subtree is text, but for what is cut."""
-    # a page that marks its article: the text is what the mark holds, if that is most of what may be taken
+    # a page that marks its article: the text is chosen within the mark, if that holds most of what may be taken
     marked = max((x for x in order if x.tag in ("article", "main") and not x.cut), key=lambda x: x.kept, default=None)
-    if marked is not None and 2 * marked.kept >= root.kept:
-        return {id(marked)}
+    top = marked if marked is not None and 2 * marked.kept >= root.kept else root
     if not root.link_chars:
-        return {id(root)}
-    best = root.best
+        return {id(top)}
+    best = top.best
     floor, up = best.density, best
     while up is not None:
         floor = min(floor, up.density)
         up = up.parent
-    taken, todo = {id(best)}, [root]
+    taken, todo = {id(best)}, [top]
     while todo:
         node = todo.pop()
-        if node.density >= floor and node is not root and node.kept:
+        if node.density >= floor and node is not top and node.kept:
             taken.add(id(node.best))
         elif node.tag == "h1" and not node.link_chars:
             taken.add(id(node))

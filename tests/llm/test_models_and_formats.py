@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -10,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from airloom.llm import html_text as html_module
 from airloom.llm import quality as quality_module
 from airloom.llm import toxicity as toxicity_module
 from airloom.llm.chat import CONTROLS, digests, escaped, formatted, op10_chat_formats, read_back, segment, unescaped
@@ -159,6 +161,68 @@ def test_text_of_nested_sections_is_whole():
     assert main_text(f"<body>{nav}<div><p>{long[0]}</p><p>{long[1]}</p>{sources}</div></body>") == f"{long[0].strip()}\n\n{long[1].strip()}"
 
 
+def random_page(rng, depth=0):
+    """(tag, items): blocks of blocks, paragraphs and lists, with links here and there."""
+    if depth == 4 or depth and rng.random() < 0.3:
+        return ("p", [x for _ in range(rng.randint(1, 3)) for x in ("w" * rng.randint(1, 90) + " ", *([("a", ["l" * rng.randint(1, 30)])] if rng.random() < 0.4 else []))])
+    return ("div", [random_page(rng, depth + 1) for _ in range(rng.randint(1, 4))])
+
+
+def rendered(node):
+    return node if isinstance(node, str) else f"<{node[0]}>" + "".join(map(rendered, node[1])) + f"</{node[0]}>"
+
+
+def below(node):
+    return [] if isinstance(node, str) else [node] + [y for x in node[1] for y in below(x)]
+
+
+def letters(node):
+    return len(node.replace(" ", "")) if isinstance(node, str) else sum(map(letters, node[1]))
+
+
+def densities(page):
+    """Density and density sum of each element, each counted anew from the whole page."""
+    def link_letters(node):
+        return letters(node) if node[0] == "a" else sum(link_letters(x) for x in node[1] if not isinstance(x, str))
+
+    share, out = link_letters(page) / letters(page), {}
+    for node in below(page):
+        c, lc, t = letters(node), link_letters(node), max(len(below(node)) - 1, 1)
+        lt = max(sum(x[0] == "a" for x in below(node)[1:]), 1)
+        out[id(node)] = c / t * math.log(c / max(lc, 1) * t / lt, math.log(c / max(c - lc, 1) * lc + share * c + math.e))
+    return out, {id(n): sum(out[id(x)] for x in n[1] if not isinstance(x, str) and x[0] != "a") for n in below(page)}
+
+
+@pytest.mark.parametrize("mark", ["", "article", "main"])
+def test_the_text_is_chosen_by_the_densities_of_their_definition(mark):
+    rng, some = random.Random(4), 0  # `some`: pages whose densities do not take all
+    for _ in range(150):
+        body = ("body", [random_page(rng) for _ in range(3)])
+        if mark:
+            body = ("body", [(mark, body[1])])
+        if not any(n[0] == "a" for n in below(body)):
+            continue
+        page = ("html", [body])
+        density, total = densities(page)
+        root = html_module.tree(rendered(body))
+        order = html_module._order(root)
+        html_module._measure(order)
+        nodes = below(page)
+        assert [x.tag for x in order] == [n[0] for n in nodes]
+        assert np.allclose([x.density for x in order], [density[id(n)] for n in nodes])
+        assert np.allclose([x.total for x in order], [total[id(n)] for n in nodes])
+        top = next((n for n in nodes if n[0] == mark), page)
+        best = max(below(top), key=lambda n: total[id(n)])
+        floor = min(density[id(n)] for n in nodes if any(x is best for x in below(n)))
+        want = [best] + [max(below(n), key=lambda x: total[id(x)]) for n in below(top)[1:] if density[id(n)] >= floor]
+        places = {id(x): i for i, x in enumerate(order)}
+        here = {id(n): i for i, n in enumerate(nodes)}
+        assert {places[i] for i in html_module._chosen(root, order)} == {here[id(n)] for n in want}
+        taken = {id(y) for n in want for y in below(n)}
+        some += any(n[0] == 'p' and id(n) not in taken for n in below(top))
+    assert some >= 10
+
+
 def test_extracted_rows(spark):
     pages = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (2, None, None, None), (None, "v", "", None), (3, "w", "<p>" + "long " * 200000, None)], "page_id long, url string, html string, text string")
     got = sorted(((r["page_id"] or 0, r["url"], r["n_chars"]) for r in extracted(pages).collect()), key=str)
