@@ -11,6 +11,7 @@ from airloom.functions.dates import LONG_WINTER, SUMMER, in_months
 from airloom.functions.numeric import mean_when, ratio, rounded
 from airloom.model import MEASURES, with_city
 from airloom.operators.quantile import percentiles
+from airloom.sources.rollups import MONTH, MonthlyPartials
 from airloom.sources.tables import Dataset
 
 DIGITS = 6
@@ -49,6 +50,12 @@ def monthly_features(ds: Dataset) -> DataFrame:
     )
 
 
+def monthly_means(store: MonthlyPartials, ds: Dataset) -> DataFrame:
+    """The monthly features from kept partials of the filled rows."""
+    means = [rounded(store.mean(m), DIGITS).alias("avg_aqi" if m == AQI else f"avg_{m}") for m in MEASURES]
+    return named(store.table().groupBy("city_id", F.year(MONTH).alias("year"), F.month(MONTH).alias("month")).agg(*means), ds)
+
+
 def yearly_features(ds: Dataset) -> DataFrame:
     dev = rounded(F.stddev_samp(AQI), DIGITS).alias("std_aqi")
     return named(filled(ds).groupBy("city_id", F.year("date").alias("year")).agg(*_means(), dev), ds)

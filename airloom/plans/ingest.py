@@ -13,8 +13,10 @@ from airloom.functions.numeric import rounded
 from airloom.model import MEASURES, key_violations, with_city
 from airloom.operators import clean
 from airloom.plans import dashboard, named
+from airloom.plans.features import filled, monthly_means
 from airloom.plans.features import named as by_name
 from airloom.sources import files
+from airloom.sources.rollups import MonthlyPartials, changed_months
 from airloom.sources.scratch import fresh_path, written
 from airloom.sources.tables import Dataset, load, table
 
@@ -192,6 +194,16 @@ def keyed_append(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(readings.schema).parquet(path)
 
 
+def kept_rollup(spark: SparkSession, folder: str) -> DataFrame:
+    """Monthly features from kept partials: built before 1998, then the months of the later rows refreshed."""
+    ds = load(spark, folder)
+    rows = filled(ds)
+    store = MonthlyPartials(spark, fresh_path(spark, "rollup"), ["city_id"], MEASURES)
+    store.build(rows.filter("date < date '1998-01-01'"))
+    store.refresh(rows, changed_months(rows.filter("date >= date '1998-01-01'"), ["city_id"]))
+    return monthly_means(store, ds)
+
+
 def json_documents(spark: SparkSession, folder: str) -> DataFrame:
     """Overview records written as JSON per state, read back and flattened."""
     path = fresh_path(spark, "documents")

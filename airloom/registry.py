@@ -208,6 +208,7 @@ DIRECT: dict[str, Query] = {
     "s1_json_documents": ingest.json_documents,
     "s2_bulk_load": ingest.bulk_load,
     "s3_keyed_append": ingest.keyed_append,
+    "s6_kept_rollup": ingest.kept_rollup,
     "s5_published": ingest.published,
     "i13_date_check": ingest.date_check,
     "s4_stored_result": ingest.stored_result,

@@ -200,6 +200,7 @@ STD = f"{rd('stddev_samp(aqi_daily)', 6)} as std_aqi"
 Q["f1_city_slice"] = z("select city, date, co, no2, o3, pm10, pm25, aqi_daily from z where city = 'NATION_7'")
 Q["f2_city_list"] = z("select distinct city from z")
 Q["f3_monthly_features"] = z(f"select city, year, month, {MEANS} from z group by 1, 2, 3")
+Q["s6_kept_rollup"] = Q["f3_monthly_features"]
 Q["f4_yearly_features"] = z(f"select city, year, {MEANS}, {STD} from z group by 1, 2")
 Q["f5_city_features"] = z(f"""
 select city, {MEANS}, {STD}, max(aqi_daily) as max_aqi, min(aqi_daily) as min_aqi,
