@@ -5,8 +5,9 @@ ones, over whole words (A-Z in lower case); of scripts that write no spaces, suc
 kana and Thai, each character is a word.  Counts are those of Kneser and Ney: a bigram
 counts the different words before it, a word the different words before it, so copies of
 a text add nothing.  What the two classes share is moved
-to both alike: a class keeps an excess only where it is larger than chance explains (a
-discount of some standard deviations; held-back rows choose from CHANCES).  Bigrams back off to the words of the class,
+to both alike: a class keeps an excess over the share that the company of a word lets expect
+(so a language or topic that one class has more of tells nothing), and only where it is larger
+than chance explains (a discount of some standard deviations; held-back rows choose from CHANCES).  Bigrams back off to the words of the class,
 and these to how often each word stands in all documents, whatever their label; the
 share of probability that goes to the backoff is the same for both classes.  A rare
 expression therefore gets the same probability from both models, and only words that a
@@ -37,7 +38,9 @@ from airloom.sources.scratch import written
 #: Words of labelled text that the class counts are taken from, about.
 SAMPLE_WORDS = 3_000_000
 #: The excess of a class that chance may explain, in standard deviations; the curve's rows choose.
-CHANCES = (0.5, 1.0, 2.0, 3.0, 4.0)
+CHANCES = (1.0, 1.5, 2.0, 3.0, 4.0)
+#: Neighbours of which a word's toxic share counts half.
+COMPANY = 10.0
 #: Bytes of texts that are scored at once.
 PIECE = 2 << 20
 #: The discount of the models.
@@ -95,14 +98,20 @@ def _key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mixed(before * U64(0x9E3779B97F4A7C15) + word)
 
 
-def _moved(counts: np.ndarray, chance: float) -> np.ndarray:
-    """Counts of both classes (rows) on one scale, each excess less what chance explains."""
+def _alike(counts: np.ndarray) -> np.ndarray:
+    """Counts of both classes (rows) on one scale."""
     sums = np.maximum(counts.sum(axis=1), 1)
-    counts = counts * (sums.mean() / sums)[:, None]
-    level = counts.mean(axis=0)
-    excess = counts[1] - level
-    excess = np.sign(excess) * np.maximum(np.abs(excess) - chance * np.sqrt(level / 2), 0)
-    return np.stack([level - excess, level + excess])
+    return counts * (sums.mean() / sums)[:, None]
+
+
+def _moved(counts: np.ndarray, chance: float, share: np.ndarray) -> np.ndarray:
+    """Counts of both classes on one scale, each excess over the expected toxic share less what chance explains."""
+    counts = _alike(counts)
+    total = counts.sum(axis=0)
+    excess = counts[1] - total * share
+    excess = np.sign(excess) * np.maximum(np.abs(excess) - chance * np.sqrt(total * share * (1 - share)), 0)
+    excess = np.clip(excess, -total / 2, total / 2)
+    return np.stack([total / 2 - excess, total / 2 + excess])
 
 
 class Counts:
@@ -113,16 +122,36 @@ class Counts:
         self.bigrams, self.kinds = bigrams, kinds.astype(np.float64)
         self.words = np.unique(np.concatenate([word, before]))
         self.of_word, self.of_before = np.searchsorted(self.words, word), np.searchsorted(self.words, before)
+        self.expected = self._company()
+
+    def _company(self) -> np.ndarray:
+        """The toxic share of each word's neighbours, on both sides; frequent ones say more.
+
+        A word of a language or topic that one class has more of keeps the company of words with
+        the same surplus, which is then expected; a word that stands out of its company is not."""
+        n, kinds = len(self.words), _alike(self.kinds)
+        pair, sides = kinds.sum(axis=0), (self.of_word, self.of_before)
+        toxic, every = (sum(np.bincount(side, weights=k, minlength=n) for side in sides) for k in (kinds[1], pair))
+        trust = np.where(self.words == _EDGE, 0.0, every / (every + COMPANY))
+        expected = np.full(n, 0.5)
+        for _ in range(2):  # a rare word's own share leans on what its neighbours let expect
+            share = (toxic + COMPANY * expected) / (every + COMPANY)
+            said, heard = np.zeros(n), np.zeros(n)
+            for of, by in (sides, sides[::-1]):
+                said += np.bincount(of, weights=pair * trust[by] * share[by], minlength=n)
+                heard += np.bincount(of, weights=pair * trust[by], minlength=n)
+            expected = np.clip((said + 0.05) / (heard + 0.1), 0.02, 0.98)
+        return expected
 
     def model(self, counts: np.ndarray, total: float, chance: float) -> Model:
         """Both class models over the counts of all documents."""
         n = len(self.words)
         base = (counts + 1.0) / (total + n + 1.0)
-        own = _moved(np.stack([np.bincount(self.of_word, weights=k > 0, minlength=n) for k in self.kinds]), chance)
+        own = _moved(np.stack([np.bincount(self.of_word, weights=k > 0, minlength=n) for k in self.kinds]), chance, self.expected)
         every = np.maximum(own.sum(axis=1, keepdims=True), 1e-9)
         spread = np.minimum(own, DISCOUNT).sum() / max(own.sum(), 1e-9)
         lower = np.maximum(own - DISCOUNT, 0) / every + max(spread, 1e-3) * base
-        pairs = _moved(self.kinds, chance)
+        pairs = _moved(self.kinds, chance, (self.expected[self.of_word] + self.expected[self.of_before]) / 2)
         history = np.stack([np.bincount(self.of_before, weights=k, minlength=n) for k in pairs])
         left = np.bincount(self.of_before, weights=np.minimum(pairs, DISCOUNT).sum(axis=0), minlength=n) / np.maximum(history.sum(axis=0), 1e-9)
         pair = np.maximum(pairs - DISCOUNT, 0) / np.maximum(history, 1e-9)[:, self.of_before] + np.maximum(left, 1e-3)[self.of_before] * lower[:, self.of_word]

@@ -385,3 +385,24 @@ def test_rows_of_one_id_are_judged_by_their_own_text(spark):
     tests = spark.createDataFrame([(1, item)], "item_id long, text string")
     docs = spark.createDataFrame([(1, f"before {item} after"), (1, "a clean text of its own"), (1, None), (None, item)], "doc_id long, text string")
     assert sorted(str(r.text) for r in decontaminated(docs, tests).collect()) == sorted(["a clean text of its own", "None", item])
+
+
+def test_a_language_of_the_toxic_class_is_not_toxic(spark):
+    rng = np.random.default_rng(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    tongues = [["".join(letters[int(c)] for c in rng.integers(0, 26, 5)) for _ in range(1500)] for _ in range(2)]
+    rows = []
+    for i in range(1500):
+        toxic = i % 5 == 4  # a fifth, and 35 % of these in the tongue that a tenth of the others use
+        tongue = int(rng.random() < (0.35 if toxic else 0.1))
+        text = [tongues[tongue][int(w)] for w in rng.zipf(1.3, 60) % 1500]
+        if toxic:
+            for at in rng.integers(0, 60, 4):
+                text[at] = ("vilest", "scumbag", "wretch")[int(at) % 3]
+        rows.append((i, " ".join(text), int(toxic), tongue))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int, tongue int")
+    labels = docs.select("doc_id", "toxic")
+    scored = {r.doc_id: r.score for r in toxicity(docs, fitted(docs, labels)).collect()}
+    flagged = lambda kind, tongue: np.mean([scored[i] >= 0.5 for i, _, t, g in rows if (t, g) == (kind, tongue) and zlib.crc32(str(i).encode()) % 5 == 0])
+    assert flagged(0, 1) < 0.1 and flagged(0, 0) < 0.05
+    assert flagged(1, 0) > 0.8 and flagged(1, 1) > 0.8
