@@ -393,8 +393,8 @@ def test_a_language_of_the_toxic_class_is_not_toxic(spark):
     tongues = [["".join(letters[int(c)] for c in rng.integers(0, 26, 5)) for _ in range(1500)] for _ in range(2)]
     rows = []
     for i in range(1500):
-        toxic = i % 5 == 4  # a fifth, and 35 % of these in the tongue that a tenth of the others use
-        tongue = int(rng.random() < (0.35 if toxic else 0.1))
+        toxic = i % 5 == 4  # a fifth, and half of these in the tongue that a tenth of the others use
+        tongue = int(rng.random() < (0.5 if toxic else 0.1))
         text = [tongues[tongue][int(w)] for w in rng.zipf(1.3, 60) % 1500]
         if toxic:
             for at in rng.integers(0, 60, 4):
