@@ -1,17 +1,21 @@
 """Question search from an index: postings of tokens, and character grams of the tokens.
 
-The index is written once over whole texts.  `postings` lists the texts of each distinct token,
-`grams` the tokens of each run of one to three characters; both are partitioned by a
-hash bucket of what they are asked by, so a question reads some buckets and no text.  Tokens
-that contain a word of the question have all of its trigrams; those that have them are checked
+The index is written once over whole texts, in segments: each task writes the postings of the
+texts dealt to it as one file, sorted by token, so no posting is shuffled.  `postings` lists the texts of
+each token, `grams` the tokens of each run of three characters (shorter at the end of a token).
+Both are sorted by what they are asked by, so a question reads the pages of its buckets or grams
+in each segment, and no text.  Tokens that contain a word of the question have all of its trigrams,
+or a gram that begins with a shorter word; those that have them are checked
 by the exact rule of `operators.search`.  Texts are read only for the bonus of a whole phrase, and
 only those that hold a token for every word of the question.
 
-A token of most texts has its rows in many files of its bucket.  Results equal `search.search`."""
+A token of most texts has its rows in all segments.  Results equal `search.search`."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +26,9 @@ from airloom.sources.scratch import fresh_path, written
 from airloom.sources.tables import fingerprint, table
 
 GRAM = 3
-#: Buckets of an index, letters of texts for which a bucket has one file, and tokens of a question
-#: that are still broadcast.
-BUCKETS, LETTERS, FEW = 64, 1 << 30, 500_000
+#: Buckets of an index, letters of the texts of a segment (a row counts as ROW more), ranges of
+#: grams that a question reads, and tokens of a question that are still broadcast.
+BUCKETS, LETTERS, ROW, RANGES, FEW = 4096, 8 << 20, 64, 64, 500_000
 
 
 @dataclass
@@ -41,10 +45,10 @@ class Index:
 
 
 def _table(index: Index, name: str) -> DataFrame:
-    """A bucketed table of the index; one without rows has no files to tell its columns."""
+    """A sorted table of the index; one without rows has no files to tell its columns."""
     kind = lambda c: index.docs.schema[c].dataType.simpleString()
-    columns = "gram string, token string" if name == "grams" else f"key {kind(index.key)}, category {kind(index.category)}, token string"
-    return index.docs.sparkSession.read.schema(f"{columns}, bucket int").parquet(getattr(index, name))
+    columns = "gram string, token string" if name == "grams" else f"bucket int, token string, key {kind(index.key)}, category {kind(index.category)}"
+    return index.docs.sparkSession.read.schema(columns).parquet(getattr(index, name))
 
 
 def _bucket(column: str, buckets: int = BUCKETS):
@@ -52,47 +56,45 @@ def _bucket(column: str, buckets: int = BUCKETS):
 
 
 def build(docs: DataFrame, key: str = "doc_id", text: str = "text", category: str = "source", tasks: int | None = None) -> Index:
-    """Write the index of `docs`.  Files may hold few, large row groups, so texts are dealt to `tasks` first."""
+    """Write the index of `docs`.  Files may hold few, large row groups, so texts are dealt to `tasks` segments first."""
     spark = docs.sparkSession
-    tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     index = Index(*(fresh_path(spark, f"index-{n}") for n in ("keys", "postings", "grams")), docs, key, text, category)
+    if not tasks:
+        size = docs.agg(F.sum(F.coalesce(F.length(text), F.lit(0)).cast("long") + ROW)).first()[0] or 0
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-size // LETTERS))
     clean = F.regexp_replace(F.lower(F.concat_ws(" ", text, category)), r"[^A-Za-z0-9_\s]+", "")
+    # array_except leaves each token of a text once; a row that comes twice has its postings twice, which no mask shows
     tokens = F.array_except(F.split(clean, r"\s+"), F.array(*[F.lit(w) for w in ("", *STOP_WORDS)]))
     docs.select(F.col(key).alias("key"), F.col(category).alias("category")).distinct().write.parquet(index.keys)
-    found = docs.repartition(tasks).select(F.col(key).alias("key"), F.col(category).alias("category"), F.explode(tokens).alias("token")).distinct()
-    found = found.withColumn("bucket", _bucket("token"))
-    # the key spreads a frequent token over the files of its bucket, of which there are more for more text
-    files = 1 + (docs.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0) // LETTERS
-    spread = lambda c: F.expr(f"pmod(xxhash64({c}), {files})")
-    tasks = max(tasks, min(BUCKETS * files, 20_000))
-    found.repartition(tasks, "bucket", spread("key")).sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(index.postings)
-    starts = "sequence(1, length(token))"
-    grams = f"flatten(transform(sequence(1, {GRAM}), n -> transform({starts}, i -> substring(token, i, n))))"
+    found = docs.repartition(tasks).select(F.col(key).alias("key"), F.col(category).alias("category"), F.explode(tokens).alias("token"))
+    found.select(_bucket("token").alias("bucket"), "token", "key", "category").sortWithinPartitions("bucket", "token").write.parquet(index.postings)
+    grams = f"transform(sequence(1, length(token)), i -> substring(token, i, {GRAM}))"
     pairs = _table(index, "postings").select("token").distinct().select(F.explode(F.array_distinct(F.expr(grams))).alias("gram"), "token")
-    pairs = pairs.withColumn("bucket", _bucket("gram"))
-    pairs.repartition(tasks, "bucket", spread("token")).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(index.grams)
+    pairs.sortWithinPartitions("gram").write.parquet(index.grams)
     return index
 
 
-def _asked(df: DataFrame, column: str, values: list[str]) -> DataFrame:
-    """The rows of some values: only their buckets are read."""
-    spark = df.sparkSession
-    numbers = [r[0] for r in spark.createDataFrame([(v,) for v in values], f"{column} string").select(_bucket(column)).distinct().collect()]
-    return df.filter(F.col("bucket").isin(numbers) & F.col(column).isin(values))
+def _having(index: Index, asked: list[str]) -> DataFrame:
+    """(gram, token): the tokens that have some asked grams; one of less than GRAM characters begins others."""
+    step = -(-len(asked) // RANGES)
+    parts = [asked[i : i + step] for i in range(0, len(asked), step)]
+    prefixes = [F.substring("gram", 1, n) for n in sorted({len(g) for g in asked})]
+    rows = _table(index, "grams").filter(reduce(or_, [F.col("gram").between(p[0], p[-1] + "~" * GRAM) for p in parts]))
+    return rows.select(F.explode(F.array_distinct(F.array(*prefixes))).alias("gram"), "token")
 
 
 def matches(index: Index, words: list[str]) -> DataFrame:
     """(token, mask0, ..): the tokens of the index that match words of a question, bit i of the masks for the i-th."""
     spark = index.docs.sparkSession
-    vocabulary, place = _table(index, "grams"), {w: i for i, w in enumerate(words)}
+    place = {w: i for i, w in enumerate(words)}
     asked = [(w, g, len(gs)) for w in words if " " not in w for gs in [{w[i : i + GRAM] for i in range(max(1, len(w) - GRAM + 1))}] for g in sorted(gs)]
     inside = [(t, place[w]) for w in words for t in sorted(_accepted(w) - set(STOP_WORDS))]
     pairs = spark.createDataFrame(inside, "token string, place int")
     if asked:
         question = F.broadcast(spark.createDataFrame([(w, place[w], g, n) for w, g, n in asked], "word string, place int, gram string, n int"))
-        having = _asked(vocabulary, "gram", sorted({g for _, g, _ in asked})).join(question, "gram")
+        having = _having(index, sorted({g for _, g, _ in asked})).join(question, "gram")
         having = having.groupBy("token", "word", "place", "n").agg(F.count(F.lit(1)).alias("grams"))
-        pairs = pairs.unionByName(having.filter((F.col("grams") == F.col("n")) & F.col("token").contains(F.col("word"))).select("token", "place"))
+        pairs = pairs.unionByName(having.filter((F.col("grams") >= F.col("n")) & F.col("token").contains(F.col("word"))).select("token", "place"))
     masks = [F.bit_or(F.when(F.expr(f"place div {BITS}") == c, F.expr(f"shiftleft(1L, place % {BITS})")).otherwise(0)).alias(f"mask{c}") for c in range(-(-len(words) // BITS))]
     return written(pairs.groupBy("token").agg(*masks).withColumn("bucket", _bucket("token")), "matches")
 

@@ -39,3 +39,25 @@ def test_a_second_question_reads_buckets_and_no_text(spark):
         read = out.inputFiles()
         assert read and not any("documents" in f for f in read)
         assert sorted(map(tuple, out.collect())) == sorted(map(tuple, search(docs, question).collect()))
+
+
+def test_segments_are_sorted_and_grams_begin_once_per_character(spark):
+    docs = spark.createDataFrame([(i, f"word{i % 7} tion{i} of stations", "src") for i in range(40)], "doc_id long, text string, source string")
+    index = build(docs, tasks=3)
+    postings = spark.read.parquet(index.postings)
+    assert len(postings.inputFiles()) <= 3
+    tokens = set()
+    for file in postings.inputFiles():
+        rows = [(r.bucket, r.token) for r in spark.read.parquet(file).coalesce(1).collect()]
+        assert rows == sorted(rows)
+        tokens |= {token for _, token in rows}
+    assert spark.read.parquet(index.grams).count() <= sum(map(len, tokens))
+    for file in spark.read.parquet(index.grams).inputFiles():
+        grams = [r.gram for r in spark.read.parquet(file).coalesce(1).collect()]
+        assert grams == sorted(grams)
+
+
+def test_question_of_more_grams_than_ranges(spark, index):
+    question = " ".join(f"{a}{b}q{b}x n" for a in "abcdefgh" for b in "rstuvwxyz") + " tion smog"
+    want = sorted(map(tuple, search(index.docs, question, least=0.001).collect()), key=repr)
+    assert want and sorted(map(tuple, search_index(index, question, least=0.001).collect()), key=repr) == want
