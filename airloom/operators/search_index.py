@@ -61,8 +61,8 @@ def build(docs: DataFrame, key: str = "doc_id", text: str = "text", category: st
     index = Index(*(fresh_path(spark, f"index-{n}") for n in ("keys", "postings", "grams")), docs, key, text, category)
     if not tasks:
         size = docs.agg(F.sum(F.coalesce(F.length(text), F.lit(0)).cast("long") + ROW)).first()[0] or 0
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, -(-size // LETTERS))
-    clean = F.regexp_replace(F.lower(F.concat_ws(" ", text, category)), r"[^A-Za-z0-9_\s]+", "")
+        tasks = max(spark.sparkContext.defaultParallelism, -(-size // LETTERS))
+    clean = F.regexp_replace(F.lower(F.concat_ws(" ", text, category)), r"[^\w\s]+", "")
     # array_except leaves each token of a text once; a row that comes twice has its postings twice, which no mask shows
     tokens = F.array_except(F.split(clean, r"\s+"), F.array(*[F.lit(w) for w in ("", *STOP_WORDS)]))
     docs.select(F.col(key).alias("key"), F.col(category).alias("category")).distinct().write.parquet(index.keys)
@@ -79,7 +79,9 @@ def _having(index: Index, asked: list[str]) -> DataFrame:
     step = -(-len(asked) // RANGES)
     parts = [asked[i : i + step] for i in range(0, len(asked), step)]
     prefixes = [F.substring("gram", 1, n) for n in sorted({len(g) for g in asked})]
-    rows = _table(index, "grams").filter(reduce(or_, [F.col("gram").between(p[0], p[-1] + "~" * GRAM) for p in parts]))
+    # the ranges tell which pages to read, the set which of their rows
+    read = reduce(or_, [F.col("gram").between(p[0], p[-1] + "~" * GRAM) for p in parts])
+    rows = _table(index, "grams").filter(reduce(or_, [p.isin(asked) for p in prefixes]) & read)
     return rows.select(F.explode(F.array_distinct(F.array(*prefixes))).alias("gram"), "token")
 
 

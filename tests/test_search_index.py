@@ -61,3 +61,23 @@ def test_question_of_more_grams_than_ranges(spark, index):
     question = " ".join(f"{a}{b}q{b}x n" for a in "abcdefgh" for b in "rstuvwxyz") + " tion smog"
     want = sorted(map(tuple, search(index.docs, question, least=0.001).collect()), key=repr)
     assert want and sorted(map(tuple, search_index(index, question, least=0.001).collect()), key=repr) == want
+
+
+def test_segments_follow_the_size_of_the_texts(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        index = build(spark.range(400).selectExpr("id as doc_id", "concat('smog ', id) as text", "'src' as source"))
+        assert len(spark.read.parquet(index.postings).inputFiles()) <= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert search_index(index, "smog").count() == 400
+
+
+def test_words_are_cut_as_by_the_scan(spark):
+    around = [chr(c) for c in [*range(1, 0x180), 0x2028, 0x3000, 0xE000, 0x1F600]]
+    docs = spark.createDataFrame([(i, f"x smo{c}g{c}ti{c}on", f"{c}src") for i, c in enumerate(around)], "doc_id long, text string, source string")
+    index = build(docs)
+    for question in ("smog tion", "smo g", "gti"):
+        want = sorted(map(tuple, search(docs, question).collect()))
+        assert sorted(map(tuple, search_index(index, question).collect())) == want
